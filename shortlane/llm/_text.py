@@ -24,6 +24,9 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything ASCII but letters and digits parts bare words.
+_BARE = np.ones(256, dtype=bool)
+_BARE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=U64) | U64(1)
@@ -82,19 +85,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def word_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Cuts the texts of a column into words, about chunk_bytes at a time; every document is in one chunk."""
+def word_chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES, bare: bool = False) -> Iterator[Words]:
+    """Cuts the texts of a column into words, about chunk_bytes at a time; every document is in one chunk.
+
+    With bare, a word is a run of letters, digits and bytes beyond ASCII instead.
+    """
     data, offsets = buffers(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + chunk_bytes, side="right")) - 1
         last = min(max(last, first + 1), n)
-        yield _cut(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first)
+        yield _cut(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, _BARE if bare else _SPACE)
         first = last
 
 
-def _cut(data: np.ndarray, bounds: np.ndarray, first: int) -> Words:
-    solid = ~_SPACE[data]
+def _cut(data: np.ndarray, bounds: np.ndarray, first: int, parts: np.ndarray) -> Words:
+    solid = ~parts[data]
     begins, ends = solid.copy(), solid.copy()
     if len(data):
         begins[1:] &= ~solid[:-1]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .mixing import op8_mixing_sources
+from .quality import op7_quality_classifier
 from .secrets import op1_secret_scans
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op8_mixing_sources)}
+    return {f.__name__: f for f in (op1_secret_scans, op5_toxicity, op7_quality_classifier, op8_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
