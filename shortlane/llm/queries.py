@@ -5,11 +5,12 @@ from __future__ import annotations
 from .mixing import op8_mixing_sources
 from .quality import op7_quality_classifier
 from .secrets import op1_secret_scans
+from .substrings import op6_substring_dedup
 from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op5_toxicity, op7_quality_classifier, op8_mixing_sources)}
+    return {f.__name__: f for f in (op1_secret_scans, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
