@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .mixing import op8_mixing_sources
 from .ngram_join import op2_ngram_jaccard
+from .pii import op3_personal_data
 from .quality import op7_quality_classifier
 from .secrets import op1_secret_scans
 from .substrings import op6_substring_dedup
@@ -11,7 +12,7 @@ from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_mixing_sources)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_personal_data, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
