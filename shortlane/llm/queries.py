@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .hamming import OP4_SQL, op4_exact_top_k
 from .mixing import op8_mixing_sources
 from .ngram_join import op2_ngram_jaccard
 from .pii import op3_personal_data
@@ -12,8 +13,8 @@ from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_personal_data, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_mixing_sources)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_personal_data, op4_exact_top_k, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_top_k": OP4_SQL}
