@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_benchmark_decontamination
 from .hamming import OP4_SQL, op4_exact_top_k
+from .lines import op9_line_dedup
 from .mixing import op8_mixing_sources
 from .ngram_join import op2_ngram_jaccard
 from .pii import op3_personal_data
@@ -13,7 +15,11 @@ from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scans, op2_ngram_jaccard, op3_personal_data, op4_exact_top_k, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_mixing_sources)}
+    found = (
+        op1_secret_scans, op2_ngram_jaccard, op3_personal_data, op4_exact_top_k, op5_toxicity,
+        op6_substring_dedup, op7_quality_classifier, op8_mixing_sources, op9_line_dedup, op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
