@@ -39,9 +39,9 @@ def distinct_words(words: _text.Words, hashes: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
 
 
-def sample(docs: DataFrame, n: int, max_words: int) -> list[np.ndarray]:
-    """Distinct word hashes of the n documents that come first by a hash of their id."""
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def sample(docs: DataFrame, pool: DataFrame, n: int, max_words: int) -> list[np.ndarray]:
+    """Distinct word hashes of n documents: of the ids in `pool`, those that come first by a hash."""
+    ids = pool.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text")
 
     def features(batches):
@@ -114,11 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     """The model from documents and labels outside the held-out fold, or None without a confirmed positive."""
     known = labels.where(~_spark.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    pool = docs.where(~_spark.held_out(F.col("doc_id")))
-    positive = sample(pool.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), max_positive, max_words) if toxic else []
+    pool = docs.select("doc_id").where(~_spark.held_out(F.col("doc_id")))
+    positive = sample(docs, pool.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), max_positive, max_words) if toxic else []
     if not positive:
         return None
-    unlabelled = sample(pool, max_unlabelled, max_words)
+    unlabelled = sample(docs, pool, max_unlabelled, max_words)
     return train(positive, unlabelled, min(max(toxic / n, 1e-3), 0.999))
 
 
