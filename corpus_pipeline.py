@@ -8,6 +8,7 @@ of documents; the last returns what the mix takes of each document.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shortlane.llm import _spark, decontaminate, lines, mixing, ngram_join, quality
 
@@ -19,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines of templates that recur across documents."""
-    return lines.dedup_lines(docs).drop("_n_dropped")
+    return lines.dedup_lines(docs).drop("_n_dropped").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
