@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from shortlane.plans import ranking, validation
+
 
 def queries() -> dict:
-    return {}
+    return ranking.QUERIES | validation.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ranking.SQL | validation.SQL
