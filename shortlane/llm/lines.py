@@ -100,19 +100,18 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEAD
     return gone.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs, the text without its dropped lines, and `_n_dropped`."""
-    drop = _spark.cut(dropped_lines(docs, min_docs, leading, min_words), "line-drops").withColumnsRenamed({"doc_id": "_drop_id", "drop": "_drop"})
-    met = docs.join(drop, docs["doc_id"] == drop["_drop_id"], "left").drop("_drop_id")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    n = F.coalesce(F.size("_drop"), F.lit(0))
-    n = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(n).cast("long")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
-    return met.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n.alias("_n_dropped"))
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_words: int = MIN_WORDS, count_as: str | None = None) -> DataFrame:
+    """All columns of docs, the text without its dropped lines, and their number if `count_as` names a column for it."""
+    drop = _spark.cut(dropped_lines(docs, min_docs, leading, min_words), "line-drops").select(F.struct("doc_id", "drop").alias("gone"))
+    met = docs.alias("kept").join(drop.alias("lost"), F.col("kept.doc_id") == F.col("lost.gone.doc_id"), "left")
+    old, gone = F.col("kept.text"), F.col("lost.gone.drop")
+    new = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(gone.isNull(), old).otherwise(new)
+    count = [F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias(count_as)] if count_as else []
+    return met.select(*(text.alias("text") if c == "text" else F.col(f"kept.`{c}`") for c in docs.columns), *count)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = _spark.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs)
-    return out.select("doc_id", F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"))
+    out = dedup_lines(docs, count_as="n_dropped")
+    return out.select("doc_id", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"))

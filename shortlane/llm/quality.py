@@ -179,18 +179,15 @@ def score_quality(docs: DataFrame, score: Column) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The documents that score at least `accept`, with all their columns."""
     score = fit(docs, labels)
-    fields = docs.schema.fields
-    schema = T.StructType([*fields, *(T.StructField(f"_q_{s}", T.DoubleType()) for s in STATISTICS)])
-    at = docs.columns.index("text")
+    schema = T.StructType([T.StructField("doc", docs.schema), *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
 
     def run(batches):
         for b in batches:
-            x = statistics(b.column(at))
-            yield pa.record_batch([*b.columns, *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[*b.schema.names, *(f"_q_{s}" for s in STATISTICS)])
+            x = statistics(b.column(1))
+            yield pa.record_batch([b.column(0), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["doc", *STATISTICS])
 
-    wide = docs.mapInArrow(run, schema)
-    plain = wide.select(F.struct(*docs.columns).alias("_doc"), *(F.col(f"_q_{s}").alias(s) for s in STATISTICS))
-    return plain.where(score >= accept).select("_doc.*")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")
+    return whole.mapInArrow(run, schema).where(score >= accept).select("doc.*")
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
