@@ -32,7 +32,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
     files = spark.read.format("binaryFile").load(path)
-    return bool(files.select(F.min(F.call_function("is_valid_utf8", F.col("content").cast("string")))).first()[0])
+    return files.where(~F.call_function("is_valid_utf8", F.col("content").cast("string"))).isEmpty()
 
 
 def write_shortlist(ranked: DataFrame, path: str) -> None:
