@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _spark, _text
+from . import _bloom, _spark, _text
 
 WINDOW = 8
 MIN_LITERALS = 4
@@ -112,26 +112,6 @@ def item_windows(benchmark: DataFrame, window: int, min_literals: int) -> DataFr
     return benchmark.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(run, "item_id long, hash long, pos int, size int, total int, slots array<long>")
 
 
-def bloom(hashes: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap with two bits set for each hash, one byte array of 2**BLOOM_BITS / 8."""
-
-    def bits(batches):
-        mask = np.zeros(1 << BLOOM_BITS, dtype=bool)
-        for b in batches:
-            for at in _places(b.column(0).to_numpy().view(np.uint64)):
-                mask[at] = True
-        yield pa.record_batch([pa.array([0]), pa.array([pa.compress(np.packbits(mask).tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["k", "bits"])
-
-    out = np.zeros((1 << BLOOM_BITS) // 8, dtype=np.uint8)
-    for r in hashes.mapInArrow(bits, "k long, bits binary").toLocalIterator():  # one bitmap at a time
-        out |= np.frombuffer(pa.decompress(r["bits"], decompressed_size=len(out), codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), (_text.mix(h) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-
-
 def document_windows(docs: DataFrame, sizes: list[int], mask: np.ndarray, window: int, min_literals: int) -> DataFrame:
     """doc_id, hash, pos, size, slots of the windows of documents that may be windows of an item."""
     shared = docs.sparkSession.sparkContext.broadcast(mask)
@@ -142,8 +122,7 @@ def document_windows(docs: DataFrame, sizes: list[int], mask: np.ndarray, window
             for i, token, slot, value in templates(b.column(1)):
                 for size in sizes:
                     hashes, starts = usable_windows(token, slot, size, 0)
-                    x, y = _places(hashes)
-                    hit = np.flatnonzero(shared.value[x] & shared.value[y])
+                    hit = np.flatnonzero(_bloom.has(shared.value, hashes, BLOOM_BITS))
                     for h, p in zip(_text.signed(hashes[hit]).tolist(), starts[hit].tolist(), strict=True):
                         out["doc"].append(i)
                         out["hash"].append(h)
@@ -160,7 +139,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """doc_id, item_id, coverage, reworded (slot values differ) for each contaminated document and item."""
     items = _spark.cut(item_windows(benchmark, window, min_literals), "bench-windows")
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # at most `window` rows
-    places = document_windows(docs, sizes, bloom(items.select("hash")), window, min_literals)
+    places = document_windows(docs, sizes, _bloom.build(items.select("hash"), BLOOM_BITS), window, min_literals)
     left = items.select("hash", "size", "item_id", F.col("pos").alias("item_pos"), "total", F.col("slots").alias("item_slots"))
     met = places.join(left, ["hash", "size"]).where(F.size("slots") == F.size("item_slots"))
     pairs = F.arrays_zip("item_slots", "slots")
