@@ -8,12 +8,12 @@ anywhere else, in the same document or another.
    one: a document has about 2/(window - gram + 2) anchors a word.  Each anchor and the
    stretch of text that its windows cover is one row; rows are counted by (anchor,
    stretch) with map-side combine, so a passage in a third of all documents is one row a task.
-2. Confirmation.  An anchor seen once has no repeated window.  If all its occurrences have
+2. Confirmation.  An anchor seen once has no repeated window and goes first.  If all its occurrences have
    the same stretch, all their windows repeat.  Otherwise the distinct stretches
    are read from one document each and their windows counted by hash.
 3. Automata.  Runs of confirmed windows become phrases, each read from one document.  Documents are
-   dealt by id with the phrases that their anchors call for; each shard (an Arrow batch)
-   compiles its phrases into an Aho-Corasick automaton and streams its
+   dealt by id with the phrases that their anchors call for; each shard (documents of SHARD_BYTES)
+   compiles its phrases into an Aho-Corasick automaton over words and streams its
    documents through, which locates every occurrence.  The words covered are removed.
 
 Nothing is sent to the driver and nothing is capped.  A document's own list of
@@ -27,103 +27,113 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _spark, _text
+from . import _bloom, _spark, _text
 
 WINDOW = 35
 GRAM = 6
-
-
-def anchors_of(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor position, first window, last window + 1) of the runs of windows of one document that share an anchor."""
-    grams = _text.windows(words, gram)
-    span = window - gram + 1
-    n = len(words) - window + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 3
-    low, width = grams, 1
-    while 2 * width <= span:  # sliding minimum by doubling
-        low = np.minimum(low[: len(low) - width], low[width:])
+#: Text of one automaton's documents: bounds its size (a longer document is a shard alone).
+SHARD_BYTES = 1 << 20
+
+
+class Anchors(NamedTuple):
+    """The anchors of the documents of a chunk, in order; word positions count from the chunk's first word."""
+
+    doc: np.ndarray
+    anchor: np.ndarray
+    stretch: np.ndarray
+    first: np.ndarray  # first window
+    last: np.ndarray  # last window + 1
+
+
+def anchors_of(chunk: _text.Words, hashes: np.ndarray, window: int, gram: int) -> Anchors:
+    """Runs of windows that share an anchor: the leftmost smallest gram inside each window."""
+    none = np.empty(0, np.int64)
+    grams, span = _text.windows(hashes, gram), window - gram + 1
+    starts = np.arange(max(len(hashes) - window + 1, 0))
+    doc = np.searchsorted(chunk.bounds, starts, side="right") - 1
+    whole = starts + window <= chunk.bounds[doc + 1] if len(starts) else np.empty(0, bool)
+    if not whole.any():
+        return Anchors(none, none.view(np.uint64), none.view(np.uint64), none, none)
+    at, width = np.arange(len(grams)), 1
+    while 2 * width <= span:  # leftmost smallest of 1, 2, 4, ... grams from each
+        left, right = at[: len(at) - width], at[width:]
+        at = np.where(grams[right] < grams[left], right, left)
         width *= 2
-    low = np.minimum(low[:n], low[span - width : span - width + n])
-    # leftmost position of each window's minimum: the last seen equal value is at or after it
-    order = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    at, first, last = [], [], []
-    for a, b in zip(order, np.append(order[1:], n), strict=True):
-        hits = a + np.flatnonzero(grams[a : b - 1 + span] == low[a])
-        # windows a..b-1 have this minimum; each takes its leftmost hit
-        left = hits[np.searchsorted(hits, np.arange(a, b))]
-        cuts = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
-        at.append(left[cuts])
-        first.append(a + cuts)
-        last.append(a + np.append(cuts[1:], b - a))
-    return np.concatenate(at), np.concatenate(first), np.concatenate(last)
+    left, right = at[: len(starts)], at[span - width : span - width + len(starts)]
+    at = np.where(grams[right] < grams[left], right, left)[whole]
+    starts, doc = starts[whole], doc[whole]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
+    first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1] + 1
+    end = last + window - 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _text.powers(len(hashes)))])
+    scale = _text.powers(len(hashes), inverse=True)[first]
+    stretch = _text.mix((sums[end] - sums[first]) * scale + (end - first).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    return Anchors(doc[new], grams[at[new]], stretch, first, last)
 
 
 def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, stretch, doc_id, first, last: a row for each anchor of each document."""
+    """anchor, stretch, doc_id: a row for each anchor of each document."""
 
     def run(batches):
         for b in batches:
-            ids, parts = b.column(0), []
             for c in _text.word_chunks(b.column(1)):
-                hashes = c.hashes()
-                for k in range(len(c.bounds) - 1):
-                    w = hashes[c.bounds[k] : c.bounds[k + 1]]
-                    if len(w) < window:
-                        continue
-                    at, first, last = anchors_of(w, window, gram)
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * _text.powers(len(w)))])
-                    end = last + window - 1
-                    scale = _text.powers(len(w) + 1, inverse=True)[first]
-                    stretch = _text.mix((sums[end] - sums[first]) * scale + (end - first).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-                    anchor = _text.mix((sums[at + gram] - sums[at]) * _text.powers(len(w) + 1, inverse=True)[at])
-                    parts.append((np.full(len(at), c.first + k), anchor, stretch, first, last))
-            if parts:
-                doc, anchor, stretch, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.record_batch([pa.array(_text.signed(anchor)), pa.array(_text.signed(stretch)), ids.take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["anchor", "stretch", "doc_id", "first", "last"])
+                x = anchors_of(c, c.hashes(), window, gram)
+                if len(x.doc):
+                    yield pa.record_batch([pa.array(_text.signed(x.anchor)), pa.array(_text.signed(x.stretch)), b.column(0).take(pa.array(c.first + x.doc))], names=["anchor", "stretch", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, stretch long, doc_id long, first int, last int")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, stretch long, doc_id long")
 
 
-def read_stretches(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+def read_stretches(wanted: DataFrame, docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Adds to anchor, stretch, n, many the stretch's words (one space between) and, where `many`, its windows' hashes."""
 
     def run(batches):
         for b in batches:
             out = {k: [] for k in ("anchor", "stretch", "n", "many", "phrase", "windows")}
-            lists = b.column(1).to_pylist()
+            lists = b.column(1)
             for c in _text.word_chunks(b.column(0)):
-                hashes, raw = c.hashes(), c.data.tobytes()
-                for k in range(len(c.bounds) - 1):
-                    base = int(c.bounds[k])
-                    for x in lists[c.first + k]:
-                        lo, hi = base + x["first"], base + x["last"] + window - 1
-                        if hi > c.bounds[k + 1]:
-                            continue  # another row of the same id
-                        out["phrase"].append(b" ".join(raw[s:e] for s, e in zip(c.start[lo:hi].tolist(), c.end[lo:hi].tolist(), strict=True)).decode())
-                        out["windows"].append(_text.signed(_text.windows(hashes[lo:hi], window)) if x["many"] else None)
-                        for key in ("anchor", "stretch", "n", "many"):
-                            out[key].append(x[key])
+                hashes = c.hashes()
+                x, raw = anchors_of(c, hashes, window, gram), c.data.tobytes()
+                pairs = zip(_text.signed(x.anchor).tolist(), _text.signed(x.stretch).tolist(), strict=True)
+                calls: list[dict] = [{} for _ in range(len(c.bounds) - 1)]
+                for k in range(len(calls)):
+                    calls[k] = {(w["anchor"], w["stretch"]): w for w in lists[c.first + k].as_py()}
+                for k, key, lo, hi in zip(x.doc.tolist(), pairs, x.first.tolist(), x.last.tolist(), strict=True):
+                    if not (w := calls[k].pop(key, None)):
+                        continue
+                    hi += window - 1
+                    out["phrase"].append(b" ".join(raw[c.start[lo] : c.end[hi - 1]].split()).decode())
+                    out["windows"].append(_text.signed(_text.windows(hashes[lo:hi], window)) if w["many"] else None)
+                    for name in ("anchor", "stretch", "n", "many"):
+                        out[name].append(w[name])
             yield pa.record_batch([pa.array(out["anchor"], pa.int64()), pa.array(out["stretch"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["many"], pa.bool_()), pa.array(out["phrase"], pa.string()), pa.array(out["windows"], pa.list_(pa.int64()))], names=list(out))
 
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "stretch", "n", "many", "first", "last")).alias("wanted"))
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "stretch", "n", "many")).alias("wanted"))
     met = docs.select("doc_id", "text").join(per_doc, "doc_id").select("text", "wanted")
     return met.mapInArrow(run, "anchor long, stretch long, n long, many boolean, phrase string, windows array<long>")
 
 
-def phrases(occurrences: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """The anchor rows whose anchor occurs more than once.  The scan is made twice rather than kept: its rows are most of the input."""
+    counts = anchor_rows(docs, window, gram).groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+    return anchor_rows(docs, window, gram).join(counts, "anchor")
+
+
+def phrases(occurrences: DataFrame, docs: DataFrame, window: int, gram: int) -> DataFrame:
     """anchor, stretch, phrases: the recurring passages, as maximal runs of confirmed windows of each distinct stretch."""
-    distinct = occurrences.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("at"))
-    distinct = _spark.cut(distinct.select("anchor", "stretch", "n", "at.*"), "sub-distinct")
-    recurring = distinct.groupBy("anchor").agg(F.sum("n").alias("_n"), F.count("*").alias("_k")).where("_n > 1")
-    wanted = distinct.join(recurring, "anchor").select("anchor", "stretch", "n", (F.col("_k") > 1).alias("many"), "doc_id", "first", "last")
-    read = _spark.cut(read_stretches(wanted, docs, window), "sub-stretches").dropDuplicates(["anchor", "stretch"])
+    distinct = occurrences.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    stretches = distinct.groupBy("anchor").agg(F.count("*").alias("_k"))
+    wanted = _spark.cut(distinct.join(stretches, "anchor").select("anchor", "stretch", "n", (F.col("_k") > 1).alias("many"), "doc_id"), "sub-wanted")
+    holders = _bloom.pick(docs, _bloom.IdFilter(wanted.select("doc_id").distinct()))
+    read = _spark.cut(read_stretches(wanted, holders, window, gram), "sub-stretches")
     whole = read.where("NOT many").select("anchor", "stretch", F.array("phrase").alias("phrases"))
     each = read.where("many").select("anchor", "stretch", "n", F.posexplode("windows").alias("k", "window"))
     # a window inside a stretch that itself occurs twice repeats there already; n counts for the others
@@ -143,49 +153,54 @@ def phrases(occurrences: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     return whole.unionByName(joined.mapInArrow(runs, "anchor long, stretch long, phrases array<string>"))
 
 
-def locate(texts: list[bytes], lists: list[list[str]], words: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each document a mask of the words that occurrences of the shard's phrases cover."""
-    automaton = ahocorasick.Automaton()
+def locate(documents: list[list[bytes]], lists: list[list[str]]) -> list[np.ndarray]:
+    """For each document (its words) a mask of the words that occurrences of the shard's phrases cover.
+
+    The automaton's letters are words, numbered within the shard.
+    """
+    number: dict[bytes, int] = {}
+    spelt = lambda words: tuple([number.setdefault(w, len(number) + 1) for w in words])
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for phrase in {p for ps in lists for p in ps}:
-        automaton.add_word(f" {phrase} ", len(phrase))
-    covered = []
+        letters = spelt(phrase.encode().split(b" "))
+        automaton.add_word(letters, len(letters))
     if len(automaton):
         automaton.make_automaton()
-    for text, own, (start, end) in zip(texts, lists, words, strict=True):
-        mask = np.zeros(len(start) + 1, dtype=np.int64)
-        if own and len(start):
-            # the words with one space between: code point offsets of each word in it
-            plain = b" ".join(text[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)).decode()
-            places = np.concatenate([[0], np.cumsum([len(w) + 1 for w in plain.split(" ")])])
-            hits = [(i, n) for i, n in automaton.iter(f" {plain} ")]
-            if hits:
-                last, size = np.array(hits).T  # the hit ends with the space after its last word
-                np.add.at(mask, np.searchsorted(places, last - size - 1), 1)
-                np.add.at(mask, np.searchsorted(places, last), -1)
+    covered = []
+    for words, own in zip(documents, lists, strict=True):
+        mask = np.zeros(len(words) + 1, dtype=np.int64)
+        if own and words and (hits := list(automaton.iter(spelt(words)))):
+            last, size = np.array(hits).T
+            np.add.at(mask, last + 1 - size, 1)
+            np.add.at(mask, last + 1, -1)
         covered.append(np.cumsum(mask)[:-1] > 0)
     return covered
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and `kept`, the words that stay, joined by one space."""
-    occurrences = _spark.cut(anchor_rows(docs, window, gram), "sub-anchors")
-    found = _spark.cut(phrases(occurrences, docs, window), "sub-phrases")
+    occurrences = _spark.cut(recurring_anchors(docs, window, gram), "sub-anchors")
+    found = _spark.cut(phrases(occurrences, docs, window, gram), "sub-phrases")
     calls = occurrences.join(found, ["anchor", "stretch"]).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("phrases"))).alias("phrases"))
-    dealt = docs.select("doc_id", "text").join(calls, "doc_id", "left")
+    called = _bloom.IdFilter(occurrences.select("doc_id").distinct())
+    dealt = _bloom.pick(docs, called).join(calls, "doc_id", "left")
+    others = _bloom.pick(docs, called, inside=False).withColumn("phrases", F.lit(None).cast("array<string>"))
 
     def run(batches):
         for b in batches:
-            for c in _text.word_chunks(b.column(1), 8 * _text.CHUNK_BYTES):
-                n = len(c.bounds) - 1
-                lists = [x or [] for x in b.column(2).slice(c.first, n).to_pylist()]
-                raw = c.data.tobytes()
-                texts = [raw[a:z] for a, z in zip(c.text_bounds[:-1].tolist(), c.text_bounds[1:].tolist(), strict=True)]
-                words = [(c.start[i:j] - t, c.end[i:j] - t) for i, j, t in zip(c.bounds[:-1], c.bounds[1:], c.text_bounds[:-1], strict=True)]
-                masks = locate(texts, lists, words)
-                kept = [b" ".join(t[s:e] for s, e, m in zip(w[0].tolist(), w[1].tolist(), mask.tolist(), strict=True) if not m).decode() for t, w, mask in zip(texts, words, masks, strict=True)]
-                yield pa.record_batch([b.column(0).slice(c.first, n), pa.array(np.diff(c.bounds)), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return dealt.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+            data, offsets = _text.buffers(b.column(1))
+            first = 0
+            while first < b.num_rows:  # a shard: documents of SHARD_BYTES, or one longer one
+                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SHARD_BYTES, side="right")) - 1)
+                documents = [data[offsets[k] : offsets[k + 1]].tobytes().split() for k in range(first, last)]
+                lists = [x or [] for x in b.column(2).slice(first, last - first).to_pylist()]
+                masks = locate(documents, lists)
+                kept = [b" ".join(w for w, m in zip(words, mask.tolist(), strict=True) if not m) if mask.any() else b" ".join(words) for words, mask in zip(documents, masks, strict=True)]
+                yield pa.record_batch([b.column(0).slice(first, last - first), pa.array([len(w) for w in documents], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array([k.decode() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                first = last
+
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    return dealt.mapInArrow(run, schema).unionByName(others.mapInArrow(run, schema))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
