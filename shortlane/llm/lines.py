@@ -103,7 +103,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEAD
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_words: int = MIN_WORDS, count_as: str | None = None) -> DataFrame:
     """All columns of docs, the text without its dropped lines, and their number if `count_as` names a column for it."""
     drop = _spark.cut(dropped_lines(docs, min_docs, leading, min_words), "line-drops").select(F.struct("doc_id", "drop").alias("gone"))
-    met = docs.alias("kept").join(drop.alias("lost"), F.col("kept.doc_id") == F.col("lost.gone.doc_id"), "left")
+    # a list of line numbers is far larger in memory than its file, so Spark's own choice may broadcast too much
+    met = docs.alias("kept").join(drop.alias("lost").hint("merge"), F.col("kept.doc_id") == F.col("lost.gone.doc_id"), "left")
     old, gone = F.col("kept.text"), F.col("lost.gone.drop")
     new = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(gone.isNull(), old).otherwise(new)
