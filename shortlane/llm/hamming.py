@@ -4,7 +4,8 @@ Codes are 64 bits, bit i set where component i of the vector is positive.  A cod
 into m segments, and each segment value points to the codes that have it.  At radius r
 a query probes, in every segment, all values at Hamming distance exactly r from its own.
 After radius r every code within distance m (r + 1) - 1 has been met (pigeonhole), so a query whose
-k-th verified distance is at most that is settled; the others go on to r + 1.
+k-th verified distance is at most that is settled; the others go on to r + 1, where codes
+farther than the k-th found so far are not candidates.
 
 Equal codes share one index row with their k smallest ids, which is exact because
 ties go to the smaller id: thousands of copies of a vector cost one row.  A candidate is
@@ -50,22 +51,25 @@ def exact_top_k(base: DataFrame, queries: DataFrame, k: int = K, segments: int =
     index = _spark.cut(codes.select("code", "ids", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), segment(F.col("code"), s, width).alias("v")) for s in range(segments)))).alias("p")).select("p.*", "code", "ids"), "mih-index")
     # equal query codes are searched once
     asked = queries.where("code IS NOT NULL").select(F.col("id").alias("query_id"), "code")
-    open_ = _spark.cut(asked.select(F.col("code").alias("q")).distinct(), "mih-open")
+    open_ = _spark.cut(asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), "mih-open")
     found = None
     for r in range(width + 1):
         masks = [sum(1 << b for b in bits) for bits in combinations(range(width), r)]
         flips = spark.range(len(masks)).select(F.element_at(F.lit(masks), (F.col("id") + 1).cast("int")).cast("long").alias("flip"))
-        places = open_.select("q", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), segment(F.col("q"), s, width).alias("v")) for s in range(segments)))).alias("p"))
-        probes = places.crossJoin(F.broadcast(flips)).select("q", F.col("p.s").alias("s"), F.col("p.v").bitwiseXOR(F.col("flip")).alias("v"))  # at most 2**width flips for each stated query
+        places = open_.select("q", "bound", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), segment(F.col("q"), s, width).alias("v")) for s in range(segments)))).alias("p"))
+        probes = places.crossJoin(F.broadcast(flips)).select("q", "bound", F.col("p.s").alias("s"), F.col("p.v").bitwiseXOR(F.col("flip")).alias("v"))  # at most 2**width flips for each stated query
         met = probes.join(index, ["s", "v"])
         apart = [F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), s, width)) for s in range(segments)]
         first = F.coalesce(*(F.when(a == F.least(*apart), F.lit(s)) for s, a in enumerate(apart)))
-        met = met.where(first == F.col("s")).select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"), "code", F.explode("ids").alias("vec_id"))
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        met = met.where((first == F.col("s")) & (distance <= F.col("bound"))).select("q", distance.alias("distance"), "code", F.explode("ids").alias("vec_id"))
         pool = met if found is None else met.unionByName(found)
         order = Window.partitionBy("q").orderBy("distance", "vec_id")
         found = _spark.cut(pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "distance", "code", "vec_id"), f"mih-found-{r}")
-        settled = found.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where((F.col("n") >= k) & (F.col("kth") <= segments * (r + 1) - 1))
-        open_ = _spark.cut(open_.join(settled, "q", "left_anti"), f"mih-open-{r}")
+        state = found.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
+        full, covered = F.coalesce(F.col("n") >= k, F.lit(False)), F.col("kth") <= segments * (r + 1) - 1
+        bound = F.when(full, F.col("kth")).otherwise(BITS)  # what is farther than k found codes cannot enter
+        open_ = _spark.cut(open_.select("q").join(state, "q", "left").where(~(full & covered)).select("q", bound.alias("bound")), f"mih-open-{r}")
         if open_.isEmpty():
             break
     order = Window.partitionBy("q").orderBy("distance", "vec_id")
