@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of templates that recur across documents."""
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Drops lines that recur across documents, as they are or as templates."""
+    return lines.dedup_lines(docs, exact=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,12 @@ texts count once, so copies do not make their own lines recur.  Lines of recurri
 templates are dropped from every document but the one with the smallest id, which keeps
 its own.  Lines shorter than `min_words` words are never templates.
 
+With `exact`, as in the query and the pipeline, the line itself (its words in lower case,
+digits as they are) counts as well, whatever its length: it recurs in LONG_DOCS documents from
+LONG_WORDS words on and in SHORT_DOCS below that.
+
 Defined cases: a null text stays null and an empty one empty; a document whose lines all
-go keeps an empty text; repeated rows of an id count each; null ids are kept and
+go keeps an empty text; blank lines stay; rows that repeat id and text count once; null ids are kept and
 never dropped from; an empty table gives an empty result; other columns are kept as they are.
 """
 
@@ -34,51 +38,57 @@ MIN_WORDS = 4
 #: Shorter lines have no half-generalised templates.
 GENERAL_WORDS = 8
 MIN_DOCS = 20
+#: Documents in which a line without anything generalised recurs.
+LONG_WORDS = 8
+LONG_DOCS = 2
+SHORT_DOCS = 5
 
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _FIELD = np.uint64(0x2545F4914F6CDD1D)
+#: The two low bits of a template's hash tell what it is.
+_TEMPLATE, _LONG, _SHORT = range(3)
 
 
-def line_templates(chunk: _text.Words, leading: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document in the chunk, line of the document, hashes of its three templates) of the lines with min_words or more words."""
-    hashes = chunk.hashes(lower=True)
+def line_templates(chunk: _text.Words, leading: int, min_words: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document in the chunk, line of the document, hash) of the three templates of lines with min_words or more words and, with exact, of every line."""
+    plain = chunk.hashes(lower=True)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[chunk.data])])
-    hashes[digits[chunk.end] > digits[chunk.start]] = _FIELD
+    hashes = np.where(digits[chunk.end] > digits[chunk.start], _FIELD, plain)
     breaks = np.flatnonzero(chunk.data == 10)
     doc = np.repeat(np.arange(len(chunk.bounds) - 1), np.diff(chunk.bounds))
     line = np.searchsorted(breaks, chunk.start) - np.searchsorted(breaks, chunk.text_bounds[:-1])[doc]
     begins = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])])) if len(doc) else np.empty(0, np.int64)
     size = np.diff(np.append(begins, len(doc)))
     place = np.arange(len(doc)) - np.repeat(begins, size)
-    weighted = _text.mix(hashes + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    field = _text.mix(_FIELD + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    out = []
-    for kind, half in ((0, None), (1, 0), (2, 1)):
-        term = weighted if half is None else np.where((place >= leading) & (place % 2 == half), field, weighted)
+    at = place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+    def line_hashes(term, kinds, low):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term)])
-        kinds = np.where(size >= GENERAL_WORDS, kind, 0).astype(np.uint64)  # of a short line too little would be left
-        sums_of = sums[begins + size] - sums[begins]
-        if kind:
-            sums_of = np.where(kinds > 0, sums_of, exact)
-        else:
-            exact = sums_of
-        out.append(_text.mix(sums_of + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + kinds))
-    long = size >= min_words
-    return doc[begins][long], line[begins][long], np.stack(out, axis=1)[long] if len(begins) else np.empty((0, 3), np.uint64)
-
-
-def template_rows(docs: DataFrame, leading: int, min_words: int) -> DataFrame:
+        whole = _text.mix(sums[begins + size] - sums[begins] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + kinds.astype(np.uint64))
+        return whole & ~np.uint64(3) | low.astype(np.uint64)
+
+    weighted, field = _text.mix(hashes + at), _text.mix(_FIELD + at)
+    long, general = size >= min_words, size >= max(GENERAL_WORDS, min_words)  # of a short line too little would be left
+    out = [(long, line_hashes(weighted, np.zeros(len(size)), np.full(len(size), _TEMPLATE)))]
+    for kind, half in ((1, 0), (2, 1)):
+        term = np.where((place >= leading) & (place % 2 == half), field, weighted)
+        out.append((general, line_hashes(term, np.full(len(size), kind), np.full(len(size), _TEMPLATE))))
+    if exact:
+        out.append((size > 0, line_hashes(_text.mix(plain + at), np.full(len(size), 3), np.where(size >= LONG_WORDS, _LONG, _SHORT))))
+    return tuple(np.concatenate([x[chosen] for chosen, x in parts]) for parts in ([(c, doc[begins]) for c, _ in out], [(c, line[begins]) for c, _ in out], out))
+
+
+def template_rows(docs: DataFrame, leading: int, min_words: int, exact: bool = False) -> DataFrame:
     """doc_id, version (of the text), template, lines: the lines of a document with each of its templates."""
 
     def run(batches):
         for b in batches:
             ids, versions = b.column(0), b.column(2)
-            for c in _text.word_chunks(b.column(1), 8 * _text.CHUNK_BYTES):
-                doc, line, templates = line_templates(c, leading, min_words)
-                if not len(doc):
+            for c in _text.word_chunks(b.column(1), 4 * _text.CHUNK_BYTES):
+                d, n, flat = line_templates(c, leading, min_words, exact)
+                if not len(d):
                     continue
-                flat, d, n = templates.ravel(), np.repeat(doc, 3), np.repeat(line, 3)
                 order = np.lexsort((n, flat, d))
                 flat, d, n = flat[order], d[order], n[order]
                 new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (flat[1:] != flat[:-1])]))
@@ -89,20 +99,23 @@ def template_rows(docs: DataFrame, leading: int, min_words: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(run, "doc_id long, version long, template long, lines array<int>")
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_words: int = MIN_WORDS, exact: bool = False) -> DataFrame:
     """doc_id and `drop`, the sorted numbers (from 0) of its lines that go; only documents that lose any."""
     named = docs.where("doc_id IS NOT NULL")
-    first = named.select("doc_id", F.xxhash64("text").alias("version")).groupBy("version").agg(F.min("doc_id").alias("doc_id"))
-    rows = _spark.cut(template_rows(named, leading, min_words), "line-templates")
-    single = rows.join(first, ["doc_id", "version"], "left_semi").groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"))
-    recurring = single.where(F.col("docs") >= min_docs).select("template", "keeper")
+    first = named.groupBy(F.xxhash64("text").alias("version"), "doc_id").agg(F.count("*").alias("n")).groupBy("version").agg(F.min(F.struct("doc_id", "n")).alias("f")).select("version", "f.*")
+    rows = _spark.cut(template_rows(named, leading, min_words, exact), "line-templates")
+    # n rows that repeat id and text are one document
+    single = rows.join(first, ["doc_id", "version"]).groupBy("template").agg(F.sum(1 / F.col("n")).alias("docs"), F.min("doc_id").alias("keeper"))
+    low = F.col("template").bitwiseAND(3)
+    least = F.when(low == _LONG, LONG_DOCS).when(low == _SHORT, SHORT_DOCS).otherwise(min_docs)
+    recurring = single.where(F.round("docs") >= least).select("template", "keeper")
     gone = rows.join(recurring, "template").where("doc_id > keeper").select("doc_id", "lines")
     return gone.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_words: int = MIN_WORDS, count_as: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADING, min_words: int = MIN_WORDS, count_as: str | None = None, exact: bool = False) -> DataFrame:
     """All columns of docs, the text without its dropped lines, and their number if `count_as` names a column for it."""
-    drop = _spark.cut(dropped_lines(docs, min_docs, leading, min_words), "line-drops").select(F.struct("doc_id", "drop").alias("gone"))
+    drop = _spark.cut(dropped_lines(docs, min_docs, leading, min_words, exact), "line-drops").select(F.struct("doc_id", "drop").alias("gone"))
     # a list of line numbers is far larger in memory than its file, so Spark's own choice may broadcast too much
     met = docs.alias("kept").join(drop.alias("lost").hint("merge"), F.col("kept.doc_id") == F.col("lost.gone.doc_id"), "left")
     old, gone = F.col("kept.text"), F.col("lost.gone.drop")
@@ -114,5 +127,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leading: int = LEADIN
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = _spark.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, count_as="n_dropped")
+    out = dedup_lines(docs, count_as="n_dropped", exact=True)
     return out.select("doc_id", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"))

@@ -166,6 +166,18 @@ def test_lines(spark):
     assert lines.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_exact_lines(spark):
+    own = lambda k: " ".join("".join(random.Random(100 * k + j).choices("abcdefgh", k=6)) for j in range(9))
+    long, rare = "this long line of eight words stands twice", "stands in four"
+    texts = [own(k) + "\nAll rights  reserved.\n\nMenu" + (f"\n{long}" if k in (2, 7) else "") + (f"\n{rare}" if k < 4 else "") for k in range(8)]
+    again = own(20) + "\nonly in a row that stands twice or more often"
+    docs = frame(spark, [*texts, again, again]).unionByName(frame(spark, [*texts, again]).where("doc_id = 8"))
+    rows = lines.dedup_lines(docs, exact=True).collect()
+    out = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) == 11 and out[0] == texts[0] and out[2] == f"{own(2)}\n\n{long}\n{rare}" and out[7] == f"{own(7)}\n"
+    assert all(out[k] == texts[k].replace("All rights  reserved.\n", "").replace("\nMenu", "") for k in range(1, 7)) and out[8] == out[9] == again
+
+
 def test_decontamination(spark):
     question = "If the train leaves at 30 km per hour and Anna walks to Paris for 2 hours how far does the train get before Anna arrives"
     again = question.replace("30", "45").replace("Anna", "Boris")
