@@ -5,8 +5,8 @@ num/den.  Such a pair shares a token among the first n - ceil(num n/den) + 1 of
 set under EVERY global token order.  Candidates come from the first order and must
 pass two others (plain hash orders) before they are verified on the full sets.
 
-1. Documents with equal sets form a class (128-bit fingerprint and size), of which the
-   smallest id stands for all: copies are never joined with each other.
+1. Documents with equal sets form a class (128-bit fingerprint and size), joined as one
+   row under a 64-bit key of the fingerprint: copies are never joined with each other.
 2. The first order is rare-first: by token counts over all documents, kept in a
    count sketch of fixed size, then by hash.  Any function of the token alone is a valid
    order, so the sketch's collisions cost candidates, never links.  Shared passages rank last.
@@ -17,12 +17,13 @@ pass two others (plain hash orders) before they are verified on the full sets.
    of one text is not expanded into pairs.
 5. Sizes and positions bound the possible overlap before a pair is made.
 
-Links inside a component that other links already connect are not needed for components
-and are not all verified; no component is missed.
+6. Every link lies inside a component, so when components are known the links of each class
+   are counted there: classes are dealt to blocks, and every two blocks of a component meet in one
+   task that takes all overlaps from bitmaps.  Pairs are counted, never made rows.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; texts
 shorter than a shingle are one shingle; repeated rows of an id are one document
-if their texts agree and otherwise each count under that id; an empty table gives an
+if their texts agree and otherwise each count, with a class each, under that id; an empty table gives an
 empty result; a null id is a document of its own class only; other columns are ignored.
 """
 
@@ -41,6 +42,10 @@ from .components import components
 #: Slots of the count sketch: 2 MB on the driver and in each Python worker, whatever the input.
 SKETCH_BITS = 21
 BLOCK_BITS = 16
+#: Classes and tokens of a block of a component, and columns of its bitmaps made at once.
+BLOCK_CLASSES = 256
+BLOCK_TOKENS = 1 << 18
+COLUMNS = 4096
 
 
 def shingle_sets(batch_column: pa.Array, n: int):
@@ -51,17 +56,28 @@ def shingle_sets(batch_column: pa.Array, n: int):
             yield c.first + k, np.unique(_text.ngrams(hashes[c.bounds[k] : c.bounds[k + 1]], n))
 
 
+def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits of each set in two halves, and the 64-bit key of its class."""
+    low = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+    high = np.array([np.bitwise_xor.reduce(_text.mix(s + np.uint64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], dtype=np.uint64)
+    sizes = np.array([len(s) for s in sets], dtype=np.uint64)
+    return low, high, _text.mix(low ^ _text.mix(high + sizes))
+
+
+def class_ids(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(_text.signed(fingerprints(sets)[2]))
+
+
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit fingerprint of the set."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the set and the id of its class."""
 
     def run(batches):
         for b in batches:
             sets = [s for _, s in shingle_sets(b.column(1), n)]
-            low = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-            high = np.array([np.bitwise_xor.reduce(_text.mix(s + np.uint64(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], dtype=np.uint64)
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_text.signed(low)), pa.array(_text.signed(high))], names=["doc_id", "n_shingles", "low", "high"])
+            low, high, ids = (pa.array(_text.signed(x)) for x in fingerprints(sets))
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), low, high, ids], names=["doc_id", "n_shingles", "low", "high", "id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, low long, high long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, low long, high long, id long")
 
 
 def token_ranks(docs: DataFrame, n: int) -> np.ndarray:
@@ -105,48 +121,48 @@ def prefix_length(size: int, num: int, den: int) -> int:
 
 
 def prefixes(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    """id, n and `first`, the prefix under the rare-first order, in order."""
+    """id (of the class), n and `first`, the prefix under the rare-first order, in order."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
         rank = shared.value
         for b in batches:
-            sizes, first = [], []
-            for _, s in shingle_sets(b.column(1), n):
-                sizes.append(len(s))
+            sets, first = [s for _, s in shingle_sets(b.column(1), n)], []
+            for s in sets:
                 # the set is sorted, so equal ranks stay in hash order
                 first.append(_text.signed(s[np.argsort(rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[: prefix_length(len(s), num, den)]]))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "n", "first"])
+            yield pa.record_batch([class_ids(sets), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "n", "first"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, n int, first array<long>")
 
 
 def other_prefixes(docs: DataFrame, ids: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """id, second and third: 32 bits of each token of the prefixes under two hash orders.
+    """id (of the class), second and third: 32 bits of each token of the prefixes under two hash orders.
 
-    A Bloom filter of the ids picks documents inside the scan, so texts are never shuffled; its false positives
+    A Bloom filter of the documents' ids picks documents inside the scan, so texts are never shuffled; its false positives
     are a few more rows here and meet no pair.
     """
 
     def run(batches):
         for b in batches:
-            out = [[], []]
-            for _, s in shingle_sets(b.column(1), n):
+            sets, out = [s for _, s in shingle_sets(b.column(1), n)], [[], []]
+            for s in sets:
                 p = prefix_length(len(s), num, den)
                 for k, key in enumerate((0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)):
                     other = _text.mix(s ^ np.uint64(key))
                     out[k].append((np.partition(other, p - 1)[:p] if 0 < p < len(s) else other).astype(np.uint32).view(np.int32))
-            yield pa.record_batch([b.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in out)], names=["id", "second", "third"])
+            yield pa.record_batch([class_ids(sets), *(pa.array(x, pa.list_(pa.int32())) for x in out)], names=["id", "second", "third"])
 
     return _bloom.pick(docs, _bloom.IdFilter(ids)).mapInArrow(run, "id long, second array<int>, third array<int>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id and tokens, the whole set, picked in the same way."""
+    """id (of the class) and tokens, the whole set, picked in the same way."""
 
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([_text.signed(s) for _, s in shingle_sets(b.column(1), n)], pa.list_(pa.int64()))], names=["id", "tokens"])
+            sets = [s for _, s in shingle_sets(b.column(1), n)]
+            yield pa.record_batch([class_ids(sets), pa.array([_text.signed(s) for s in sets], pa.list_(pa.int64()))], names=["id", "tokens"])
 
     return _bloom.pick(docs, _bloom.IdFilter(ids)).mapInArrow(run, "id long, tokens array<long>")
 
@@ -157,10 +173,10 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
     return F.least(n1 - p1, n2 - p2) * (num + den) >= (n1 + n2) * num
 
 
-def linked(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) those that link: they share a prefix token under the other orders, then the full sets decide."""
     pairs = _spark.cut(pairs, "join-pairs")
-    ends = lambda of: of.select(F.col("a").alias("id")).union(of.select("b")).distinct()
+    ends = lambda of: _spark.cut(representatives.join(of.select(F.col("a").alias("id")).union(of.select("b")).distinct(), "id", "left_semi").select("doc_id"), "join-ends")
     # both sides grow with the input: files of pairs are small for what they hold, so Spark may broadcast too much
     side = lambda of, c, *more: of.select(F.col("id").alias(c), *(F.col(m).alias(f"{c}_{m}") for m in more)).hint("merge")
     orders = _spark.cut(other_prefixes(docs, ends(pairs), n, num, den), "join-orders")
@@ -173,14 +189,13 @@ def linked(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Dat
 
 
 def link_classes(docs: DataFrame, representatives: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between representatives that connect all that is connected."""
-    orders = prefixes(docs, n, num, den, token_ranks(docs, n)).where("n > 0").dropDuplicates(["id"])
-    orders = _spark.cut(orders.join(representatives.select(F.col("doc_id").alias("id")), "id", "left_semi"), "join-orders")
+    """Links (a, b) between classes that connect all that is connected."""
+    orders = _spark.cut(prefixes(docs.where("doc_id IS NOT NULL"), n, num, den, token_ranks(docs, n)).where("n > 0").dropDuplicates(["id"]), "join-orders")
     entries = orders.select("id", "n", F.posexplode("first").alias("pos", "token"))
     leaders = entries.groupBy("token").agg(F.count("*").alias("_c"), F.min(F.struct("pos", "n", "id")).alias("lead")).where("_c > 1").drop("_c")
     entries = _spark.cut(entries.join(leaders, "token"), "join-buckets")
     led = entries.alias("e").where("e.id <> e.lead.id").where(may_link("e", "e.lead", num, den))
-    stars = linked(led.select(F.col("e.lead.id").alias("a"), F.col("e.id").alias("b")).distinct(), docs, n, num, den)
+    stars = linked(led.select(F.col("e.lead.id").alias("a"), F.col("e.id").alias("b")).distinct(), docs, representatives, n, num, den)
     stars = _spark.cut(stars, "join-stars")
     parts = components(stars)
     placed = entries.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
@@ -189,26 +204,86 @@ def link_classes(docs: DataFrame, representatives: DataFrame, n: int, num: int,
     placed = _spark.cut(placed, "join-parts")
     outside = placed.where("out").alias("x")
     pairs = outside.join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part")) & (~F.col("y.out") | (F.col("x.id") < F.col("y.id"))) & may_link("x", "y", num, den))
-    rest = linked(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), docs, n, num, den)
+    rest = linked(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), docs, representatives, n, num, den)
     return stars.unionByName(rest)
 
 
-def ngram_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set), n_links (of its class, as far as verified), component_id."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of left shares with each of right."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    _, token, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # tokens of one set alone are no overlap
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    row, column = row[times[token] > 1], number[token[times[token] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        own = slice(*np.searchsorted(column, (first, first + COLUMNS)))
+        part = np.zeros((len(left) + len(right), COLUMNS), dtype=bool)
+        part[row[own], column[own] - first] = True
+        bits = np.packbits(part, axis=1).view(np.uint64)
+        for k in range(len(left)):
+            out[k] += np.bitwise_count(bits[len(left) :] & bits[k]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def link_counts(docs: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """id and n_links, the links of each class, of members (id, doc_id, n_shingles, part): all pairs of each part are verified."""
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, at = np.unique(table.column("id").to_numpy(), return_index=True)  # a picked copy is the same class
+        table = table.take(pa.array(at))
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        lists = table.column("tokens").combine_chunks()
+        flat, bounds = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        sets = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        i, j = key[1].as_py(), key[2].as_py()
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(x) or not len(y):
+            return pa.table({"id": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+        sizes = np.diff(bounds).astype(np.int64)
+        links = overlaps([sets[k] for k in x], [sets[k] for k in y]) * (num + den) >= (sizes[x][:, None] + sizes[y][None, :]) * num
+        if i == j:
+            np.fill_diagonal(links, False)
+            return pa.table({"id": ids[x], "n_links": links.sum(axis=1, dtype=np.int64)})
+        return pa.table({"id": np.concatenate([ids[x], ids[y]]), "n_links": np.concatenate([links.sum(axis=1, dtype=np.int64), links.sum(axis=0, dtype=np.int64)])})
+
+    totals = members.groupBy("part").agg(F.count("*").alias("_k"), F.sum("n_shingles").alias("_t"))
+    members = _spark.cut(members.join(totals, "part"), "join-members")
+    blocks = F.ceil(F.greatest(F.col("_k") / BLOCK_CLASSES, F.col("_t") / BLOCK_TOKENS)).cast("int")
+    open_ = members.where("_k > 2").select("id", "part", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    sets = full_sets(docs, members.where("_k > 2").select("doc_id"), n)
+    met = sets.join(open_.hint("merge"), "id").select("id", "tokens", "part", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("id", "tokens", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    counted = met.groupBy("part", "i", "j").applyInArrow(count, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))
+    return counted.union(members.where("_k = 2").select("id", F.lit(1).cast("long")))  # a part of two is one link
+
+
+def joined_classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of each document doc_id, n_shingles, low and high; of each class these, id, class_id, part and component_id (nulls without links)."""
     sizes = _spark.cut(set_sizes(docs, n), "join-sizes")
-    key = ["n_shingles", "low", "high"]
-    classes = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(key).agg(F.min("doc_id").alias("class_id"))
-    links = _spark.cut(link_classes(docs, classes.select(F.col("class_id").alias("doc_id")), n, num, den), "join-links")
-    parts = components(links).select(F.col("id").alias("class_id"), "component")
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n_links"))
-    known = classes.join(parts, "class_id", "left").join(degree, "class_id", "left")
-    out = sizes.join(known, key, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    classes = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "low", "high").agg(F.min("id").alias("id"), F.min("doc_id").alias("class_id"))
+    classes = _spark.cut(classes, "join-classes")
+    links = link_classes(docs, classes.select("id", F.col("class_id").alias("doc_id")), n, num, den)
+    known = _spark.cut(classes.join(components(links).withColumnRenamed("component", "part"), "id", "left"), "join-known")
+    least = known.where("part IS NOT NULL").groupBy("part").agg(F.min("class_id").alias("component_id"))
+    return sizes.drop("id"), known.join(least, "part", "left")
+
+
+def ngram_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set), n_links (other classes that its class links with; only if count_links), component_id."""
+    sizes, known = joined_classes(docs, n, num, den)
+    if count_links:
+        degree = link_counts(docs, known.where("part IS NOT NULL").select("id", F.col("class_id").alias("doc_id"), "n_shingles", "part"), n, num, den)
+        known = known.join(_spark.cut(degree, "join-degrees"), "id", "left")
+    out = sizes.join(known, ["n_shingles", "low", "high"], "left")
+    count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), *count, F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One document of each component, the one with the smallest id; documents without words stay; all columns."""
-    groups = ngram_join(docs, n, num, den)
+    groups = ngram_join(docs, n, num, den, count_links=False)
     kept = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     return out

@@ -71,6 +71,21 @@ def test_ngram_join(spark, texts, n, num, den):
     assert ngram_join.ngram_join(frame(spark, []), n, num, den).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_all_links_of_a_group_count(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
+    words = prose(120, 1).split()
+    near = [" ".join([*words[:k], *(f"new{k}{j}" for j in range(m)), *words[k + m :]]) for k, m in ((0, 1), (30, 1), (60, 8), (90, 1), (118, 2))]
+    texts = [" ".join(words), " ".join(words), *near, prose(90, 2), prose(90, 2) + " more", prose(80, 7)]
+    ids = [*range(len(texts) - 1), 0]  # the last text repeats an id
+    docs = spark.createDataFrame([*zip(ids, texts, strict=True), (20, prose(80, 7) + " more")], "doc_id long, text string")
+    sets = {t: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in [*texts, prose(80, 7) + " more"]}
+    links = {t: sum(u != t and 190 * len(x & y) >= 90 * (len(x) + len(y)) for u, y in sets.items()) for t, x in sets.items()}
+    got = sorted((r["doc_id"], r["n_shingles"], r["n_links"]) for r in ngram_join.ngram_join(docs, 3, 90, 100).collect())
+    assert got == sorted((i, len(sets[t]), links[t]) for i, t in [*zip(ids, texts, strict=True), (20, prose(80, 7) + " more")])
+    assert max(links.values()) > 2 and links[texts[-1]] == 1
+
+
 def test_substrings(spark, texts):
     docs = [(t or "").encode().split() for t in texts]
     seen = Counter(tuple(w[k : k + 35]) for w in docs for k in range(len(w) - 34))
