@@ -13,7 +13,7 @@ short dropped after they were found.
 
 Defined cases: a null or empty text has no spans; offsets are code points, end exclusive;
 repeated rows give repeated results; other columns are ignored.  Texts are scanned whole;
-lexing looks only around operators, with bounded steps back and forward for names.
+lexing looks only around operators, back and forward over blanks, names and literals of any length.
 """
 
 from __future__ import annotations
@@ -44,8 +44,9 @@ SENSITIVE = {
 MIN_SCORE = 0.6
 
 _OPERATOR = re.compile(r":=|=>|[=:]")
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?[ \t]{0,8}\Z""")
-_VALUE = re.compile(r"""[ \t]{0,8}(?:"([^"\n]{1,4096})"|'([^'\n]{1,4096})'|([A-Za-z0-9+/_.=-]+))""")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_NAME_START = re.compile("[A-Za-z_]")
+_VALUE = re.compile(r"""[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([A-Za-z0-9+/_.=-]++))""")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -69,15 +70,28 @@ def randomness(literal: str) -> float:
     return min(1.0, entropy / 4.0) * (1.0 if classes > 1 else 0.6)
 
 
+def name_before(text: str, at: int) -> str | None:
+    """The name that ends before a place, after blanks and a quote.  Neither holds operators, so all walks of a text are linear in it."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if at and text[at - 1] in "\"'":
+        at -= 1
+    begin = at
+    while begin and text[begin - 1] in _NAME_CHARS:
+        begin -= 1
+    first = _NAME_START.search(text, begin, at)
+    return text[first.start() : at] if first else None
+
+
 def pairs(text: str) -> list[tuple[str, str, int, int]]:
     """(name, literal, start, end) of the assignments of a text, constants propagated, in order."""
     out, constants = [], {}
     for op in _OPERATOR.finditer(text):
-        before = _NAME_BEFORE.search(text, max(0, op.start() - 76), op.start())
-        value = before and _VALUE.match(text, op.end())
+        name = name_before(text, op.start())
+        value = name and _VALUE.match(text, op.end())
         if not value:
             continue
-        name, group = before[1], value.lastindex
+        group = value.lastindex
         literal, start, end = value[group], value.start(group), value.end(group)
         if group == 3 and _NAME.match(literal) and literal in constants:
             literal, start, end = constants[literal]

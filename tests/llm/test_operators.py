@@ -48,6 +48,14 @@ def test_secrets(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_pairs_of_any_width():
+    wide, blob, name = " " * 40, "Zq9sLk2mNb7Vc4" * 400, "client_secret_" + "of_some_service_" * 6
+    text = f'client_pwd{wide}={wide}"Zq9sLk2mNb7Vc4"\nauth_pwd = client_pwd\nprivate_key: "{blob}"\n{name} = Xq9sLk2mNb7Vc4\n'
+    assert [(n, v) for n, v, _, _ in secrets.pairs(text)] == [("client_pwd", "Zq9sLk2mNb7Vc4"), ("auth_pwd", "Zq9sLk2mNb7Vc4"), ("private_key", blob), (name, "Xq9sLk2mNb7Vc4")]
+    named = [text[s:e] for k, s, e in secrets.scan(text) if k == "named"]
+    assert "Zq9sLk2mNb7Vc4" in named and blob in named and "Xq9sLk2mNb7Vc4" in named
+
+
 def brute_components(texts, n, num, den):
     sets = []
     for t in texts:
