@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,12 +22,12 @@ def build(hashes: DataFrame, bits: int) -> np.ndarray:
     """The packed filter of a one-column frame of longs: 2**bits / 8 bytes, whatever the input."""
 
     def run(batches):
-        mask = np.zeros(1 << bits, dtype=bool)
+        mask = np.zeros((1 << bits) // 8, dtype=np.uint8)
         for b in batches:
             for at in places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
-                mask[at] = True
+                np.bitwise_or.at(mask, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         if mask.any():
-            yield pa.record_batch([pa.array([pa.compress(np.packbits(mask, bitorder="little").tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["bits"])
+            yield pa.record_batch([pa.array([pa.compress(mask.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["bits"])
 
     out = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for r in hashes.mapInArrow(run, "bits binary").toLocalIterator():  # one bitmap at a time
@@ -44,24 +46,33 @@ ID_BITS, MAX_BITS = 16, 27
 
 
 class IdFilter:
-    """A filter of the ids in a one-column frame, for picking documents inside a scan, before any shuffle.
+    """The ids in a one-column frame, for picking documents inside a scan, before any shuffle.
 
-    Its size follows the number of ids up to 2**MAX_BITS bits; beyond that, more documents pass than need to.
+    Up to 2**MAX_BITS / ID_BITS ids make a broadcast Bloom filter that follows their number; more are met in a join.
     """
 
     def __init__(self, ids: DataFrame):
-        self.bits = min(max(int(ids.count()) * ID_BITS, 1 << 16).bit_length(), MAX_BITS)
-        key = F.xxhash64(ids.columns[0])
-        self.shared = ids.sparkSession.sparkContext.broadcast(build(ids.select(key.alias("key")), self.bits))
+        self.ids, n = ids.toDF("_picked"), int(ids.count())
+        self.shared = None
+        if n * ID_BITS <= 1 << MAX_BITS:
+            self.bits = max(n * ID_BITS, 1 << 16).bit_length()
+            self.shared = ids.sparkSession.sparkContext.broadcast(build(ids.select(F.xxhash64(ids.columns[0]).alias("key")), self.bits))
 
 
-def pick(docs: DataFrame, ids: IdFilter, inside: bool = True) -> DataFrame:
-    """doc_id and text of the documents whose id may be (or, not inside, cannot be) among ids."""
-    shared, bits = ids.shared, ids.bits
+def pick(docs: DataFrame, ids: IdFilter, run: Callable | None = None, schema: str = "doc_id long, text string", inside: bool = True) -> DataFrame:
+    """What `run` makes of batches of doc_id and text of the documents whose id may be (or, not inside, cannot be) among ids.
 
-    def run(batches):
+    Without `run`, doc_id and text themselves.  Both happen in one pass of one Python worker.
+    """
+    run, shared = run or (lambda batches: batches), ids.shared
+    if shared is None:
+        met = docs.select("doc_id", "text").join(ids.ids.distinct(), docs["doc_id"] == ids.ids["_picked"], "left_semi" if inside else "left_anti")
+        return met.mapInArrow(run, schema)
+    bits = ids.bits
+
+    def chosen(batches):
         for b in batches:
             may = has(shared.value, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64), bits)
             yield b.filter(pa.array(may if inside else ~may)).select(["doc_id", "text"])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "doc_id long, text string")
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(lambda batches: run(chosen(batches)), schema)

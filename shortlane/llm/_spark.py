@@ -10,23 +10,29 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and bytes of an Arrow batch, for as long as the session has Spark's defaults.
 BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset and Spark is local (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="shortlane-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch from Spark's default, which holds too much of long texts at once; another value stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers Spark's default limits of an Arrow batch, which hold too much of long texts at once; other values stay."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key, None)
+        if held == default or default is None and int(held or 0) in (0, 2**31 - 1, 2**63 - 1):
+            spark.conf.set(key, str(value))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

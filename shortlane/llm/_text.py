@@ -20,7 +20,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes worked on at once.  Bounds the scratch arrays; a longer text is a chunk alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -153,7 +153,7 @@ def other_prefixes(docs: DataFrame, ids: DataFrame, n: int, num: int, den: int)
                     out[k].append((np.partition(other, p - 1)[:p] if 0 < p < len(s) else other).astype(np.uint32).view(np.int32))
             yield pa.record_batch([class_ids(sets), *(pa.array(x, pa.list_(pa.int32())) for x in out)], names=["id", "second", "third"])
 
-    return _bloom.pick(docs, _bloom.IdFilter(ids)).mapInArrow(run, "id long, second array<int>, third array<int>")
+    return _bloom.pick(docs, _bloom.IdFilter(ids), run, "id long, second array<int>, third array<int>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -164,7 +164,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             sets = [s for _, s in shingle_sets(b.column(1), n)]
             yield pa.record_batch([class_ids(sets), pa.array([_text.signed(s) for s in sets], pa.list_(pa.int64()))], names=["id", "tokens"])
 
-    return _bloom.pick(docs, _bloom.IdFilter(ids)).mapInArrow(run, "id long, tokens array<long>")
+    return _bloom.pick(docs, _bloom.IdFilter(ids), run, "id long, tokens array<long>")
 
 
 def may_link(x: str, y: str, num: int, den: int) -> Column:

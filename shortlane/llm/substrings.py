@@ -184,7 +184,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     calls = occurrences.join(found, ["anchor", "stretch"]).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("phrases"))).alias("phrases"))
     called = _bloom.IdFilter(occurrences.select("doc_id").distinct())
     dealt = _bloom.pick(docs, called).join(calls, "doc_id", "left")
-    others = _bloom.pick(docs, called, inside=False).withColumn("phrases", F.lit(None).cast("array<string>"))
 
     def run(batches):
         for b in batches:
@@ -200,7 +199,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 first = last
 
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    return dealt.mapInArrow(run, schema).unionByName(others.mapInArrow(run, schema))
+    empty = lambda batches: (pa.record_batch([*b.columns, pa.nulls(b.num_rows, pa.list_(pa.string()))], names=["doc_id", "text", "phrases"]) for b in batches)
+    return dealt.mapInArrow(run, schema).unionByName(_bloom.pick(docs, called, lambda batches: run(empty(batches)), schema, inside=False))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
