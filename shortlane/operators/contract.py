@@ -7,6 +7,7 @@ Formats (dates) are warnings unless `strict`.  Unknown keys are legal.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -78,9 +79,17 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _broken(v: Column, f: Field) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _broken(value: Column, f: Field) -> Column:
     """The first thing wrong with a value: missing, null, type, range, enum, pattern, items or format; NULL if nothing."""
-    json_type = F.coalesce(F.schema_of_variant(v), F.lit(""))
+    return _let(value, lambda v: _let(F.coalesce(F.schema_of_variant(v), F.lit("")), lambda kind: _problem(v, kind, f)))
+
+
+def _problem(v: Column, json_type: Column, f: Field) -> Column:
     number = json_type.startswith("DECIMAL") | json_type.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
     value = _get(v, "$", "double")
     typed = {
@@ -107,21 +116,30 @@ def _broken(v: Column, f: Field) -> Column:
     return out
 
 
-def field_problem(raw: Column, f: Field) -> Column:
-    """What is wrong with a field of a record (in any item of an array), NULL if nothing or if its parent is absent."""
-    parent, _, leaf = f.path.rpartition(".")
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _children(raw: Column, parent: str) -> Column:
+    """The broken fields (rule, path, problem) of one object, or of any item of an array; none if the parent is no object."""
+    own = [(k, f) for k, f in enumerate(FIELDS, 1) if f.path.rpartition(".")[0] == parent]
+
+    def listed(problem: Callable[[str, Field], Column]) -> Column:
+        return F.filter(F.array(*(F.struct(F.lit(f"D{k:02d}").alias("rule"), F.lit(f.path).alias("path"), problem(f.path.rpartition(".")[2], f).alias("problem")) for k, f in own)), lambda x: x["problem"].isNotNull())
+
     if parent.endswith("[]"):
-        items = _get(raw, f"$.{parent[:-2]}", "array<variant>")
-        found = F.filter(F.transform(items, lambda x: _broken(_get(x, f"$.{leaf}", "variant"), f)), lambda p: p.isNotNull())
-        return F.try_element_at(found, F.lit(1))
-    own = _broken(_get(raw, f"$.{f.path}", "variant"), f)
-    return F.when(_get(raw, f"$.{parent}", "variant").isNotNull(), own) if parent else own
+        items = F.filter(F.coalesce(_get(raw, f"$.{parent[:-2]}", "array<variant>"), F.array().cast("array<variant>")), _is_object)
+        first = lambda xs, leaf, f: F.try_element_at(F.filter(F.transform(xs, lambda x: _broken(_get(x, f"$.{leaf}", "variant"), f)), lambda p: p.isNotNull()), F.lit(1))
+        return _let(items, lambda xs: listed(lambda leaf, f: first(xs, leaf, f)))
+    if not parent:
+        return listed(lambda leaf, f: _broken(_get(raw, f"$.{leaf}", "variant"), f))
+    return _let(_get(raw, f"$.{parent}", "variant"), lambda v: F.when(_is_object(v), listed(lambda leaf, f: _broken(_get(v, f"$.{leaf}", "variant"), f))))
 
 
 def violations(lines: DataFrame, strict: bool = False, keep: str = "line") -> DataFrame:
     """`keep`, rule (D01..D68), path, problem, severity of records (raw VARIANT) that are objects."""
-    listed = F.array(*(F.struct(F.lit(f"D{k:02d}").alias("rule"), F.lit(f.path).alias("path"), field_problem(F.col("raw"), f).alias("problem")) for k, f in enumerate(FIELDS, 1)))
-    broken = F.filter(listed, lambda x: x["problem"].isNotNull())
+    parents = dict.fromkeys(f.path.rpartition(".")[0] for f in FIELDS)
+    broken = _let(F.col("raw"), lambda raw: F.flatten(F.array_compact(F.array(*(_children(raw, p) for p in parents)))))
     severity = F.when((F.col("problem") == "format") & F.lit(not strict), "warn").otherwise("error")
     objects = lines.where(F.coalesce(F.schema_of_variant("raw"), F.lit("")).startswith("OBJECT"))
     return objects.select(keep, F.explode(broken).alias("x")).select(keep, "x.*").withColumn("severity", severity)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Dictionaries for reading job descriptions.
@@ -41,3 +42,32 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two vectors; NULL if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
+
+
+# The usual constants of the relevance score.
+K1, B = 1.2, 0.75
+
+
+def terms(text: str) -> list[str]:
+    """The different words of a job description, sorted."""
+    return sorted(set(re.findall(r"[^\W_]+", text.lower())))
+
+
+def relevance(texts: DataFrame, wanted: list[str], tokens: Column, name: str = "relevance") -> DataFrame:
+    """Adds how relevant each row's words are to the wanted ones, 0 to 1: BM25 over its largest possible value.
+
+    Rare words weigh more, by how many rows of `texts` have them; one aggregate row holds these statistics.
+    """
+    if not wanted:
+        return texts.withColumn(name, F.lit(0.0))
+    counts = F.transform(F.array(*map(F.lit, wanted)), lambda t: F.size(F.filter(F.col("_tokens"), lambda w: w == t)))
+    counted = texts.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>"))).withColumn("_tf", counts).withColumn("_len", F.size("_tokens")).drop("_tokens")
+    held = [F.sum((F.col("_tf")[k] > 0).cast("long")).alias(f"d{k}") for k in range(len(wanted))]
+    row = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *held).first()
+    n, mean = row["n"], row["mean"] or 1.0
+    idf = [math.log(1 + (n - (row[f"d{k}"] or 0) + 0.5) / ((row[f"d{k}"] or 0) + 0.5)) for k in range(len(wanted))]
+    norm = K1 * (1 - B + B * F.col("_len") / mean)
+    score = F.lit(0.0)
+    for k, weight in enumerate(idf):
+        score = score + F.lit(weight) * F.col("_tf")[k] / (F.col("_tf")[k] + norm)
+    return counted.withColumn(name, score / sum(idf)).drop("_tf", "_len")

@@ -9,7 +9,7 @@ arity leave all of them.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,9 +59,12 @@ def parsed(named: DataFrame) -> DataFrame:
         "id_ok": F.col("cid").rlike(ID_PATTERN), "rank_ok": is_canonical_int(F.col("rank_s")), "score_ok": to_float(F.col("score_s")).isNotNull(), "score": to_float(F.col("score_s")),
     })
     out = out.withColumn("in_range", F.col("rank_ok") & F.coalesce(F.when(F.length("rank_s") <= 3, F.col("rank_s").try_cast("int")).between(1, ROWS), F.lit(False)))
-    by_id = Window.partitionBy("cid", "id_ok").orderBy("row_num")
-    by_rank = Window.partitionBy("rank_s", "in_range").orderBy("row_num")
-    return out.withColumns({"id_again": F.col("id_ok") & (F.row_number().over(by_id) > 1), "rank_again": F.col("in_range") & (F.row_number().over(by_rank) > 1)})
+    # the first row of each id and rank: counted map-side, so a hot key is one row a task
+    for key, ok, name in (("cid", "id_ok", "_first_id"), ("rank_s", "in_range", "_first_rank")):
+        first = out.where(ok).groupBy(key).agg(F.min("row_num").alias(name))
+        out = out.join(first, key, "left")
+    again = {"id_again": F.col("id_ok") & (F.col("row_num") > F.col("_first_id")), "rank_again": F.col("in_range") & (F.col("row_num") > F.col("_first_rank"))}
+    return out.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in again.items()}).drop("_first_id", "_first_rank")
 
 
 def field_errors(rows: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def rankable(rows: DataFrame) -> DataFrame:
 
 def missing_ranks(rows: DataFrame) -> DataFrame:
     """rank: those of 1..100 that no row has."""
-    seen = rows.where("in_range").select(F.col("rank_s").cast("int").alias("rank")).distinct()
+    seen = rows.where("in_range").select(F.col("rank_s").try_cast("int").alias("rank")).distinct()
     return rows.sparkSession.range(1, ROWS + 1).select(F.col("id").cast("int").alias("rank")).join(seen, "rank", "left_anti")
 
 
@@ -91,40 +94,49 @@ def in_rank_order(rows: DataFrame) -> DataFrame:
     return ordering.with_next(keyed, ["by", "part"], [F.col("row_num")], ["rank_s", "score", "cid"])
 
 
+def is_rising() -> Column:
+    return F.col("next_rank_s").isNotNull() & less(F.col("score"), F.col("next_score"))
+
+
+def is_tied_wrongly() -> Column:
+    return F.col("next_rank_s").isNotNull() & equal(F.col("score"), F.col("next_score")) & (F.col("cid") > F.col("next_cid"))
+
+
 def rising(ordered: DataFrame) -> DataFrame:
     """Neighbours whose score rises with the rank."""
-    return ordered.where(F.col("next_rank_s").isNotNull() & less(F.col("score"), F.col("next_score")))
+    return ordered.where(is_rising())
 
 
 def tied_wrongly(ordered: DataFrame) -> DataFrame:
     """Neighbours with equal scores whose ids fall."""
-    return ordered.where(F.col("next_rank_s").isNotNull() & equal(F.col("score"), F.col("next_score")) & (F.col("cid") > F.col("next_cid")))
+    return ordered.where(is_tied_wrongly())
+
+
+def header_errors(rows: DataFrame) -> DataFrame:
+    """message for a first row (row_ix 0) that differs from the header in any way."""
+    wrong = rows.where((F.col("row_ix") == 0) & (F.col("cells") != F.array(*map(F.lit, HEADER))))
+    return wrong.select("row_ix", F.concat(F.lit(f"Row 1 (header) must be exactly:\n  {NAMES}\nFound:\n  "), F.array_join("cells", ",")).alias("message"))
 
 
 def report(rows: DataFrame) -> DataFrame:
     """phase, row_num, field, message of a file's rows (row_ix, cells), in the order of a report; empty if valid."""
     out = lambda df, phase, row, field, message: df.select(F.lit(phase).alias("phase"), row.cast("long").alias("row_num"), field.cast("int").alias("field"), message.alias("message"))
     zero = F.lit(0)
-    found = F.array_join("cells", ",")
-    header = rows.where((F.col("row_ix") == 0) & (F.col("cells") != F.array(*map(F.lit, HEADER))))
-    header = out(header, 1, zero, zero, F.concat(F.lit(f"Row 1 (header) must be exactly:\n  {NAMES}\nFound:\n  "), found))
+    header = out(header_errors(rows), 1, zero, zero, F.col("message"))
     numbered = data_rows(rows)
-    count = numbered.agg(F.count("*").alias("n")).where(F.col("n") != ROWS)
-    count = out(count, 2, zero, zero, F.format_string(f"After the header (row 1), there must be exactly {ROWS} data rows (rows 2–{ROWS + 1}); found %d.", "n"))
     arity = numbered.where(F.size("cells") != len(HEADER))
     arity = out(arity, 3, F.col("row_num"), zero, F.format_string(f"Row %d: expected {len(HEADER)} columns ({NAMES}), got %d.", "row_num", F.size("cells")))
+    count = numbered.agg(F.count("*").alias("n")).where(F.col("n") != ROWS)
+    count = out(count, 2, zero, zero, F.format_string(f"After the header (row 1), there must be exactly {ROWS} data rows (rows 2–{ROWS + 1}); found %d.", "n"))
     rows = parsed(fields(numbered))
-    errors = field_errors(rows)
     text = F.coalesce(*(F.when(F.col("rule") == k, F.format_string(m, "row_num", *{"id_duplicate": ["cid"], "rank_duplicate": ["rank_s"]}.get(k, []))) for k, m in MESSAGES.items() if "%d" in m))
-    errors = out(errors, 3, F.col("row_num"), F.col("field"), text)
+    errors = out(field_errors(rows), 3, F.col("row_num"), F.col("field"), text)
     missing = missing_ranks(rows).agg(F.array_sort(F.collect_list("rank")).alias("m")).where(F.size("m") > 0)
     missing = out(missing, 4, zero, zero, F.concat(F.lit(f"Each rank 1–{ROWS} must appear exactly once; missing: ["), F.array_join("m", ", "), F.lit("]")))
-    ordered = in_rank_order(rows)
-    place = ordering.numbered(ordered, F.struct("by", "part"), [F.col("row_num")], "place")
-    up = out(rising(place), 5, F.col("place"), zero, F.concat(F.lit("score must be non-increasing by rank: rank "), F.col("rank_s"), F.lit(" ("), python_repr("score"), F.lit(") < rank "), F.col("next_rank_s"), F.lit(" ("), python_repr("next_score"), F.lit(").")))
-    tie = out(tied_wrongly(place), 6, F.col("place"), zero, F.concat(F.lit("Equal scores at ranks "), F.col("rank_s"), F.lit(" and "), F.col("next_rank_s"), F.lit(": tie-break requires candidate_id ascending ("), python_repr("cid"), F.lit(" > "), python_repr("next_cid"), F.lit(").")))
-    parts = [header, count, arity, errors, missing, up, tie]
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    place = ordering.numbered(in_rank_order(rows), F.struct("by", "part"), [F.col("row_num")], "place", chunk=F.col("_bucket.by"))
+    # both order rules in one pass: a pair of neighbours breaks at most one of them
+    up = F.concat(F.lit("score must be non-increasing by rank: rank "), F.col("rank_s"), F.lit(" ("), python_repr("score"), F.lit(") < rank "), F.col("next_rank_s"), F.lit(" ("), python_repr("next_score"), F.lit(")."))
+    tie = F.concat(F.lit("Equal scores at ranks "), F.col("rank_s"), F.lit(" and "), F.col("next_rank_s"), F.lit(": tie-break requires candidate_id ascending ("), python_repr("cid"), F.lit(" > "), python_repr("next_cid"), F.lit(")."))
+    wrong = place.withColumn("phase", F.when(is_rising(), 5).when(is_tied_wrongly(), 6)).where("phase IS NOT NULL")
+    order = wrong.select("phase", F.col("place").cast("long").alias("row_num"), F.lit(0).alias("field"), F.when(F.col("phase") == 5, up).otherwise(tie).alias("message"))
+    return header.unionByName(count).unionByName(arity).unionByName(errors).unionByName(missing).unionByName(order)

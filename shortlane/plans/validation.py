@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from shortlane.functions import ordering
 from shortlane.functions.pyparity import is_canonical_int, is_float, strip, to_float
+from shortlane.operators import contract
 from shortlane.operators import validate as v
+from shortlane.plans import records as r
 from shortlane.plans import surrogate as s
 from shortlane.plans.surrogate import table
-from shortlane.sources.submission import CsvRows
+from shortlane.sources import candidates
+from shortlane.sources.submission import HEADER, CsvRows
 
 
 def _checked(spark, d) -> DataFrame:
@@ -24,8 +27,11 @@ def val_blank_filter(spark, d) -> DataFrame:
 
 
 def val_header_equality(spark, d) -> DataFrame:
-    cells = F.array(F.lit("r_regionkey"), F.col("r_name"))
-    return table(spark, d, "region").select("r_regionkey", (cells == F.array(F.lit("r_regionkey"), F.lit("ASIA"))).alias("is_header"))
+    """Each nation is the first row of a file; every fifth has the header, the others miss it in some way."""
+    key, names = F.col("n_nationkey"), F.array(*map(F.lit, HEADER))
+    cells = F.when(key % 5 == 0, names).when(key % 5 == 1, F.array_append(names, F.col("n_name"))).when(key % 5 == 2, F.transform(names, F.upper)).when(key % 5 == 3, F.reverse(names)).otherwise(F.transform(names, lambda x: F.concat(x, F.lit(" "))))
+    rows = table(spark, d, "nation").select("n_nationkey", F.lit(0).alias("row_ix"), cells.alias("cells"))
+    return rows.select("n_nationkey", "row_ix", "cells").transform(v.header_errors).groupBy("message").agg(F.count("*").alias("n"))
 
 
 def val_row_count(spark, d) -> DataFrame:
@@ -95,7 +101,9 @@ def val_tiebreak(spark, d) -> DataFrame:
 
 
 def val_report(spark, d) -> DataFrame:
-    return v.report(s.submission_rows(spark, d)).groupBy("phase").agg(F.count("*").alias("n"), F.sum("row_num").cast("long").alias("places"))
+    """The whole report of a file with every fault, message by message."""
+    header = table(spark, d, "region").where("r_regionkey = 0").select(F.lit(0).cast("long").alias("row_ix"), F.array(F.lit("candidate_id"), F.lit("Rank"), F.lower("r_name")).alias("cells"))
+    return v.report(s.submission_rows(spark, d).unionByName(header)).drop("field")
 
 
 def val_csv_dialect(spark, d) -> DataFrame:
@@ -103,45 +111,49 @@ def val_csv_dialect(spark, d) -> DataFrame:
     return texts.lateralJoin(CsvRows(F.col("content").outer())).select("r_regionkey", "row_ix", F.size("cells").alias("n"), F.array_join("cells", "|").alias("cells"))
 
 
-def _props(spark, d) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "props")
+def _violations(spark, d, *problems: str) -> DataFrame:
+    found = contract.violations(r.records(spark, d), keep="record")
+    return found.where(F.col("problem").isin(*problems)) if problems else found
+
+
+def contract_violations(spark, d) -> DataFrame:
+    """How often each rule D01 to D68 is broken, and how; every fault that a field can have is in some record."""
+    return _violations(spark, d).groupBy("rule", "path", "problem", "severity").agg(F.count("*").alias("n"), F.sum("record").cast("long").alias("records"))
 
 
 def contract_required_keys(spark, d) -> DataFrame:
-    keys = F.coalesce(F.json_object_keys("props"), F.array())
-    return _props(spark, d).select("event_id", F.array_contains(keys, "k").alias("has_k"), F.array_contains(keys, "absent").alias("has_absent"))
+    return _violations(spark, d, "missing", "null")
 
 
 def contract_enum_range(spark, d) -> DataFrame:
-    p = table(spark, d, "part")
-    return p.select("p_partkey", (~F.col("p_size").between(1, 40)).alias("bad_size"), (~F.col("p_brand").isin(*s.CORE_BRANDS)).alias("bad_brand"))
+    return _violations(spark, d, "enum", "pattern", "range").where(~F.col("path").endswith("skill_assessment_scores"))
 
 
 def contract_array_bounds(spark, d) -> DataFrame:
-    jobs = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))  # the size of the array, without building it
-    return jobs.select("o_custkey", "n", (~F.col("n").between(1, 10)).alias("bad"))
+    return _violations(spark, d, "items")
 
 
 def contract_map_values(spark, d) -> DataFrame:
-    scores = F.map_values(F.from_json("props", "map<string,double>"))
-    return _props(spark, d).select("event_id", F.coalesce(F.forall(scores, lambda x: x.between(0, 50)), F.lit(True)).alias("ok"))
+    return _violations(spark, d, "range").where(F.col("path").endswith("skill_assessment_scores"))
 
 
 def contract_date_parse(spark, d) -> DataFrame:
-    o = table(spark, d, "orders")
-    text = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-02-"), F.lpad((F.col("o_orderkey") % 31 + 1).cast("string"), 2, "0"))
-    return o.select("o_orderkey", F.try_to_date(text, "yyyy-MM-dd").isNotNull().alias("ok"))
+    return _violations(spark, d, "format")
 
 
 def contract_typed_json(spark, d) -> DataFrame:
-    raw = F.try_parse_json("props")
-    return _props(spark, d).select("event_id", F.try_variant_get(raw, "$.k", "bigint").alias("k"), F.from_json("props", "k bigint")["k"].alias("typed_k"))
+    return _violations(spark, d, "type")
+
+
+def contract_quarantine(spark, d) -> DataFrame:
+    return candidates.quarantine(r.records(spark, d)).groupBy("line").agg(F.count("*").alias("n"))
 
 
 _WITH = f"WITH {s.SUBMISSION_SQL}"
 SQL = {
     "val_blank_filter": f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content FROM documents) SELECT doc_id, count(*) AS n_lines FROM l WHERE len(list_filter(string_split(content, ','), lambda c: {s.strip_sql('c')} <> '')) > 0 GROUP BY doc_id",
-    "val_header_equality": "SELECT r_regionkey, r_name = 'ASIA' AS is_header FROM region",
+    "val_header_equality": f"""WITH h AS (SELECT CASE n_nationkey % 5 WHEN 1 THEN '{v.NAMES},' || n_name WHEN 2 THEN '{v.NAMES.upper()}' WHEN 3 THEN '{",".join(reversed(HEADER))}' WHEN 4 THEN '{",".join(x + " " for x in HEADER)}' END AS found FROM nation WHERE n_nationkey % 5 <> 0)
+      SELECT 'Row 1 (header) must be exactly:' || chr(10) || '  {v.NAMES}' || chr(10) || 'Found:' || chr(10) || '  ' || found AS message, count(*) AS n FROM h GROUP BY found""",
     "val_row_count": f"{_WITH} SELECT count(*) AS n, count(*) <> 100 AS wrong FROM numbered",
     "val_row_number": "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS row_num FROM orders",
     "val_arity": f"{_WITH} SELECT row_num, CAST(n AS BIGINT) AS n_cells FROM numbered WHERE n <> 4",
@@ -157,20 +169,24 @@ SQL = {
     "val_monotone": f"{_WITH} SELECT row_num, rank_s, next_rank_s, score, next_score FROM ordered WHERE next_rank_s IS NOT NULL AND NOT isnan(score) AND NOT isnan(next_score) AND score < next_score",
     "val_tiebreak": f"{_WITH} SELECT row_num, cid, next_cid FROM ordered WHERE next_rank_s IS NOT NULL AND NOT isnan(score) AND score = next_score AND cid > next_cid",
     "val_report": f"""{_WITH}, placed AS (SELECT *, row_number() OVER (ORDER BY CAST(rank_s AS BIGINT), row_num) AS place FROM ordered),
-      e AS (SELECT 2 AS phase, 0 AS spot FROM numbered HAVING count(*) <> 100
-        UNION ALL SELECT 3, row_num FROM numbered WHERE n <> 4
-        UNION ALL SELECT 3, row_num FROM checked WHERE NOT id_ok OR id_again
-        UNION ALL SELECT 3, row_num FROM checked WHERE NOT in_range OR rank_again
-        UNION ALL SELECT 3, row_num FROM checked WHERE score IS NULL
-        UNION ALL SELECT 4, 0 WHERE (SELECT count(DISTINCT rank_s) FROM checked WHERE in_range) < 100
-        UNION ALL SELECT 5, place FROM placed WHERE next_rank_s IS NOT NULL AND NOT isnan(score) AND NOT isnan(next_score) AND score < next_score
-        UNION ALL SELECT 6, place FROM placed WHERE next_rank_s IS NOT NULL AND NOT isnan(score) AND score = next_score AND cid > next_cid)
-      SELECT CAST(phase AS INTEGER) AS phase, count(*) AS n, CAST(sum(spot) AS BIGINT) AS places FROM e GROUP BY phase""",
-    "contract_required_keys": "SELECT event_id, list_contains(json_keys(props), 'k') AS has_k, list_contains(json_keys(props), 'absent') AS has_absent FROM events",
-    "contract_enum_range": f"SELECT p_partkey, NOT (p_size BETWEEN 1 AND 40) AS bad_size, p_brand NOT IN ({', '.join(repr(b) for b in s.CORE_BRANDS)}) AS bad_brand FROM part",
-    "contract_array_bounds": "SELECT o_custkey, count(*) AS n, NOT (count(*) BETWEEN 1 AND 10) AS bad FROM orders GROUP BY o_custkey",
-    "contract_map_values": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS DOUBLE) BETWEEN 0 AND 50, true) AS ok FROM events",
-    "contract_date_parse": "SELECT o_orderkey, TRY_CAST(strftime(o_orderdate, '%Y') || '-02-' || lpad(CAST(o_orderkey % 31 + 1 AS VARCHAR), 2, '0') AS DATE) IS NOT NULL AS ok FROM orders",
-    "contract_typed_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS typed_k FROM events",
+      e AS (SELECT 1 AS phase, 0 AS spot, 'Row 1 (header) must be exactly:' || chr(10) || '  {v.NAMES}' || chr(10) || 'Found:' || chr(10) || '  candidate_id,Rank,' || lower(r_name) AS message FROM region WHERE r_regionkey = 0
+        UNION ALL SELECT 2, 0, 'After the header (row 1), there must be exactly 100 data rows (rows 2–101); found ' || count(*) || '.' FROM numbered HAVING count(*) <> 100
+        UNION ALL SELECT 3, row_num, 'Row ' || row_num || ': expected 4 columns ({v.NAMES}), got ' || n || '.' FROM numbered WHERE n <> 4
+        UNION ALL SELECT 3, row_num, 'Row ' || row_num || CASE WHEN cid = '' THEN ': candidate_id is required.' WHEN NOT id_ok THEN ': candidate_id must be CAND_XXXXXXX (7 digits).' ELSE ': duplicate candidate_id ''' || cid || '''.' END FROM checked WHERE NOT id_ok OR id_again
+        UNION ALL SELECT 3, row_num, 'Row ' || row_num || CASE WHEN NOT rank_ok THEN ': rank must be an integer (1–100).' WHEN NOT in_range THEN ': rank must be between 1 and 100.' ELSE ': duplicate rank ' || rank_s || '.' END FROM checked WHERE NOT in_range OR rank_again
+        UNION ALL SELECT 3, row_num, 'Row ' || row_num || ': score must be a float.' FROM checked WHERE score IS NULL
+        UNION ALL SELECT 4, 0, 'Each rank 1–100 must appear exactly once; missing: [' || string_agg(CAST(k AS VARCHAR), ', ' ORDER BY k) || ']' FROM range(1, 101) t(k) WHERE k NOT IN (SELECT CAST(rank_s AS BIGINT) FROM checked WHERE in_range) HAVING count(*) > 0
+        UNION ALL SELECT 5, place, 'score must be non-increasing by rank: rank ' || rank_s || ' (' || CAST(score AS VARCHAR) || ') < rank ' || next_rank_s || ' (' || CAST(next_score AS VARCHAR) || ').' FROM placed WHERE next_rank_s IS NOT NULL AND NOT isnan(score) AND NOT isnan(next_score) AND score < next_score
+        UNION ALL SELECT 6, place, 'Equal scores at ranks ' || rank_s || ' and ' || next_rank_s || ': tie-break requires candidate_id ascending (''' || cid || ''' > ''' || next_cid || ''').' FROM placed WHERE next_rank_s IS NOT NULL AND NOT isnan(score) AND score = next_score AND cid > next_cid)
+      SELECT CAST(phase AS INTEGER) AS phase, CAST(spot AS BIGINT) AS row_num, message FROM e""",
+    "val_csv_dialect": """SELECT r_regionkey, unnest([0, 1, 2, 3]) AS row_ix, unnest([2, 3, 0, 1]) AS n, unnest([chr(65279) || 'a|b "q" ' || chr(10) || ' c', r_name || '||x', '', 'last']) AS cells FROM region""",
+    "contract_violations": f"WITH {r.VIOLATIONS_SQL} SELECT rule, path, problem, severity, count(*) AS n, CAST(sum(record) AS BIGINT) AS records FROM violations GROUP BY ALL",
+    "contract_required_keys": f"WITH {r.VIOLATIONS_SQL} SELECT record, rule, path, problem, severity FROM violations WHERE problem IN ('missing', 'null')",
+    "contract_enum_range": f"WITH {r.VIOLATIONS_SQL} SELECT record, rule, path, problem, severity FROM violations WHERE problem IN ('enum', 'pattern', 'range') AND path NOT LIKE '%skill_assessment_scores'",
+    "contract_array_bounds": f"WITH {r.VIOLATIONS_SQL} SELECT record, rule, path, problem, severity FROM violations WHERE problem = 'items'",
+    "contract_map_values": f"WITH {r.VIOLATIONS_SQL} SELECT record, rule, path, problem, severity FROM violations WHERE problem = 'range' AND path LIKE '%skill_assessment_scores'",
+    "contract_date_parse": f"WITH {r.VIOLATIONS_SQL} SELECT record, rule, path, problem, severity FROM violations WHERE problem = 'format'",
+    "contract_typed_json": f"WITH {r.VIOLATIONS_SQL} SELECT record, rule, path, problem, severity FROM violations WHERE problem = 'type'",
+    "contract_quarantine": "SELECT CASE WHEN o_orderkey % 401 = 0 THEN '{broken' ELSE '[1]' END AS line, count(*) AS n FROM orders WHERE o_orderkey % 401 = 0 OR o_orderkey % 409 = 0 GROUP BY 1",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "val_csv_dialect"]}
+QUERIES = {name: globals()[name] for name in SQL}
