@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
@@ -51,12 +52,27 @@ class IdFilter:
     Up to 2**MAX_BITS / ID_BITS ids make a broadcast Bloom filter that follows their number; more are met in a join.
     """
 
-    def __init__(self, ids: DataFrame):
+    def __init__(self, ids: DataFrame, hashed: bool = False):
+        """hashed: the ids are 64-bit hashes already."""
         self.ids, n = ids.toDF("_picked"), int(ids.count())
         self.shared = None
         if n * ID_BITS <= 1 << MAX_BITS:
+            key = F.col(ids.columns[0]) if hashed else F.xxhash64(ids.columns[0])
             self.bits = max(n * ID_BITS, 1 << 16).bit_length()
-            self.shared = ids.sparkSession.sparkContext.broadcast(build(ids.select(F.xxhash64(ids.columns[0]).alias("key")), self.bits))
+            self.shared = ids.sparkSession.sparkContext.broadcast(build(ids.select(key.alias("key")), self.bits))
+
+
+def may_have(ids: IdFilter, id_: Column) -> Column:
+    """Whether an id may be in the filter; true for all where there are too many to broadcast."""
+    if ids.shared is None:
+        return F.lit(True)
+    shared, bits = ids.shared, ids.bits
+
+    @F.pandas_udf("boolean")
+    def may(keys: pd.Series) -> pd.Series:
+        return pd.Series(has(shared.value, keys.to_numpy(dtype=np.int64).view(np.uint64), bits))
+
+    return may(F.xxhash64(id_))
 
 
 def pick(docs: DataFrame, ids: IdFilter, run: Callable | None = None, schema: str = "doc_id long, text string", inside: bool = True) -> DataFrame:
