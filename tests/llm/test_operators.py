@@ -177,13 +177,55 @@ def test_mixing(spark, texts):
     assert segments.where("n_words < 1").count() == 0 and mixing.mix_sources(docs.where("false"))[0].count() == 0
 
 
+def own_line(k):
+    return " ".join("".join(random.Random(100 * k + j).choices("abcdefgh", k=6)) for j in range(9))
+
+
+def brute_templates(texts, min_docs, leading=3):
+    """What stays of each text: templates as tuples with None for a generalised word, counted over different texts."""
+    def templates(line):
+        w = [None if re.search("[0-9]", x) else x.lower() for x in line.split()]
+        m, found = len(w) - leading, set()
+        masks = [lambda p: False, lambda p: 0 <= 2 * (p - leading) < m, lambda p: p >= leading and m <= 4 * (p - leading) < 3 * m, lambda p: p >= leading and 2 * (p - leading) >= m,
+                 lambda p: p >= leading and (p - leading) % 2 == 0, lambda p: p >= leading and (p - leading) % 2 == 1, lambda p: p == 0, lambda p: p < leading]
+        for k, mask in enumerate(masks):
+            t = tuple(None if x is None or mask(p) else x for p, x in enumerate(w))
+            literals = sum(x is not None for x in t)
+            if literals >= 4 and 2 * literals >= len(w) and (k == 0 or t != tuple(w)):
+                found.add((k, t))
+        return found
+
+    holders = {}
+    for i, t in texts.items():
+        for line in t.split("\n"):
+            for x in templates(line):
+                holders.setdefault(x, {}).setdefault(t, i)
+    keeper = {x: min(h.values()) for x, h in holders.items() if len(h) >= min_docs}
+    return {i: "\n".join(line for line in t.split("\n") if not any(i > keeper.get(x, 10**9) for x in templates(line))) for i, t in texts.items()}
+
+
+def test_lines_match_brute_force(spark):
+    r = random.Random(9)
+    names = ["".join(r.choices("klmnop", k=7)) for _ in range(60)]
+    shapes = ["{} joined our mailing list for news last week", "we met {} {} near the old town hall again", "posted by {} on day 12 under news and views", "please do not reply to {} about this old message", "{} {} {} all rights reserved under the law here", "see {} or call {} now"]
+    texts = {k: "\n".join([own_line(k), *(s.format(*r.choices(names, k=3)) for s in r.sample(shapes, 4)), f"{k} {k + 1} {k + 2} {k + 3} {k + 4}"]) for k in range(60)}
+    out = {x["doc_id"]: x["text"] for x in lines.dedup_lines(frame(spark, list(texts.values())), min_docs=12).collect()}
+    assert out == brute_templates(texts, 12)
+    gone = sum(t.count("\n") - out[k].count("\n") for k, t in texts.items())
+    assert gone > 100 and all(f"{k} {k + 1}" in out[k] for k in texts)  # a line of numbers has no template
+
+
 def test_lines(spark):
     line = "Copyright {} by the owners of this text all rights"
-    own = lambda k: " ".join("".join(random.Random(100 * k + j).choices("abcdefgh", k=6)) for j in range(9))
-    texts = [f"{own(k)}\n{line.format(1990 + k)}\nshort" for k in range(25)]
-    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, [*texts, None, "", texts[3]])).collect()}
+    texts = [f"{own_line(k)}\n{line.format(1990 + k)}\nshort" for k in range(25)]
+    rows = frame(spark, [*texts, None, "", texts[3]])
+    rows = rows.unionByName(spark.createDataFrame([(7, "three words here\nof another text\nunder a known id", *[None] * 8), (None, texts[5], *[None] * 8)], SCHEMA))
+    found = lines.dedup_lines(rows).collect()
+    out = {r["doc_id"]: r["text"] for r in found if not (r["text"] or "").startswith("three") and r["doc_id"] is not None}
     assert out[0] == texts[0] and all(out[k] == texts[k].replace("\n" + line.format(1990 + k), "") for k in range(1, 25))
-    assert out[25] is None and out[26] == "" and out[27] == out[3]
+    assert out[25] is None and out[26] == "" and out[27] == out[3] and len(found) == 30
+    assert {r["text"] for r in found if r["doc_id"] is None} == {texts[5]}
+    assert "three words here\nof another text\nunder a known id" in {r["text"] for r in found if r["doc_id"] == 7}
     few = lines.dedup_lines(frame(spark, texts[:5] * 8))  # copies do not make their own lines recur
     assert all(r["text"] == texts[r["doc_id"] % 5] for r in few.collect())
     assert lines.dedup_lines(frame(spark, [])).count() == 0
@@ -204,16 +246,36 @@ def test_exact_lines(spark):
 def test_decontamination(spark):
     question = "If the train leaves at 30 km per hour and Anna walks to Paris for 2 hours how far does the train get before Anna arrives"
     again = question.replace("30", "45").replace("Anna", "Boris")
-    wrong = question.replace("Anna walks", "Boris walks")
     bench = spark.createDataFrame([(1, question), (2, None), (3, "")], "item_id long, text string")
-    docs = frame(spark, [prose(30, 1) + " " + question + " " + prose(30, 2), "so " + again, wrong, prose(200, 3), None, ""])
-    found = {r["doc_id"]: r for r in decontaminate.contaminations(docs, bench).collect()}
-    assert set(found) >= {0, 1} and found[1]["reworded"] and not found[0]["reworded"] and 3 not in found
-    strict = {r["doc_id"] for r in decontaminate.contaminations(docs, bench, min_coverage=0.9, min_windows=99).collect()}
-    assert 0 in strict and 2 not in strict
-    kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and {3, 4, 5} <= {r["doc_id"] for r in kept.collect()}
-    assert decontaminate.contaminations(docs, bench.where("false")).count() == 0
+    texts = [prose(30, 1) + " " + question + " " + prose(30, 2), "so " + again, question.replace("Anna walks", "Boris walks"), prose(200, 3), None, ""]
+    found = {r["doc_id"]: r for r in decontaminate.contaminations(frame(spark, [*texts, texts[0]]), bench).collect()}
+    assert set(found) == {0, 1, 2, 6} and found[1]["reworded"] and not found[0]["reworded"]
+    strict = {r["doc_id"] for r in decontaminate.contaminations(frame(spark, texts), bench, min_coverage=0.9, min_windows=99, min_run=99).collect()}
+    assert strict == {0, 1}
+    kept = decontaminate.drop_contaminated(frame(spark, texts), bench)
+    assert kept.columns == frame(spark, []).columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 5}
+    assert decontaminate.contaminations(frame(spark, texts), bench.where("false")).count() == 0
+    assert decontaminate.contaminations(frame(spark, []), bench).count() == 0
+
+
+def test_changed_questions_are_found(spark):
+    """Items asked again with other numbers, names and units, and clean texts over the same words."""
+    r, words = random.Random(11), "price ticket garden river letter market winter bottle engine window kitchen planet doctor basket ladder summer pencil mirror".split()
+    first, last = ["Anna", "Boris", "Chen", "Dora", "Emil", "Farid"], ["Lee", "Novak", "Okoro", "Perez"]
+    name = lambda: r.choice(first) + (" " + r.choice(last) if r.random() < 0.4 else "")
+    number = lambda: r.choice([str(r.randrange(2, 90)), f"{r.randrange(1, 9)},{r.randrange(100, 999)}", f"{r.randrange(1, 90)}.5"])
+    shapes = []
+    for _ in range(40):
+        text = [r.choice(words) for _ in range(28)]
+        for p in r.sample(range(1, 28), 5):
+            text[p] = r.choice(["{a}", "{x}", "{y}"])
+        shapes.append("The " + " ".join(text))
+    ask = lambda s: s.format(a=name(), x=number(), y=number())
+    bench = spark.createDataFrame([(k, ask(s)) for k, s in enumerate(shapes)], "item_id long, text string")
+    variants = [prose(20, k) + ". " + ask(s) + ". " + prose(20, 99 + k) for k, s in enumerate(shapes)]
+    clean = ["The " + " ".join(r.choice(words) for _ in range(28)) + " " + number() + " " + name() for _ in range(60)]
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminations(frame(spark, variants + clean), bench).collect()}
+    assert len(found & {(k, k) for k in range(40)}) >= 36 and not {d for d, _ in found} & set(range(40, 100))
 
 
 def test_pipeline_stages(spark):
