@@ -2,19 +2,21 @@
 
 The words of each source are laid end to end and packed into blocks of `block_words`
 words.  The mix is a list of output shards with a fixed number of slots; every slot holds
-one block.  How many slots of a shard each source gets is a multinomial draw,
-conditioned on the source's total so that totals are met exactly.  The slots
-of a source are numbered through all shards, and slot q takes block permutation(q) of its
-epoch, a keyed bijection of the block numbers, so an epoch takes each block once and a
-document is never taken more often than its source has epochs.  Blocks meet slots in a
+one block.  How many slots of a shard each source gets is a multinomial draw conditioned on the sources' totals, so
+that totals are met exactly: each slot draws, without replacement, one of all the slots that the sources are due, by
+a keyed permutation of their number.  What it draws is also the number of the slot within its source,
+and slot q of a source takes block permutation(q) of its epoch, a keyed bijection of the block numbers, so an epoch takes
+each block once and a document is never taken more often than its source has epochs.  Blocks meet slots in a
 join on (source, block).
 
+Shards are drawn in tasks, each from the seed and its number alone; the driver holds one row a source.
+
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share all
 words; a target stops at `max_epochs` times its source's size and the excess is
 shared again by weight.
 
-Only one row per source ever reaches the driver (`source` is a configuration-sized
-column: the mix has a target weight for each of its values).
+`source` is a configuration-sized column: the mix has a target weight for each of its values.  More than MAX_SOURCES
+values are an error, before any of them is collected.
 
 Defined cases: null or blank texts have size 0 and are never taken; a null source is a
 source of its own; repeated rows (same id, same text) are separate stretches of words;
@@ -23,9 +25,11 @@ an empty table gives an empty mix; other columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _spark
@@ -33,8 +37,8 @@ from ._spark import WORD
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
-#: Larger mixes get larger shards, not more: the draws are made on the driver.
-MAX_SHARDS = 10_000
+#: Sources of a mix: their numbers, sizes and targets are held by the driver and every task.
+MAX_SOURCES = 1_000_000
 MAX_EPOCHS = 3
 #: Rows of one source that one task lays out; a source has as many stretches as it needs.
 STRETCH_ROWS = 4096
@@ -107,7 +111,7 @@ def layout(docs: DataFrame) -> DataFrame:
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("_tie"))
     sized = _spark.cut(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.count("*").alias("_rows"), F.sum("size").alias("source_size"))
-    sized = sized.join(F.broadcast(per_source), sized["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
+    sized = sized.join(per_source, sized["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
     sized = sized.withColumn("_stretch", F.pmod(F.col("_tie"), F.ceil(F.col("_rows") / STRETCH_ROWS)))
     starts = sized.groupBy("source", "_stretch").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,19 +122,70 @@ def layout(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "source", "size", "source_size", (F.col("_start") + F.col("_before")).alias("offset"))
 
 
-def draw_shards(slots: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard: multinomial draws conditioned on the totals in `slots`."""
-    random, left, rows = np.random.Generator(np.random.PCG64(seed)), slots.astype(np.int64).copy(), []
-    while left.sum() > 0:
-        take = min(shard_slots, int(left.sum()))
-        got, pool, need = np.zeros_like(left), int(left.sum()), take
-        for i, have in enumerate(left):  # one source after another: the exact conditional multinomial
-            pool -= int(have)
-            got[i] = random.hypergeometric(int(have), pool, need) if need and pool else min(int(have), need)
-            need -= int(got[i])
-        rows.append(got)
-        left -= got
-    return np.array(rows, dtype=np.int64).reshape(len(rows), len(slots))
+def draw_slots(first: int, n: int, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """What slots first .. first + n - 1 of the mix draw: the source's number, and the number of the slot within it.
+
+    `ends` are the running totals of the slots of each source.
+    """
+    total = int(ends[-1])
+    at = np.arange(first, min(first + n, total), dtype=np.int64)
+    drawn = permute(at, np.full(len(at), total), np.full(len(at), (seed * 0x9E3779B97F4A7C15 + 1) % 2**63, dtype=np.uint64))
+    source = np.searchsorted(ends, drawn, side="right")
+    return source, drawn - np.concatenate([[0], ends])[source]
+
+
+def keys_of(seed: int, source_no: np.ndarray, epoch: np.ndarray) -> np.ndarray:
+    """The key of the permutation of each source's epoch."""
+    with np.errstate(over="ignore"):
+        mixed = np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64) + source_no.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + epoch.astype(np.uint64) * np.uint64(0xAF251AF3B0F025B5)
+    return mixed & np.uint64(2**63 - 1)
+
+
+class Plan(NamedTuple):
+    """How each source, by number, is taken: arrays over the sources."""
+
+    blocks: np.ndarray
+    epochs: np.ndarray  # whole ones
+    in_last: np.ndarray  # slots of the epoch after them
+    last_words: np.ndarray  # words of the last of those
+
+    @property
+    def slots(self) -> np.ndarray:
+        return self.epochs * self.blocks + self.in_last
+
+
+def plan_sources(sizes: list[int], aims: list[float], block_words: int, seed: int) -> Plan:
+    rows = []
+    for i, (size, aim) in enumerate(zip(sizes, aims, strict=True)):
+        blocks, want = -(-size // block_words), int(aim)
+        epochs, rest = (want // size, want % size) if size else (0, 0)
+        q, words = 0, 0
+        if rest:
+            key = keys_of(seed, np.array([i]), np.array([epochs]))
+            at = int(permute(np.array([blocks - 1]), np.array([blocks]), key, inverse=True)[0])
+            q, words = slots_of(size, rest, block_words, at)
+        rows.append((blocks, epochs, q, words))
+    return Plan(*np.array(rows, dtype=np.int64).reshape(-1, 4).T)
+
+
+def taken_blocks(spark: SparkSession, plan: Plan, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """shard, slot, source_no, block, limit (words taken of the block) of every slot of the mix."""
+    ends = np.cumsum(plan.slots)
+    shards = -(-int(ends[-1]) // shard_slots) if len(ends) else 0
+
+    def draw(batches):
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                source, q = draw_slots(shard * shard_slots, shard_slots, ends, seed)
+                blocks = plan.blocks[source]
+                epoch, place = q // blocks, q % blocks
+                block = permute(place, blocks, keys_of(seed, source, epoch))
+                last = (epoch == plan.epochs[source]) & (place == plan.in_last[source] - 1)
+                limit = np.where(last, plan.last_words[source], block_words)
+                columns = (np.full(len(q), shard), shard * shard_slots + np.arange(len(q)), source, block, limit)
+                yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], names=["shard", "slot", "source_no", "block", "limit"])
+
+    return spark.range(shards).mapInArrow(draw, "shard long, slot long, source_no long, block long, limit long")
 
 
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -141,56 +196,30 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     """
     spark = docs.sparkSession
     placed = _spark.cut(layout(docs), "mix-layout")
-    rows = placed.groupBy("source").agg(F.max("source_size").alias("size")).collect()  # one row per source
-    rows = sorted(rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
+    per_source = _spark.cut(placed.groupBy("source").agg(F.max("source_size").alias("size")), "mix-sources")
+    if (n := per_source.count()) > MAX_SOURCES:
+        raise ValueError(f"{n} values of source; a mix has at most {MAX_SOURCES}")
+    rows = sorted(per_source.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))  # one row a source
     sizes = [int(r["size"] or 0) for r in rows]
     aims = targets(sizes, [float(i % 3 + 1) for i in range(len(rows))], max_epochs)
-    plan, total_slots = [], []
-    for i, (row, size, aim) in enumerate(zip(rows, sizes, aims, strict=True)):
-        blocks, want = -(-size // block_words), int(aim)
-        epochs, rest = (want // size, want % size) if size else (0, 0)
-        q, cut_words = 0, 0
-        if rest:
-            at = int(permute(np.array([blocks - 1]), np.array([blocks]), np.array([key_of(seed, i, epochs)]), inverse=True)[0])
-            q, cut_words = slots_of(size, rest, block_words, at)
-        plan.append((i, row["source"], size, aim, blocks, epochs, q, cut_words))
-        total_slots.append(epochs * blocks + q)
-    schema = "source_no int, source string, size long, target double, blocks long, epochs long, slots_in_last long, words_in_last long"
-    sources = spark.createDataFrame(plan, schema)
-
-    shards = draw_shards(np.array(total_slots, dtype=np.int64), max(shard_slots, -(-sum(total_slots) // MAX_SHARDS)), seed)
-    first = np.cumsum(shards, axis=0) - shards
-    counts = [(s, i, int(first[s, i]), int(shards[s, i])) for s in range(len(shards)) for i in range(len(rows)) if shards[s, i]]
-    drawn = spark.createDataFrame(counts, "shard int, source_no int, first_slot long, n_slots long")
-    slots = drawn.join(F.broadcast(sources), "source_no").select("shard", "source_no", "source", "blocks", "epochs", "slots_in_last", "words_in_last", F.explode(F.sequence("first_slot", F.col("first_slot") + F.col("n_slots") - 1)).alias("slot"))
-
-    def take(batches):
-        for b in batches:
-            epoch = (b["slot"] // b["blocks"]).to_numpy()
-            keys = np.array([key_of(seed, i, e) for i, e in zip(b["source_no"], epoch, strict=True)], dtype=np.uint64)
-            block = permute((b["slot"] % b["blocks"]).to_numpy(), b["blocks"].to_numpy(), keys)
-            last = (epoch == b["epochs"]) & (b["slot"] % b["blocks"] == b["slots_in_last"] - 1)
-            yield pd.DataFrame({"shard": b["shard"], "slot": b["slot"], "source": b["source"], "block": block, "limit": np.where(last, b["words_in_last"], block_words)})
-
-    taken = slots.mapInPandas(take, "shard int, slot long, source string, block long, limit long")
-    pieces = placed.where("size > 0").select("doc_id", "source", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("size") - 1) / block_words))).alias("block"))
+    plan = plan_sources(sizes, aims, block_words, seed)
+    sources = spark.createDataFrame([(i, r["source"], a) for i, (r, a) in enumerate(zip(rows, aims, strict=True))], "source_no long, _src string, target double")
+    placed = placed.join(sources, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+
+    taken = taken_blocks(spark, plan, block_words, shard_slots, seed)
+    begin = F.floor(F.col("offset") / block_words)
+    pieces = placed.where("size > 0").select("doc_id", "source", "source_no", "offset", "size", F.explode(F.sequence(begin, F.floor((F.col("offset") + F.col("size") - 1) / block_words))).alias("block"))
     # A block belongs to one source and one place, so neither side of this join has a hot key.
-    met = pieces.join(taken.withColumnsRenamed({"source": "_s", "block": "_b"}), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    met = pieces.join(taken, ["source_no", "block"])
     start = F.greatest(F.col("offset"), F.col("block") * block_words)
     end = F.least(F.col("offset") + F.col("size"), F.col("block") * block_words + F.col("limit"))
-    segments = met.where(end > start).select("shard", "slot", "source", "block", "doc_id", "offset", (start - F.col("offset")).alias("first_word"), (end - start).alias("n_words"))
+    segments = met.where(end > start).select("shard", "slot", "source", "source_no", "block", "doc_id", "offset", (start - F.col("offset")).alias("first_word"), (end - start).alias("n_words"))
     segments = _spark.cut(segments, "mix-segments")
     # (source, offset) names an input row even where ids repeat; rows of size 0 are in no segment.
-    sums = segments.groupBy(F.col("source").alias("_s"), F.col("offset").alias("_o")).agg(F.sum("n_words").alias("_n"))
-    aim = sources.select(F.col("source").alias("_src"), "target")
-    out = placed.join(F.broadcast(aim), F.col("source").eqNullSafe(F.col("_src")))
-    out = out.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("offset") == F.col("_o")) & (F.col("size") > 0), "left")
+    sums = segments.groupBy(F.col("source_no").alias("_s"), F.col("offset").alias("_o")).agg(F.sum("n_words").alias("_n"))
+    out = placed.join(sums, (F.col("source_no") == F.col("_s")) & (F.col("offset") == F.col("_o")) & (F.col("size") > 0), "left")
     documents = out.select("doc_id", "source", "size", "source_size", "target", "offset", F.coalesce("_n", F.lit(0)).cast("long").alias("taken"))
-    return documents, segments
-
-
-def key_of(seed: int, source_no: int, epoch: int) -> int:
-    return (seed * 0x9E3779B97F4A7C15 + int(source_no) * 0xD1342543DE82EF95 + int(epoch) * 0xAF251AF3B0F025B5) % 2**63
+    return documents, segments.drop("source_no", "offset")
 
 
 def op8_mixing_sources(spark, sf_dir: str) -> DataFrame:

@@ -164,17 +164,48 @@ def test_targets_and_permutation():
         assert sorted(y) == list(x) and (mixing.permute(y, np.full(n, n), np.full(n, 99), inverse=True) == x).all()
 
 
+def test_draws():
+    slots = np.array([40, 0, 7, 1000, 1])
+    ends = np.cumsum(slots)
+    got = [mixing.draw_slots(s, 100, ends, 5) for s in range(0, 1048, 100)]
+    source, q = (np.concatenate(x) for x in zip(*got, strict=True))
+    assert [sorted(q[source == i]) for i in range(5)] == [list(range(n)) for n in slots]  # every slot that is due, once
+    large = np.cumsum([10**10, 2 * 10**10, 10**9])
+    source, q = mixing.draw_slots(3 * 10**9, 20_000, large, 5)  # as a multinomial draw at any size
+    assert np.abs(np.bincount(source, minlength=3) / 20_000 - np.diff(large, prepend=0) / large[-1]).max() < 0.02
+    assert (q < np.diff(large, prepend=0)[source]).all() and len(set(zip(source, q, strict=True))) == 20_000
+    again = mixing.draw_slots(3 * 10**9, 20_000, large, 5)
+    assert (again[0] == source).all() and (again[1] == q).all()
+
+
 def test_mixing(spark, texts):
-    docs = frame(spark, texts, {0: None, 1: "big", 13: "big"})
+    docs = frame(spark, [*texts, texts[1]], {0: None, 1: "big", 13: "big"})
+    docs = docs.unionByName(docs.where("doc_id IN (3, 5)")).unionByName(spark.createDataFrame([(3, "another text of a known id", None, "s0", *[None] * 6)], SCHEMA))
     documents, segments = mixing.mix_sources(docs, block_words=16)
     rows = documents.collect()
-    assert len(rows) == len(texts) and all(r["taken"] <= 3 * r["size"] for r in rows)
+    assert len(rows) == len(texts) + 4 and all(r["taken"] <= 3 * r["size"] for r in rows)
+    sizes = {}
+    for r in docs.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len((r["text"] or "").encode().split())
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    aims = dict(zip(order, mixing.targets([sizes[x] for x in order], [1, 2, 3] * 9), strict=False))
     by = {}
     for r in rows:
-        by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
-    assert all(int(t) == n for t, n in by.values())
-    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix_sources(docs, block_words=16)[0].collect()), key=repr)
-    assert segments.where("n_words < 1").count() == 0 and mixing.mix_sources(docs.where("false"))[0].count() == 0
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - aims[r["source"]]) < 1e-6
+        by[r["source"]] = by.get(r["source"], 0) + r["taken"]
+    assert all(int(aims[x]) == n for x, n in by.items())
+    # brute force over the segments: each slot has one block, every word of a source is taken its epochs or one more
+    held = segments.collect()
+    assert sum(x["n_words"] for x in held) == sum(by.values()) and all(x["n_words"] > 0 for x in held)
+    assert all(len({(x["source"], x["block"]) for x in held if x["slot"] == s}) == 1 for s in {x["slot"] for x in held})
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix_sources(docs.repartition(7), block_words=16)[0].collect()), key=repr)
+    assert mixing.mix_sources(docs.where("false"))[0].count() == 0
+
+
+def test_too_many_sources(spark, texts, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError, match="at most 2"):
+        mixing.mix_sources(frame(spark, texts))
 
 
 def own_line(k):
