@@ -1,19 +1,23 @@
 r"""Secret scans by assignment-aware lexing.
 
-Source and configuration syntax is lexed into name-literal pairs around each `=`, `:`,
-`:=` or `=>`: shell and .env lines, JSON and YAML keys, keyword arguments and plain
-assignments.  A pair whose right side is another name takes the literal last
-assigned to that name in the text (constants are propagated through chains).  A literal's
-score is the sensitivity of the names it reaches, weighted by how random it looks; from
+Source and configuration syntax is lexed into name-literal pairs around each assignment
+operator (`=`, `:`, `:=`, `=>`, `+=`; comparisons are other tokens): shell and .env lines, JSON and YAML keys,
+keyword arguments, subscripts (`keys["prod"] = ...`), annotated names (`pwd: str = ...`), chains (`a = b = ...`),
+and elements (`<password>...</password>`).  Quoted literals may hold escaped quotes.
+
+A right side that is the name of another pair is a reference, and constants are propagated along references until nothing
+changes: a name stands for the literal last assigned before, or else for the first one after.
+A literal's score is the sensitivity of the names it reaches, weighted by how random it looks; from
 `min_score` on it is a span of kind `named`.
 
-The base kinds are searched with fixed patterns and always kept:
+The base kinds are searched with fixed patterns in column functions and always kept:
 assign, access and hex, leftmost and non-overlapping for each kind, matches that are too
-short dropped after they were found.
+short dropped after they were found.  Only texts with an operator or a closing element go through Python.
 
 Defined cases: a null or empty text has no spans; offsets are code points, end exclusive;
-repeated rows give repeated results; other columns are ignored.  Texts are scanned whole;
-lexing looks only around operators, back and forward over blanks, names and literals of any length.
+repeated rows give repeated results; ids may repeat or be null; an empty table gives an empty result; other columns are
+ignored.  Texts are scanned whole; lexing looks only around operators, back and forward over blanks, names, subscripts and
+literals of any length within a line.
 """
 
 from __future__ import annotations
@@ -23,16 +27,16 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _spark
+from . import _spans, _spark
 
 # The base patterns and their least lengths.
-ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{24,}")
-MIN_ASSIGN, MIN_ACCESS = 6, 20
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]+"
+MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "named")
 
 # How sensitive a part of a name is.
@@ -43,11 +47,15 @@ SENSITIVE = {
 }
 MIN_SCORE = 0.6
 
-_OPERATOR = re.compile(r":=|=>|[=:]")
+_OPERATOR = re.compile(r"[=!]==?|[<>~]=|::|->|:=|=>|\+=|[=:]")
+_ASSIGNS = frozenset((":=", "=>", "+=", "=", ":"))
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_INDEX_CHARS = _NAME_CHARS | frozenset("\"' ")
 _NAME_START = re.compile("[A-Za-z_]")
-_VALUE = re.compile(r"""[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([A-Za-z0-9+/_.=-]++))""")
+_VALUE = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|([A-Za-z0-9+/_.=-]++))""")
+_TYPE = re.compile(r"[ \t]*+[A-Za-z_][A-Za-z0-9_.\[\], |]*+\Z")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>\n]++)</\1>")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -71,57 +79,125 @@ def randomness(literal: str) -> float:
 
 
 def name_before(text: str, at: int) -> str | None:
-    """The name that ends before a place, after blanks and a quote.  Neither holds operators, so all walks of a text are linear in it."""
+    """The name that ends before a place, after blanks, subscripts and a quote.
+
+    None of these holds operators, so all walks of a text are linear in it.
+    """
     while at and text[at - 1] in " \t":
         at -= 1
+    index = ""
+    while at and text[at - 1] == "]":
+        end = at = at - 1
+        while at and text[at - 1] in _INDEX_CHARS:
+            at -= 1
+        if not at or text[at - 1] != "[":
+            return None
+        index, at = f".{text[at:end].strip(chr(34) + chr(39) + ' ')}{index}", at - 1
     if at and text[at - 1] in "\"'":
         at -= 1
     begin = at
     while begin and text[begin - 1] in _NAME_CHARS:
         begin -= 1
     first = _NAME_START.search(text, begin, at)
-    return text[first.start() : at] if first else None
+    return text[first.start() : at] + index if first else None
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of the assignments of a text, constants propagated, in order."""
-    out, constants = [], {}
+class Pair:
+    """A name and what is assigned to it: (literal, start, end), or a reference to another name until it is resolved."""
+
+    __slots__ = ("name", "ref", "value")
+
+    def __init__(self, name: str, value: tuple[str, int, int], ref: str | None):
+        self.name, self.value, self.ref = name, value, ref
+
+
+def lexed(text: str) -> list[Pair]:
+    """The pairs of a text in order, references not yet resolved."""
+    out: list[Pair] = []
+    colon = None  # the last `name:`, its end and how many pairs were in front
     for op in _OPERATOR.finditer(text):
+        if op[0] not in _ASSIGNS:
+            continue
         name = name_before(text, op.start())
+        if op[0] == "=" and colon and _TYPE.match(text, colon[1], op.start()):
+            name = colon[0]  # what stood after the colon was a type
+            del out[colon[2] :]
+        colon = (name, op.end(), len(out)) if op[0] == ":" and name else None
         value = name and _VALUE.match(text, op.end())
-        if not value:
-            continue
-        group = value.lastindex
-        literal, start, end = value[group], value.start(group), value.end(group)
-        if group == 3 and _NAME.match(literal) and literal in constants:
-            literal, start, end = constants[literal]
-        constants[name] = (literal, start, end)
-        out.append((name, literal, start, end))
+        if value:
+            group = value.lastindex
+            bare = group == 3 and _NAME.match(value[group])
+            out.append(Pair(name, (value[group], value.start(group), value.end(group)), value[group] if bare else None))
+    if "</" in text:
+        out += [Pair(m[1], (m[2], m.start(2), m.end(2)), None) for m in _ELEMENT.finditer(text)]
+        out.sort(key=lambda p: p.value[1])
     return out
 
 
-def scan(text: str | None) -> list[tuple[str, int, int]]:
-    """All spans (kind, start, end) of a text, by start, then kind as listed."""
+def pairs(text: str) -> list[tuple[str, str, int, int]]:
+    """(name, literal, start, end) of the assignments of a text, constants propagated, in order."""
+    found = lexed(text)
+    names = {p.name for p in found}
+    for p in found:
+        if p.ref is not None and (p.ref not in names or p.ref == p.name):
+            p.ref = None  # a bare word that no pair names is a literal
+    now: dict[str, tuple[str, int, int]] = {}
+    for p in found:  # what was assigned before
+        if p.ref is not None and p.ref in now:
+            p.value, p.ref = now[p.ref], None
+        if p.ref is None:
+            now[p.name] = p.value
+        else:
+            now.pop(p.name, None)
+    first: dict[str, tuple[str, int, int]] = {}
+    waiting: dict[str, list[Pair]] = {}
+    for p in found:
+        if p.ref is None:
+            first.setdefault(p.name, p.value)
+        else:
+            waiting.setdefault(p.ref, []).append(p)
+    ready = [n for n in waiting if n in first]
+    while ready:  # else what is assigned later, along references to a fixed point
+        name = ready.pop()
+        for p in waiting.pop(name, []):
+            p.value, p.ref = first[name], None
+            if p.name not in first:
+                first[p.name] = p.value
+                ready += [p.name] if p.name in waiting else []
+    return [(p.name, *p.value) for p in found if p.ref is None]
+
+
+def named(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of the literals of a text that reach a sensitive name and look random."""
     if not text:
         return []
-    spans = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
-    if "AKIA" in text:
-        spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
-    spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
-        named = {(s, e) for name, literal, s, e in pairs(text) if (w := sensitivity(name)) and w * randomness(literal) >= MIN_SCORE}
-        spans += [("named", s, e) for s, e in named]
-    return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    return sorted({(s, e) for name, literal, s, e in pairs(text) if (w := sensitivity(name)) and w * randomness(literal) >= MIN_SCORE})
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and `spans`, an array of (kind, start, end, literal text)."""
+def base_spans(text: Column) -> list[Column]:
+    """The spans of each base kind."""
+    value = lambda found: F.length(F.regexp_extract(found, ASSIGN, 2)) >= MIN_ASSIGN
+    return [
+        _spans.spans(text, "assign", ASSIGN, value, text.rlike("(?i)passw|secret|token|api_?key")),
+        _spans.spans(text, "access", ACCESS, lambda found: F.length(found) >= MIN_ACCESS, F.contains(text, F.lit("AKIA"))),
+        # no shorter run can be one
+        _spans.spans(text, "hex", f"[0-9a-f]{{{MIN_HEX},}}+", None, text.rlike(f"[0-9a-f]{{{MIN_HEX}}}")),
+    ]
 
-    @F.pandas_udf("array<struct<kind: string, start: int, end: int, found: string>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [(k, s, e, t[s:e]) for k, s, e in scan(t)])
 
-    return docs.select("doc_id", spans("text").alias("spans"))
+def _lex(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [(s, e, t[s:e]) for s, e in named(t)])
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """doc_id and `spans`, an array of (kind, start, end, literal text) by start, then kind as listed."""
+    text = F.coalesce("text", F.lit(""))
+    lex = F.pandas_udf(_lex, "array<struct<start: int, end: int, found: string>>")
+    lexed_ = lex(F.when(text.rlike("[=:]|</"), text))
+    plain = docs.select("doc_id", text.alias("text"), lexed_.alias("named"))
+    kinds = [*base_spans(F.col("text")), F.transform("named", lambda s: F.struct(F.lit("named").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"))).cast(_spans.SPAN)]
+    placed = F.concat(*(F.transform(c, lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("place"), s.alias("span"))) for k, c in enumerate(kinds)))
+    return plain.select("doc_id", F.transform(F.array_sort(placed), lambda x: x["span"]).alias("spans"))
 
 
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
