@@ -3,17 +3,19 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame functions
 1. Seeds: fixed patterns for e-mail addresses, IP addresses, payment cards and phone
    numbers, with their checks.  The searches use possessive quantifiers and start where a run
    starts, which changes no match and keeps them linear in the text's length.
-2. Every seed induces lexical patterns from its context: the two words before it, and the
-   words before and after it.
-3. The pattern-instance graph joins patterns to seeds and to all other words with digits.
-   Round by round, a pattern's confidence is the mean score of its instances and
-   an unseen instance's score is the noisy-or of its patterns' confidences.
-4. Instances with MIN_DIGITS digits or more that reach MIN_SCORE are new spans of kind
-   `context`, and seeds of the next round.
-
-Only words with digits enter the graph, so it is a small share of the text.  A hot
-pattern is aggregated with map-side combine; its row meets its instances in a join that
-adaptive execution may split.
+2. Candidates: seeds, runs of adjacent number-like words (`(743) 555 38 24` is one), and other words with a digit or
+   one of `@`, `_` and `#`.  A word of plain letters is never a candidate.
+3. Every candidate stands in two lexical patterns: the two words before it, and the words
+   on both sides, of any length.  Seeds induce patterns; what else stands in these is connected to them.
+4. The pattern-instance graph joins patterns to values, wherever a value stands.  Round by round, a pattern's
+   confidence is the mean score of what stands in it, if at least MIN_SUPPORT different values there are known;
+   an unseen value's score is the noisy-or of its confident patterns, times the share of its places that are in one.  What
+   reaches MIN_SCORE is known from the next round on, and induces patterns itself.
+   Rounds end when nothing new is found.
+5. All places of values found so are new spans of kind `context`, without quotes, brackets and stops around them.
+
+A hot pattern is aggregated with map-side combine; the graph has one row for each pattern and value.  Offsets are sums of the
+lengths of matches and of the gaps between them, so the cost of a text is linear in it.
 
 Defined cases: null and empty texts have no spans; offsets are code points, end exclusive;
 repeated rows get repeated results; ids may repeat or be null (rows are told apart
@@ -25,7 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _spark
+from . import _spans, _spark
+from ._spans import SPAN
 
 # The searched patterns.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -33,96 +36,141 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-# Words with a digit, from a word's start.
-NUMBERED = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 KINDS = ("email", "ip", "card", "phone", "context")
 
-ROUNDS = 3
+# Characters of private use that stand for the first character of a seed and for blanks inside it, so that a seed is one word.
+SEED, BLANK = "", ""
+_WORD_START = r"(?<![^\x20\x09-\x0D])"
+_WORD_END = r"(?![^\x20\x09-\x0D])"
+_NUMBER = "[0-9][0-9().+/-]*+"
+CANDIDATE = rf"{_WORD_START}(?:[(+]?{_NUMBER}(?:\x20[(]?{_NUMBER})*+{_WORD_END}|[^0-9@_#{SEED}\x20\x09-\x0D]*+[0-9@_#{SEED}][^\x20\x09-\x0D]*+)"
+#: Not part of a value at its ends.
+OPENING, CLOSING = "\"'([{<", "\"'.,;:!?)]}>"
+
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
 MIN_SCORE = 0.8
-MIN_DIGITS = 6
-REACH = 64
-SPAN = "array<struct<kind: string, start: int, end: int, found: string>>"
 
 
-def found_spans(text: Column, kind: str, pattern: str) -> Column:
-    """All matches of a pattern with their code point offsets: gaps and matches alternate, so lengths add up."""
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+def digits_of(found: Column) -> Column:
+    return F.translate(found, "+ ().-", "")
+
+
+def is_ip(found: Column) -> Column:
+    return found.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")
+
+
+def is_card(found: Column) -> Column:
+    return F.length(digits_of(found)).between(16, 19) & F.call_function("luhn_check", digits_of(found))
+
 
-    def step(state, pair):
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["found"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), pair["found"].alias("found")))).cast(SPAN).alias("spans"))
+def is_phone(found: Column) -> Column:
+    return F.length(digits_of(found)).between(8, 15)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("found")))
-    return F.aggregate(pairs, start, step, lambda state: state["spans"])
+
+def kinds(text: Column) -> list[tuple[str, str, object, Column]]:
+    """(kind, pattern, check of a match, guard) of the seeds.  The guards only skip searches that cannot match."""
+    return [
+        ("email", EMAIL, None, F.contains(text, F.lit("@"))), ("ip", IP, is_ip, text.rlike(r"[0-9]\.[0-9]")),
+        ("card", CARD, is_card, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")), ("phone", PHONE, is_phone, F.contains(text, F.lit("+"))),
+    ]
 
 
 def base_spans(text: Column) -> Column:
-    """The seeds of a text, by kind as listed, then start.  The guards only skip searches that cannot match."""
-    none = F.array().cast(SPAN)
-    digits = lambda s: F.translate(s, "+ ().-", "")
-    email = F.when(F.contains(text, F.lit("@")), found_spans(text, "email", EMAIL)).otherwise(none)
-    ip = F.when(text.rlike(r"[0-9]\.[0-9]"), F.filter(found_spans(text, "ip", IP), lambda s: s["found"].rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"))).otherwise(none)
-    card = F.when(
-        text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"),
-        F.filter(found_spans(text, "card", CARD), lambda s: F.length(digits(s["found"])).between(16, 19) & F.call_function("luhn_check", digits(s["found"]))),
-    ).otherwise(none)
-    phone = F.when(F.contains(text, F.lit("+")), F.filter(found_spans(text, "phone", PHONE), lambda s: F.length(digits(s["found"])).between(8, 15))).otherwise(none)
-    return F.concat(email, ip, card, phone)
-
-
-def lexical_patterns(text: Column, start: Column, end: Column) -> Column:
-    """Patterns of a place: the two words before it, and the words on both sides, in lower case."""
-    begin = F.greatest(start - REACH, F.lit(0))
-    words = F.split(F.lower(F.trim(F.regexp_replace(F.substring(text, begin + 1, start - begin), r"[\x09-\x0D\x20]+", " "))), " ")
-    after = F.split(F.lower(F.trim(F.regexp_replace(F.substring(text, end + 1, F.lit(REACH)), r"[\x09-\x0D\x20]+", " "))), " ")
-    last, before, following = F.try_element_at(words, F.lit(-1)), F.coalesce(F.try_element_at(words, F.lit(-2)), F.lit("")), F.try_element_at(after, F.lit(1))
-    return F.array_compact(F.array(F.when((last != "") & (before != ""), F.concat(F.lit("L "), before, F.lit(" "), last)), F.when((last != "") & (following != ""), F.concat(F.lit("B "), last, F.lit(" _ "), following))))
+    """The seeds of a text, by kind as listed, then start."""
+    return F.concat(*(_spans.spans(text, kind, pattern, good, guard) for kind, pattern, good, guard in kinds(text)))
+
+
+def hidden(found: Column) -> Column:
+    """A seed as one word of its length that begins with SEED."""
+    return F.concat(F.lit(SEED), F.translate(F.substring(found, F.lit(2), F.length(found)), "\x20", BLANK))
+
+
+def _hider(good):
+    return hidden if good is None else lambda found: F.when(good(found), hidden(found)).otherwise(found)
+
+
+def mask(texts: DataFrame, name: str) -> DataFrame:
+    """Hides the seeds in a text column, kind after kind; of overlapping seeds the first kind listed stays."""
+    for k in range(len(KINDS) - 1):
+        _, pattern, good, guard = kinds(F.col(name))[k]
+        gaps, found = F.split(F.col(name), pattern, -1), F.regexp_extract_all(F.col(name), F.lit(pattern), F.lit(0))
+        put = F.transform(found, _hider(good))
+        whole = F.array_join(F.zip_with(gaps, put, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")  # one gap more than matches
+        texts = texts.withColumn(name, F.when(guard, whole).otherwise(F.col(name)))
+    return texts
+
+
+def _last_word(text: Column) -> tuple[Column, Column]:
+    """The last word of a text whose blanks are all 0x20, and what is in front of it."""
+    whole = F.rtrim(text)
+    word = F.substring_index(whole, " ", -1)
+    return word, F.substring(whole, F.lit(1), F.length(whole) - F.length(word))
+
+
+def lexical_patterns(gap: Column, following: Column) -> Column:
+    """Patterns of a place from the text up to the candidate before it and up to the one after it: the two words before it, and the words on both sides, in lower case."""
+    blanks = lambda t: F.lower(F.translate(t, "\t\n\x0b\x0c\r", "     "))
+    last, front = _last_word(blanks(gap))
+    before, _ = _last_word(front)
+    after = F.substring_index(F.ltrim(blanks(following)), " ", 1)
+    either = F.when((last != "") & (after != ""), F.concat(F.lit("B "), last, F.lit(" _ "), after))
+    return F.array_compact(F.array(F.when((last != "") & (before != ""), F.concat(F.lit("L "), before, F.lit(" "), last)), either))
+
+
+def places(text: Column) -> Column:
+    """The candidates of a masked text: seed, start, end, value, patterns."""
+    any_ = text.rlike(f"[0-9@_#{SEED}]")
+
+    def place(x: Column) -> Column:
+        whole = F.rtrim(x["found"], F.lit(CLOSING))
+        value = F.when(F.contains(whole, F.lit(")")), F.ltrim(whole, F.lit(OPENING.replace("(", "")))).otherwise(F.ltrim(whole, F.lit(OPENING)))
+        start = (x["start"] + F.length(whole) - F.length(value)).cast("int")
+        return F.struct(F.contains(x["found"], F.lit(SEED)).alias("seed"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), lexical_patterns(x["gap"], x["next"]).alias("patterns"))
+
+    found = F.filter(F.transform(_spans.matches(text, CANDIDATE), place), lambda p: (F.size(p["patterns"]) > 0) & (p["value"] != ""))
+    return F.when(any_, found).otherwise(F.slice(found, 1, 0))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, version (of the text), seeds, and `places`: every seed and other word with digits, with its patterns."""
+    """doc_id, version (of the text), seeds, and `places`: every candidate with its patterns."""
     text = F.coalesce("text", F.lit(""))
     plain = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("version"))
-    plain = plain.withColumn("seeds", base_spans(F.col("text")))
-    others = F.when(F.col("text").rlike("[0-9]"), found_spans(F.col("text"), "", NUMBERED)).otherwise(F.array().cast(SPAN))
-    free = F.filter(others, lambda s: ~F.exists("seeds", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
-    places = F.transform(F.concat("seeds", free), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), lexical_patterns(F.col("text"), s["start"], s["end"]).alias("patterns")))
-    return plain.select("doc_id", "version", "seeds", places.alias("places"))
+    seen = mask(plain.withColumn("seeds", base_spans(F.col("text"))), "text")
+    return seen.select("doc_id", "version", "seeds", places(F.col("text")).alias("places"))
 
 
 def discover(scanned: DataFrame) -> DataFrame:
-    """doc_id, version, start, end, found of unseen identifiers, by scoring the pattern-instance graph in rounds."""
-    place = scanned.select("doc_id", "version", F.explode("places").alias("p")).distinct().select("doc_id", "version", "p.*")
-    edges = place.select("doc_id", "version", "start", "end", "found", (F.col("kind") != "").cast("double").alias("score"), F.explode("patterns").alias("pattern"))
-    # only patterns with enough seeds can become confident, and only those with unseen instances find anything
-    telling = edges.groupBy("pattern").agg(F.sum("score").alias("_s"), F.count("*").alias("_n")).where(f"_s >= {MIN_SUPPORT} AND _n > _s").select("pattern")
-    edges = _spark.cut(edges.join(telling, "pattern"), "pii-edges")
-    key = ["doc_id", "version", "start", "end", "found"]
-    for k in range(ROUNDS):
-        support = edges.groupBy("pattern", "found").agg(F.sum("score").alias("s"), F.count("*").alias("n"), F.max("score").alias("top"))
-        confidence = support.groupBy("pattern").agg((F.sum("s") / F.sum("n")).alias("confidence"), F.sum((F.col("top") >= MIN_SCORE).cast("int")).alias("values"))
-        sure = confidence.where((F.col("values") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)).select("pattern", "confidence")
-        digits = F.length(F.regexp_replace("found", "[^0-9]", ""))
-        joined = edges.where("score < 1").join(sure, "pattern")
-        scores = joined.groupBy(*key).agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("_new")).where((digits >= MIN_DIGITS) & (F.col("_new") >= MIN_SCORE))
-        scores = scores.withColumnsRenamed({c: f"_{c}" for c in key})
-        same = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
-        for c in key[1:]:
-            same = same & (F.col(c) == F.col(f"_{c}"))
-        edges = _spark.cut(edges.join(scores, same, "left").select("pattern", *key, F.greatest("score", F.coalesce("_new", F.lit(0.0))).alias("score")), f"pii-round-{k}")
-    return edges.where(f"score >= {MIN_SCORE} AND score < 1").select(*key).distinct()
+    """value of the unseen identifiers, by scoring the graph of patterns and values until nothing new is found."""
+    place = scanned.select("doc_id", "version", F.explode("places").alias("p")).distinct().select("p.value", "p.seed", "p.patterns")
+    edges = place.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = _spark.cut(edges, "pii-edges")
+    held = _spark.cut(place.groupBy("value").agg(F.count("*").alias("places"), F.max("seed").alias("seed")), "pii-values")
+    known = held.where("seed").select("value", F.lit(1.0).alias("score"))
+    while True:
+        # patterns in which enough different values are known, then all that stands in these
+        taught = edges.join(known, "value").groupBy("pattern").agg(F.count("*").alias("known"), F.sum(F.col("n") * F.col("score")).alias("sum")).where(F.col("known") >= MIN_SUPPORT)
+        sure = edges.join(taught, "pattern").groupBy("pattern").agg((F.max("sum") / F.sum("n")).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+        met = edges.where("NOT seed").join(sure, "pattern")
+        # a place has up to two patterns, so a value's places in sure ones are at least those of its most frequent one
+        rated = met.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("any"), F.max("n").alias("sure"))
+        score = F.col("any") * F.col("sure") / F.col("places")
+        new = rated.join(held.drop("seed"), "value").select("value", score.alias("score")).where(F.col("score") >= MIN_SCORE).join(known.select("value"), "value", "left_anti")
+        new = _spark.cut(new, "pii-new")
+        if new.isEmpty():
+            return known.join(held.where("NOT seed").select("value"), "value", "left_semi").select("value")
+        known = known.unionByName(new)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id and `spans`, an array of (kind, start, end, found) by kind as listed, then start."""
     scanned = _spark.cut(scan(docs), "pii-scan")
-    new = discover(scanned).groupBy(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "found"))).alias("_new"))
+    unseen = discover(scanned).withColumnRenamed("value", "_value")
+    place = scanned.select("doc_id", "version", F.explode("places").alias("p")).where("NOT p.seed").distinct()
+    found = place.join(unseen, F.col("p.value") == F.col("_value"))
+    new = found.groupBy(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version")).agg(F.sort_array(F.collect_list(F.struct("p.start", "p.end", "p.value"))).alias("_new"))
     out = scanned.join(new, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("version") == F.col("_version")), "left")
-    more = F.transform(F.coalesce("_new", F.array().cast("array<struct<start: int, end: int, found: string>>")), lambda s: F.struct(F.lit("context").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
+    more = F.transform(F.coalesce("_new", F.array().cast("array<struct<start: int, end: int, value: string>>")), lambda s: F.struct(F.lit("context").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("found")))
     return out.select("doc_id", F.concat("seeds", more.cast(SPAN)).alias("spans"))
 
 
