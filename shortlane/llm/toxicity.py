@@ -3,32 +3,38 @@
 A linear classifier over word presence is trained in numpy from confirmed toxic texts and
 unlabelled ones.  The risk is corrected by the class prior p:
 p * R(positive as 1) + max(0, R(unlabelled as 0) - p * R(positive as 0)); where the
-bracket turns negative, the step climbs back instead (Kiryo et al. 2017).  The model is
-fitted on bounded samples (`max_positive`, `max_unlabelled` documents, `max_words` distinct
-words of each) and then scores every whole text, JVM to Python in Arrow batches.
+bracket turns negative, the step climbs back instead (Kiryo et al. 2017).  Labels other than 1 are never used.
+
+The prior is a parameter, or else estimated from the positive and unlabelled samples alone: a plain classifier of the two is
+fitted on one half of each, and on the other half the share of unlabelled texts above a threshold over that of
+positive ones, at the threshold where its upper confidence bound is smallest, is the prior (best bin estimation, Garg et al. 2021).
+
+The model is fitted on bounded samples: at most `max_positive` and `max_unlabelled` documents (None: all), and of these as
+many, whole, in the order of a hash of their ids as have `max_words` distinct words together.  It then scores every whole text,
+JVM to Python in Arrow batches.
 
 Words here are runs of letters and digits, A-Z in lower case.  Features are words
 by their 64-bit hash, so different words share no weight.
 
 Defined cases: null and empty texts have no words and score as the intercept says; no
 confirmed toxic text in the training folds: every score is 0; a label row with nulls is
-no label; of repeated label rows, any 1 counts; repeated documents score alike; a null
-id is never trained on and is not held out; other columns are ignored.
+no label; of repeated label rows, any 1 counts; repeated documents score alike, and of texts that share an id one is
+learnt from; a null id is never trained on and is not held out; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _spark, _text
 
 MAX_POSITIVE = 2500
 MAX_UNLABELLED = 7500
-MAX_WORDS = 2048
-MAX_FEATURES = 50_000
+#: Distinct words of a sample's documents together: 32 MB on the driver.
+MAX_WORDS = 4_000_000
 MIN_DOCS = 5
 MIN_Z = 7.0
 STEPS = 200
@@ -39,17 +45,25 @@ def distinct_words(words: _text.Words, hashes: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
 
 
-def sample(docs: DataFrame, pool: DataFrame, n: int, max_words: int) -> list[np.ndarray]:
-    """Distinct word hashes of n documents: of the ids in `pool`, those that come first by a hash."""
-    ids = pool.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text")
+def sample(docs: DataFrame, pool: DataFrame, n: int | None, max_words: int) -> list[np.ndarray]:
+    """Distinct word hashes of whole documents: of the ids in `pool`, those that come first by a hash, n at most and max_words together."""
+    ids = pool.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    if n is not None:
+        ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text")
 
     def features(batches):
         for b in batches:
-            out = [x[:max_words].tobytes() for c in _text.word_chunks(b.column(1), bare=True) for x in distinct_words(c, c.hashes(lower=True))]
-            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "words"])
-
-    rows = chosen.mapInArrow(features, "doc_id long, words binary").groupBy("doc_id").agg(F.min("words").alias("words")).orderBy("doc_id").toPandas()
+            found = [x for c in _text.word_chunks(b.column(1), bare=True) for x in distinct_words(c, c.hashes(lower=True))]
+            yield pa.record_batch([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "n", "words"])
+
+    read = _spark.cut(chosen.mapInArrow(features, "doc_id long, n long, words binary").dropDuplicates(["doc_id"]), "tox-sample")
+    # the place of each document by hash: running sums inside 256 ranges of it, and over these
+    placed = read.select("doc_id", "n", F.xxhash64("doc_id").alias("h")).withColumn("range", F.shiftright("h", 56))
+    inside = Window.partitionBy("range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = placed.groupBy("range").agg(F.sum("n").alias("all")).select(F.col("range").alias("r"), F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("front"))
+    within = placed.withColumn("upto", F.sum("n").over(inside)).join(ranges, F.col("range") == F.col("r")).where((F.col("upto") + F.col("front") <= max_words) | (F.col("upto") + F.col("front") == F.col("n"))).select("doc_id")
+    rows = read.join(within, "doc_id").orderBy("doc_id").select("words").toPandas()
     return [np.frombuffer(x, dtype=np.uint64) for x in rows["words"]]
 
 
@@ -84,22 +98,38 @@ def telling_words(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> n
     pooled = (a + b) / (n_a + n_b)
     z = np.abs(a / n_a - b / n_b) / np.sqrt(pooled * (1 - pooled) * (1 / n_a + 1 / n_b) + 1e-12)
     z[a + b < MIN_DOCS] = 0
-    best = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    return np.sort(words[best][z[best] >= MIN_Z])
+    return words[z >= MIN_Z]
+
+
+def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], confidence: float = 0.9) -> float:
+    """The share of positives among the unlabelled, from these alone."""
+    half = lambda x, k: x[k::2] or x
+    vocabulary, w, _ = train(half(positive, 0), half(unlabelled, 0), None)
+    p, u = (np.sort(Sparse(half(x, 1), vocabulary).dot(w)) for x in (positive, unlabelled))
+    above = lambda scores: 1 - np.searchsorted(scores, np.unique(p), side="left") / len(scores)
+    share_p, share_u = above(p), above(u)
+    slack = sum(np.sqrt(np.log(4 / (1 - confidence)) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((share_u + slack) / share_p)
+    return float(np.clip(share_u[best] / share_p[best], 1e-3, 0.999))
+
 
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(vocabulary, weights, intercept) of the non-negative PU risk with the logistic loss, by Adam.
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(vocabulary, weights, intercept) of the non-negative PU risk with the logistic loss, by Adam."""
+    Without a prior, of the plain risk that takes both samples as classes of equal weight.
+    """
     vocabulary = telling_words(positive, unlabelled)
     p, u = Sparse(positive, vocabulary), Sparse(unlabelled, vocabulary)
     w = np.zeros(len(vocabulary) + 1)
-    w[-1] = np.log(prior / (1 - prior))
+    w[-1] = np.log(prior / (1 - prior)) if prior else 0.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
         zp, zu = p.dot(w[:-1]) + w[-1], u.dot(w[:-1]) + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        negative = np.logaddexp(0, zu).mean() - (prior or 0) * np.logaddexp(0, zp).mean()
         gp, gu = sigmoid(zp), sigmoid(zu)  # slopes of the loss of calling it 0; less 1 they are those of calling it 1
-        if negative >= 0:
+        if prior is None:
+            a, b = (gp - 1) / (2 * p.n), gu / (2 * u.n)
+        elif negative >= 0:
             a, b = prior * ((gp - 1) - gp) / p.n, gu / u.n
         else:
             a, b = prior * gp / p.n, -gu / u.n
@@ -110,16 +140,15 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return vocabulary, w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS):
-    """The model from documents and labels outside the held-out fold, or None without a confirmed positive."""
-    known = labels.where(~_spark.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int | None = MAX_POSITIVE, max_unlabelled: int | None = MAX_UNLABELLED, max_words: int = MAX_WORDS, prior: float | None = None):
+    """The model from documents and confirmed toxic labels outside the held-out fold, or None without any."""
+    toxic = labels.where(~_spark.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & (F.col("toxic") == 1)).select("doc_id").distinct()
     pool = docs.select("doc_id").where(~_spark.held_out(F.col("doc_id")))
-    positive = sample(docs, pool.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), max_positive, max_words) if toxic else []
+    positive = sample(docs, pool.join(toxic, "doc_id", "left_semi"), max_positive, max_words)
     if not positive:
         return None
     unlabelled = sample(docs, pool, max_unlabelled, max_words)
-    return train(positive, unlabelled, min(max(toxic / n, 1e-3), 0.999))
+    return train(positive, unlabelled, prior or estimate_prior(positive, unlabelled))
 
 
 def score_toxicity(docs: DataFrame, model) -> DataFrame:
