@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 Codes are 64 bits, bit i set where component i of the vector is positive.  A code is cut
-into m segments, and each segment value points to the codes that have it.  At radius r
+into m segments (m by the number of codes), and each segment value points to the codes that have it.  At radius r
 a query probes, in every segment, all values at Hamming distance exactly r from its own.
 After radius r every code within distance m (r + 1) - 1 has been met (pigeonhole), so a query whose
 k-th verified distance is at most that is settled; the others go on to r + 1, where codes
@@ -12,8 +12,8 @@ ties go to the smaller id: thousands of copies of a vector cost one row.  A cand
 verified only in the first of its closest segments, so rounds never repeat it.
 
 Defined cases: null or empty vectors have no code: they are not found and as queries find
-nothing; a null, NaN or non-positive component gives a 0 bit; components beyond 64 are
-ignored and missing ones are 0; ids may repeat (each row counts); fewer than k rows give
+nothing; a null, NaN or non-positive component gives a 0 bit; vectors of more than 64 components
+are an error, missing ones are 0; ids may repeat (each row counts); fewer than k rows give
 fewer results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,26 +28,33 @@ from . import _spark
 
 BITS = 64
 K = 10
-SEGMENTS = 4
+
+
+def segments_for(n: int) -> int:
+    """Segments of about log2(n) bits, so that a value of one has few of n codes."""
+    return 8 if n < 1 << 12 else 4 if n < 1 << 24 else 2
 
 
 def code_of(vector: Column) -> Column:
-    """The sign bits of the first 64 components, as a long."""
+    """The sign bits of up to 64 components, as a long."""
     bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(vector) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    long = F.size(vector) > BITS
+    return F.when(long, F.raise_error(F.lit(f"a code has {BITS} bits, and a vector has more components")).cast("long")).when(F.size(vector) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def segment(code: Column, s: int, width: int) -> Column:
     return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def exact_top_k(base: DataFrame, queries: DataFrame, k: int = K, segments: int = SEGMENTS) -> DataFrame:
+def exact_top_k(base: DataFrame, queries: DataFrame, k: int = K, segments: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, distance: the k nearest rows of base (id, code) for each row of queries (id, code), ties by id."""
-    spark, width = base.sparkSession, BITS // segments
+    spark = base.sparkSession
     base = base.where("code IS NOT NULL")
     nearest = Window.partitionBy("code").orderBy("id")
     few = base.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
     codes = _spark.cut(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "mih-codes")
+    segments = segments or segments_for(codes.count())
+    width = BITS // segments
     index = _spark.cut(codes.select("code", "ids", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), segment(F.col("code"), s, width).alias("v")) for s in range(segments)))).alias("p")).select("p.*", "code", "ids"), "mih-index")
     # equal query codes are searched once
     asked = queries.where("code IS NOT NULL").select(F.col("id").alias("query_id"), "code")
