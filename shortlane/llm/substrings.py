@@ -79,15 +79,17 @@ def anchors_of(chunk: _text.Words, hashes: np.ndarray, window: int, gram: int) -
     return Anchors(doc[new], grams[at[new]], stretch, first, last)
 
 
-def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, stretch, doc_id: a row for each anchor of each document."""
+def anchor_rows(docs: DataFrame, window: int, gram: int, only: _bloom.IdFilter | None = None) -> DataFrame:
+    """anchor, stretch, doc_id: a row for each anchor of each document, or for those that may be in `only`."""
+    shared, bits = (only.shared, only.bits) if only and only.shared else (None, 0)
 
     def run(batches):
         for b in batches:
             for c in _text.word_chunks(b.column(1)):
                 x = anchors_of(c, c.hashes(), window, gram)
-                if len(x.doc):
-                    yield pa.record_batch([pa.array(_text.signed(x.anchor)), pa.array(_text.signed(x.stretch)), b.column(0).take(pa.array(c.first + x.doc))], names=["anchor", "stretch", "doc_id"])
+                may = _bloom.has(shared.value, x.anchor, bits) if shared else np.ones(len(x.doc), bool)
+                if may.any():
+                    yield pa.record_batch([pa.array(_text.signed(x.anchor[may])), pa.array(_text.signed(x.stretch[may])), b.column(0).take(pa.array(c.first + x.doc[may]))], names=["anchor", "stretch", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "anchor long, stretch long, doc_id long")
 
@@ -122,15 +124,21 @@ def read_stretches(wanted: DataFrame, docs: DataFrame, window: int, gram: int) -
 
 
 def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """The anchor rows whose anchor occurs more than once.  The scan is made twice rather than kept: its rows are most of the input."""
+    """The anchor rows whose anchor occurs more than once, and a few others.
+
+    The scan is made twice rather than kept: its rows are most of the input.  The second picks rows by a Bloom filter of
+    the anchors counted in the first, so no row is shuffled for it, however many share an anchor.
+    """
     counts = anchor_rows(docs, window, gram).groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
-    return anchor_rows(docs, window, gram).join(counts, "anchor")
+    counts = _spark.cut(counts, "sub-counts")
+    return anchor_rows(docs, window, gram, _bloom.IdFilter(counts, hashed=True))
 
 
 def phrases(occurrences: DataFrame, docs: DataFrame, window: int, gram: int) -> DataFrame:
     """anchor, stretch, phrases: the recurring passages, as maximal runs of confirmed windows of each distinct stretch."""
     distinct = occurrences.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    stretches = distinct.groupBy("anchor").agg(F.count("*").alias("_k"))
+    # an anchor seen once repeats nothing
+    stretches = distinct.groupBy("anchor").agg(F.count("*").alias("_k"), F.sum("n").alias("_all")).where("_all > 1").drop("_all")
     wanted = _spark.cut(distinct.join(stretches, "anchor").select("anchor", "stretch", "n", (F.col("_k") > 1).alias("many"), "doc_id"), "sub-wanted")
     holders = _bloom.pick(docs, _bloom.IdFilter(wanted.select("doc_id").distinct()))
     read = _spark.cut(read_stretches(wanted, holders, window, gram), "sub-stretches")
