@@ -8,7 +8,8 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame functions
 3. Every candidate stands in two lexical patterns: the two words before it, and the words
    on both sides, of any length.  Seeds induce patterns; what else stands in these is connected to them.
 4. The pattern-instance graph joins patterns to values, wherever a value stands.  Round by round, a pattern's
-   confidence is the mean score of what stands in it, if at least MIN_SUPPORT different values there are known;
+   confidence is the score of what stands in it against that and UNKNOWN for each place of any other value, if at least
+   MIN_SUPPORT different values there are known;
    an unseen value's score is the noisy-or of its confident patterns, times the share of its places that are in one.  What
    reaches MIN_SCORE is known from the next round on, and induces patterns itself.
    Rounds end when nothing new is found.
@@ -43,11 +44,13 @@ SEED, BLANK = "", ""
 _WORD_START = r"(?<![^\x20\x09-\x0D])"
 _WORD_END = r"(?![^\x20\x09-\x0D])"
 _NUMBER = "[0-9][0-9().+/-]*+"
-CANDIDATE = rf"{_WORD_START}(?:[(+]?{_NUMBER}(?:\x20[(]?{_NUMBER})*+{_WORD_END}|[^0-9@_#{SEED}\x20\x09-\x0D]*+[0-9@_#{SEED}][^\x20\x09-\x0D]*+)"
+CANDIDATE = rf"{_WORD_START}(?:[(+]?{_NUMBER}(?:\x20[(]?{_NUMBER})*+[\"',;:!?\]}}>]*+{_WORD_END}|[^0-9@_#{SEED}\x20\x09-\x0D]*+[0-9@_#{SEED}][^\x20\x09-\x0D]*+)"
 #: Not part of a value at its ends.
 OPENING, CLOSING = "\"'([{<", "\"'.,;:!?)]}>"
 
 MIN_SUPPORT = 3
+#: How much the place of a value that is not known counts against a pattern.
+UNKNOWN = 0.25
 MIN_CONFIDENCE = 0.5
 MIN_SCORE = 0.8
 
@@ -149,8 +152,8 @@ def discover(scanned: DataFrame) -> DataFrame:
     known = held.where("seed").select("value", F.lit(1.0).alias("score"))
     while True:
         # patterns in which enough different values are known, then all that stands in these
-        taught = edges.join(known, "value").groupBy("pattern").agg(F.count("*").alias("known"), F.sum(F.col("n") * F.col("score")).alias("sum")).where(F.col("known") >= MIN_SUPPORT)
-        sure = edges.join(taught, "pattern").groupBy("pattern").agg((F.max("sum") / F.sum("n")).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+        taught = edges.join(known, "value").groupBy("pattern").agg(F.count("*").alias("known"), F.sum(F.col("n") * F.col("score")).alias("sum"), F.sum("n").alias("of")).where(F.col("known") >= MIN_SUPPORT)
+        sure = edges.join(taught, "pattern").groupBy("pattern").agg((F.max("sum") / (F.max("sum") + UNKNOWN * (F.sum("n") - F.max("of")))).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
         met = edges.where("NOT seed").join(sure, "pattern")
         # a place has up to two patterns, so a value's places in sure ones are at least those of its most frequent one
         rated = met.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("any"), F.max("n").alias("sure"))

@@ -89,8 +89,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def telling_words(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The words whose share of documents differs between the two samples by MIN_Z standard errors or more."""
+def telling_words(positive: list[np.ndarray], unlabelled: list[np.ndarray], min_z: float = MIN_Z) -> np.ndarray:
+    """The words whose share of documents differs between the two samples by min_z standard errors or more."""
     words, of = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
     split = sum(map(len, positive))
     a, b = (np.bincount(x, minlength=len(words)) for x in (of[:split], of[split:]))
@@ -98,13 +98,15 @@ def telling_words(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> n
     pooled = (a + b) / (n_a + n_b)
     z = np.abs(a / n_a - b / n_b) / np.sqrt(pooled * (1 - pooled) * (1 / n_a + 1 / n_b) + 1e-12)
     z[a + b < MIN_DOCS] = 0
-    return words[z >= MIN_Z]
+    return words[z >= min_z]
 
 
 def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], confidence: float = 0.9) -> float:
-    """The share of positives among the unlabelled, from these alone."""
+    """The share of positives among the unlabelled, from these alone; where no word tells them apart, the share that is confirmed."""
     half = lambda x, k: x[k::2] or x
-    vocabulary, w, _ = train(half(positive, 0), half(unlabelled, 0), None)
+    vocabulary, w, _ = train(half(positive, 0), half(unlabelled, 0), None, MIN_Z / 2)  # half the texts tell less
+    if not len(vocabulary):
+        return float(np.clip(len(positive) / max(len(unlabelled), 1), 1e-3, 0.999))
     p, u = (np.sort(Sparse(half(x, 1), vocabulary).dot(w)) for x in (positive, unlabelled))
     above = lambda scores: 1 - np.searchsorted(scores, np.unique(p), side="left") / len(scores)
     share_p, share_u = above(p), above(u)
@@ -113,12 +115,12 @@ def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], con
     return float(np.clip(share_u[best] / share_p[best], 1e-3, 0.999))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None) -> tuple[np.ndarray, np.ndarray, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None, min_z: float = MIN_Z) -> tuple[np.ndarray, np.ndarray, float]:
     """(vocabulary, weights, intercept) of the non-negative PU risk with the logistic loss, by Adam.
 
     Without a prior, of the plain risk that takes both samples as classes of equal weight.
     """
-    vocabulary = telling_words(positive, unlabelled)
+    vocabulary = telling_words(positive, unlabelled, min_z)
     p, u = Sparse(positive, vocabulary), Sparse(unlabelled, vocabulary)
     w = np.zeros(len(vocabulary) + 1)
     w[-1] = np.log(prior / (1 - prior)) if prior else 0.0
