@@ -10,7 +10,8 @@ r"""Personal data by bootstrapped contextual extraction, in DataFrame functions
 4. The pattern-instance graph joins patterns to values, wherever a value stands.  Round by round, a pattern's
    confidence is the score of what stands in it against that and UNKNOWN for each place of any other value, if at least
    MIN_SUPPORT different values there are known;
-   an unseen value's score is the noisy-or of its confident patterns, times the share of its places that are in one.  What
+   an unseen value's score is the noisy-or of its confident patterns, times its places in one against these and UNKNOWN for each
+   other place.  What
    reaches MIN_SCORE is known from the next round on, and induces patterns itself.
    Rounds end when nothing new is found.
 5. All places of values found so are new spans of kind `context`, without quotes, brackets and stops around them.
@@ -52,7 +53,7 @@ MIN_SUPPORT = 3
 #: How much the place of a value that is not known counts against a pattern.
 UNKNOWN = 0.25
 MIN_CONFIDENCE = 0.5
-MIN_SCORE = 0.8
+MIN_SCORE = 0.75
 
 
 def digits_of(found: Column) -> Column:
@@ -157,7 +158,7 @@ def discover(scanned: DataFrame) -> DataFrame:
         met = edges.where("NOT seed").join(sure, "pattern")
         # a place has up to two patterns, so a value's places in sure ones are at least those of its most frequent one
         rated = met.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("any"), F.max("n").alias("sure"))
-        score = F.col("any") * F.col("sure") / F.col("places")
+        score = F.col("any") * F.col("sure") / (F.col("sure") + UNKNOWN * (F.col("places") - F.col("sure")))
         new = rated.join(held.drop("seed"), "value").select("value", score.alias("score")).where(F.col("score") >= MIN_SCORE).join(known.select("value"), "value", "left_anti")
         new = _spark.cut(new, "pii-new")
         if new.isEmpty():
