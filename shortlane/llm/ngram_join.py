@@ -249,7 +249,7 @@ def link_counts(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
         return pa.table({"id": np.concatenate([ids[x], ids[y]]), "n_links": np.concatenate([links.sum(axis=1, dtype=np.int64), links.sum(axis=0, dtype=np.int64)])})
 
     totals = members.groupBy("part").agg(F.count("*").alias("_k"), F.sum("n_shingles").alias("_t"))
-    members = _spark.cut(members.join(totals, "part"), "join-members")
+    members = _spark.cut(members.join(_spark.cut(totals, "join-totals").hint("merge"), "part"), "join-members")
     blocks = F.ceil(F.greatest(F.col("_k") / BLOCK_CLASSES, F.col("_t") / BLOCK_TOKENS)).cast("int")
     open_ = members.where("_k > 2").select("id", "part", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     sets = full_sets(docs, members.where("_k > 2").select("doc_id"), n)
@@ -266,8 +266,11 @@ def joined_classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
     classes = _spark.cut(classes, "join-classes")
     links = link_classes(docs, classes.select("id", F.col("class_id").alias("doc_id")), n, num, den)
     known = _spark.cut(classes.join(components(links).withColumnRenamed("component", "part"), "id", "left"), "join-known")
-    least = known.where("part IS NOT NULL").groupBy("part").agg(F.min("class_id").alias("component_id"))
-    return sizes.drop("id"), known.join(least, "part", "left")
+    # a component may hold a large part of all classes: rows without one stay out of the join, and a merge can be split by adaptive execution
+    inside = known.where("part IS NOT NULL")
+    least = _spark.cut(inside.groupBy("part").agg(F.min("class_id").alias("component_id")), "join-least")
+    placed = inside.join(least.hint("merge"), "part").select(*known.columns, "component_id")
+    return sizes.drop("id"), placed.unionByName(known.where("part IS NULL").withColumn("component_id", F.lit(None).cast("long")))
 
 
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, count_links: bool = True) -> DataFrame:
@@ -276,7 +279,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, count_l
     if count_links:
         degree = link_counts(docs, known.where("part IS NOT NULL").select("id", F.col("class_id").alias("doc_id"), "n_shingles", "part"), n, num, den)
         known = known.join(_spark.cut(degree, "join-degrees"), "id", "left")
-    out = sizes.join(known, ["n_shingles", "low", "high"], "left")
+    # copies of one text may be a large part of all documents: from files, either side of the merge can be split
+    out = sizes.join(_spark.cut(known, "join-found").hint("merge"), ["n_shingles", "low", "high"], "left")
     count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), *count, F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
 
