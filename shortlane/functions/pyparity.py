@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ NAN = r"(?i)^[+-]?nan\z"
 INFINITE = r"(?i)^[+-]?inf(inity)?\z"
 #: Python refuses to convert longer digit strings.
 MAX_INT_DIGITS = 4300
+#: The decimal digits of other scripts, and the ASCII digits that float takes them for.
+DIGITS = [(chr(c), str(unicodedata.decimal(chr(c)))) for c in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) is not None]
 
 
 def strip(text: Column) -> Column:
@@ -35,16 +40,23 @@ def int_order(text: Column) -> Column:
     )
 
 
+def ascii_digits(text: Column) -> Column:
+    """The text with decimal digits of any script as ASCII digits."""
+    from_, to = ("".join(x) for x in zip(*DIGITS, strict=True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, from_, to)).otherwise(text)
+
+
 def is_float(text: Column) -> Column:
-    """Whether float(text) succeeds, for ASCII digits."""
-    return text.rlike(FINITE) | text.rlike(NAN) | text.rlike(INFINITE)
+    """Whether float(text) succeeds."""
+    return ascii_digits(text).rlike(FINITE) | text.rlike(NAN) | text.rlike(INFINITE)
 
 
 def to_float(text: Column) -> Column:
     """float(text), or NULL where it fails."""
     sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    plain = ascii_digits(text)
     return (
-        F.when(text.rlike(FINITE), F.regexp_replace(text, "_", "").try_cast("double"))
+        F.when(plain.rlike(FINITE), F.regexp_replace(plain, "_", "").try_cast("double"))
         .when(text.rlike(NAN), F.lit(float("nan")))
         .when(text.rlike(INFINITE), sign * F.lit(float("inf")))
     )

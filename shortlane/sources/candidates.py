@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,16 @@ def quarantine(lines: DataFrame) -> DataFrame:
 def to_parquet(spark: SparkSession, path: str, out: str) -> None:
     """One conversion lets later reads prune nested columns and push filters down."""
     read_typed(spark, path).where("_corrupt IS NULL").drop("_corrupt").write.parquet(out)
+
+
+def profiles(spark: SparkSession, path: str, parquet: str = "") -> DataFrame:
+    """Typed profiles that fit the schema; with `parquet`, from that folder, which is written if it is not there."""
+    if not parquet:
+        return read_typed(spark, path).where("_corrupt IS NULL").drop("_corrupt")
+    try:
+        return spark.read.schema(SCHEMA).parquet(parquet)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    to_parquet(spark, path, parquet)
+    return spark.read.schema(SCHEMA).parquet(parquet)

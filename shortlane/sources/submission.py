@@ -17,24 +17,24 @@ ROWS = 100
 
 @F.udtf(returnType=T.StructType([T.StructField("row_ix", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
 class CsvRows:
-    """Rows of a CSV text as Python's csv module reads them: raw arity, BOM, blank rows and embedded newlines kept."""
+    """Rows of a CSV text as Python's csv module reads them: raw arity, BOM, blank rows and embedded newlines kept.
+
+    Text is decoded in pieces, as from a file; where that fails, a row with row_ix -1 and no cells ends the rows.
+    """
 
     def eval(self, content: bytes):
-        for k, row in enumerate(csv.reader(io.StringIO(content.decode("utf-8"), newline=""))):
-            yield k, row
+        try:
+            yield from enumerate(csv.reader(io.TextIOWrapper(io.BytesIO(content), encoding="utf-8", newline="")))
+        except UnicodeDecodeError:
+            yield -1, None
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """row_ix and cells of every row of one file; a blank row has no cells.  The file must be UTF-8."""
+    """row_ix and cells of every row of one file; a blank row has no cells, and row -1 stands for a byte that is not UTF-8."""
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.lateralJoin(CsvRows(F.col("content").outer())).select("row_ix", "cells")
 
 
-def is_utf8(spark: SparkSession, path: str) -> bool:
-    files = spark.read.format("binaryFile").load(path)
-    return files.where(~F.call_function("is_valid_utf8", F.col("content").cast("string"))).isEmpty()
-
-
 def write_shortlist(ranked: DataFrame, path: str) -> None:
     """Writes the ranked rows (at most ROWS, by contract) as one CSV file with CRLF line ends."""
     rows = ranked.orderBy("rank").limit(ROWS + 1).collect()

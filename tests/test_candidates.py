@@ -2,13 +2,15 @@
 
 import copy
 import json
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from shortlane.cli import main, validate_file
-from shortlane.operators import contract, features, honeypot
-from shortlane.operators.shortlist import rank_profiles
+from shortlane.functions import similarity
+from shortlane.operators import contract, features, honeypot, job
+from shortlane.operators.shortlist import rank_profiles, top
 from shortlane.sources import candidates
 from shortlane.sources.candidates import SIGNALS
 
@@ -61,6 +63,10 @@ def test_every_field_has_a_violation(spark, tmp_path):
     for r in found:
         by.setdefault(r["rule"], set()).add(r["problem"])
     assert all("type" in by.get(f"D{k:02d}", ()) for k in range(1, 69))
+    # a field of what is no object is not looked for, as the contract has it
+    parent = profile(0) | {"profile": [], "education": [5, None]}
+    got = contract.violations(candidates.read_lines(spark, lines(spark, tmp_path, [parent]))).collect()
+    assert [(r["path"], r["problem"]) for r in got] == [("profile", "type")]
 
 
 def test_constraints(spark, tmp_path):
@@ -105,5 +111,34 @@ def test_ranked_file_is_valid(spark, tmp_path):
     path, out = lines(spark, tmp_path, records), str(tmp_path / "out.csv")
     assert main(["rank", "--candidates", path, "--out", out]) == 0
     assert validate_file(spark, out) == []
+    for _ in range(2):  # converts, then reads what is there
+        assert main(["rank", "--candidates", path, "--out", out + "2.csv", "--parquet", str(tmp_path / "profiles")]) == 0
+    assert open(out).read() == open(out + "2.csv").read()
     best = rank_profiles(candidates.read_typed(spark, path), "ML engineer, 5-9 years, Python, NLP, India", "2025-01-01").collect()
     assert len(best) == 100 and best[0]["reasoning"].startswith("ML Engineer with 6.0 yrs; ")
+
+
+def test_relevance_and_similarity(spark):
+    texts = ["python and spark", "python python java", "gardening", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r["relevance"] for r in job.relevance(rows, ["python", "spark"], job.words(F.col("text"))).collect()}
+    assert got[0] > got[1] > got[2] == got[3] == 0 and got[0] <= 1
+    n, mean = 4, 7 / 4
+    idf = [math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in (2, 1)]
+    assert abs(got[1] - idf[0] * 2 / (2 + 1.2 * (0.25 + 0.75 * 3 / mean)) / sum(idf)) < 1e-12
+    assert {r["r"] for r in job.relevance(rows, [], job.words(F.col("text"))).select(F.col("relevance").alias("r")).collect()} == {0.0}
+    pairs = spark.createDataFrame([("ml engineer", "ml engineer"), ("ml enginer", "ml engineer"), ("", ""), ("a b", "b c"), (None, "x")], "a string, b string")
+    got = pairs.select(similarity.edit_similarity(F.col("a"), F.col("b")).alias("e"), similarity.word_similarity(F.col("a"), F.col("b")).alias("w"), similarity.best_match(F.col("a"), ["ML engineer", "b"]).alias("m")).collect()
+    assert [r["e"] for r in got[:3]] == [1.0, 1 - 1 / 11, 1.0] and got[4]["e"] is None and got[3]["w"] == 1 / 3 and got[4]["m"] == 0 and got[1]["m"] == 1 - 1 / 11
+    assert pairs.select(similarity.sounds_alike(F.lit("Robert"), F.lit("Rupert")).alias("s")).first()["s"]
+
+
+def test_sample_order(spark):
+    """A made-up shortlist in the inferred order: level, then response rate, both falling; the level is at most 14."""
+    r = random.Random(7)
+    people = [(f"CAND_{k:07d}", r.randrange(2, 10), r.choice(["ML Engineer", "HR Manager", "Data Scientist"]), r.randrange(10, 150) / 10, r.randrange(6, 89) / 100) for k in range(300)]
+    df = spark.createDataFrame(people, "candidate_id string, core int, title string, years double, rate double")
+    ranked = top(df.withColumn("level", features.baseline_level(F.col("core"), F.col("title"), F.col("years"))), [F.desc("level"), F.desc("rate"), F.asc("candidate_id")]).collect()
+    level = lambda p: p[1] + 4 * (p[2] != "HR Manager") + (5 <= p[3] <= 9)
+    best = sorted(people, key=lambda p: (-level(p), -p[4], p[0]))[:100]
+    assert [x["candidate_id"] for x in ranked] == [p[0] for p in best] and [x["rank"] for x in ranked] == list(range(1, 101))

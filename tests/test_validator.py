@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from shortlane.cli import validate_file
-from shortlane.functions import pyparity
+from shortlane.cli import main, validate_file
+from shortlane.functions import ordering, pyparity
 from shortlane.sources.submission import HEADER, write_shortlist
 
 
@@ -59,7 +60,11 @@ def test_file_level(spark, tmp_path):
     assert validate_file(spark, write(tmp_path, valid(), name="team.txt")) == ["Filename must use a .csv extension."]
     assert validate_file(spark, write(tmp_path, [], raw=b"", name="a.csv")) == ["Row 1 must be the header row; file is empty."]
     assert validate_file(spark, write(tmp_path, [], raw=b"\xffA", name="b.csv")) == ["File must be UTF-8 encoded."]
-    assert validate_file(spark, str(tmp_path / "none.csv"))[0].startswith("Cannot read file: ")
+    none = str(tmp_path / "none.csv")
+    assert validate_file(spark, none) == [f"Cannot read file: [Errno 2] No such file or directory: '{none}'"]
+    far = ",".join(HEADER[:3]).encode() + b"\n" + b"x,1,1,ok\n" * 2000 + b"\xff"  # the header is read before the bad byte
+    late = validate_file(spark, write(tmp_path, [], raw=far, name="e.csv"))
+    assert late[0].startswith("Row 1 (header) must be exactly:") and late[1:] == ["File must be UTF-8 encoded."]
     bom = validate_file(spark, write(tmp_path, valid(), prefix="﻿", name="c.csv"))
     assert len(bom) == 1 and bom[0].startswith("Row 1 (header) must be exactly:")
     assert validate_file(spark, write(tmp_path, valid(), end="\r", name="d.csv")) == []
@@ -68,6 +73,7 @@ def test_file_level(spark, tmp_path):
 def test_number_texts_agree_with_python(spark):
     r = random.Random(1)
     texts = list({"".join(r.choices("0019.eE+-_naif dx", k=r.randrange(1, 7))) for _ in range(4000)} | {"nan", "-inf", "Infinity", "007", "-0", "1" * 40, "."})
+    texts += ["١٢", "𝟙.𝟚", "1٫2", "१_०", "²", "-٣e٢", "①"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     t = df["t"]
     for row in df.select("t", pyparity.strip(t).alias("s"), pyparity.is_canonical_int(t).alias("i"), pyparity.to_float(t).alias("f")).collect():
@@ -89,3 +95,21 @@ def test_writer_round_trip(spark, tmp_path):
     assert validate_file(spark, str(tmp_path / "out.csv")) == []
     with pytest.raises(ValueError):
         write_shortlist(rows.limit(5), str(tmp_path / "few.csv"))
+
+
+def test_usage(capsys):
+    assert main(["validate"]) == 1 and main(["validate", "a.csv", "b.csv"]) == 1
+    assert capsys.readouterr().out.startswith("Usage: ")
+
+
+def test_numbering_over_many_buckets(spark, monkeypatch):
+    """Buckets of buckets: numbers and neighbours are those of one sorted list."""
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 3)
+    r = random.Random(3)
+    keys = r.sample(range(500), 120)
+    df = spark.createDataFrame([(k, k % 7) for k in keys], "k long, g long")
+    got = ordering.numbered(df, F.floor(F.col("k") / 3), [F.col("k")], "place", 2).collect()
+    assert {x["k"]: x["place"] for x in got} == {k: n for n, k in enumerate(sorted(keys), 2)}
+    near = ordering.with_next(df.withColumn("part", F.floor(F.col("k") / 3)), ["g", "part"], [F.col("k")], ["k"]).collect()
+    order = sorted((k % 7, k) for k in keys)
+    assert {x["k"]: x["next_k"] for x in near} == {a[1]: b[1] if b else None for a, b in zip(order, [*order[1:], None], strict=True)}
