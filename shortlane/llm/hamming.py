@@ -31,8 +31,14 @@ K = 10
 
 
 def segments_for(n: int) -> int:
-    """Segments of about log2(n) bits, so that a value of one has few of n codes."""
-    return 8 if n < 1 << 12 else 4 if n < 1 << 24 else 2
+    """Segments of about log2(n) bits, so that a value of one has few of n codes; at most 22, so that the flips of a probe stay few."""
+    return 8 if n < 1 << 12 else 4 if n < 1 << 24 else 3
+
+
+def cuts(segments: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each segment; the first ones are longer if they cannot be equal."""
+    bits = [BITS // segments + (s < BITS % segments) for s in range(segments)]
+    return [(sum(bits[:s]), n) for s, n in enumerate(bits)]
 
 
 def code_of(vector: Column) -> Column:
@@ -42,8 +48,14 @@ def code_of(vector: Column) -> Column:
     return F.when(long, F.raise_error(F.lit(f"a code has {BITS} bits, and a vector has more components")).cast("long")).when(F.size(vector) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
-def segment(code: Column, s: int, width: int) -> Column:
-    return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def segment(code: Column, cut: tuple[int, int]) -> Column:
+    first, bits = cut
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def values(code: Column, parts: list[tuple[int, int]]) -> Column:
+    """(s, v, all): each segment's number, its value in the code, and the number of values that it can have."""
+    return F.array(*(F.struct(F.lit(s).alias("s"), segment(code, c).alias("v"), F.lit(1 << c[1]).cast("long").alias("all")) for s, c in enumerate(parts)))
 
 
 def exact_top_k(base: DataFrame, queries: DataFrame, k: int = K, segments: int | None = None) -> DataFrame:
@@ -54,8 +66,9 @@ def exact_top_k(base: DataFrame, queries: DataFrame, k: int = K, segments: int |
     few = base.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k)
     codes = _spark.cut(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "mih-codes")
     segments = segments or segments_for(codes.count())
-    width = BITS // segments
-    index = _spark.cut(codes.select("code", "ids", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), segment(F.col("code"), s, width).alias("v")) for s in range(segments)))).alias("p")).select("p.*", "code", "ids"), "mih-index")
+    parts = cuts(segments)
+    width = parts[0][1]
+    index = _spark.cut(codes.select("code", "ids", F.explode(values(F.col("code"), parts)).alias("p")).select("p.s", "p.v", "code", "ids"), "mih-index")
     # equal query codes are searched once
     asked = queries.where("code IS NOT NULL").select(F.col("id").alias("query_id"), "code")
     open_ = _spark.cut(asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), "mih-open")
@@ -63,10 +76,10 @@ def exact_top_k(base: DataFrame, queries: DataFrame, k: int = K, segments: int |
     for r in range(width + 1):
         masks = [sum(1 << b for b in bits) for bits in combinations(range(width), r)]
         flips = spark.range(len(masks)).select(F.element_at(F.lit(masks), (F.col("id") + 1).cast("int")).cast("long").alias("flip"))
-        places = open_.select("q", "bound", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), segment(F.col("q"), s, width).alias("v")) for s in range(segments)))).alias("p"))
-        probes = places.crossJoin(F.broadcast(flips)).select("q", "bound", F.col("p.s").alias("s"), F.col("p.v").bitwiseXOR(F.col("flip")).alias("v"))  # at most 2**width flips for each stated query
+        places = open_.select("q", "bound", F.explode(values(F.col("q"), parts)).alias("p"))
+        probes = places.crossJoin(F.broadcast(flips)).where(F.col("flip") < F.col("p.all")).select("q", "bound", F.col("p.s").alias("s"), F.col("p.v").bitwiseXOR(F.col("flip")).alias("v"))  # at most 2**width flips for each stated query
         met = probes.join(index, ["s", "v"])
-        apart = [F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), s, width)) for s in range(segments)]
+        apart = [F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), c)) for c in parts]
         first = F.coalesce(*(F.when(a == F.least(*apart), F.lit(s)) for s, a in enumerate(apart)))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         met = met.where((first == F.col("s")) & (distance <= F.col("bound"))).select("q", distance.alias("distance"), "code", F.explode("ids").alias("vec_id"))
