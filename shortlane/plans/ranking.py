@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortlane.functions import similarity
-from shortlane.operators import features, honeypot, job, shortlist
+from shortlane.operators import features, honeypot, job, shortlist, validate
 from shortlane.operators.shortlist import top, top_per
 from shortlane.plans import records as r
 from shortlane.plans import surrogate as s
 from shortlane.plans.surrogate import table
+from shortlane.sources import candidates, scratch, submission
 from shortlane.sources.candidates import SIGNALS
 from shortlane.streaming import counters
 
@@ -134,6 +137,25 @@ def hybrid_rank(spark, d) -> DataFrame:
     return top(c.withColumn("hybrid", score), [F.desc("hybrid"), F.asc("candidate_id")]).select("candidate_id", "rank", "hybrid")
 
 
+def io_candidates_jsonl(spark, d) -> DataFrame:
+    """Profiles written as JSON Lines, converted to Parquet once, and read back typed."""
+    path = scratch.new_path(spark, "candidates")
+    r.profiles(spark, d, "careers", "skills", "signals").select(F.to_json(F.struct("*"))).write.text(path)
+    back = candidates.profiles(spark, path, f"{path}-parquet")
+    return back.select("candidate_id", F.col("profile.current_title").alias("title"), F.col("profile.years_of_experience").alias("years"), F.size("career_history").cast("long").alias("n_jobs"), F.size("skills").cast("long").alias("n_skills"), F.year(F.array_min(F.transform("career_history", lambda j: j["start_date"]))).alias("since"))
+
+
+def io_shortlist_csv(spark, d) -> DataFrame:
+    """The ranker's shortlist as its file has it: every cell of every row, and no error in its report."""
+    path = scratch.new_path(spark, "shortlist").removeprefix("file:")
+    ranked = rank_profiles(spark, d)
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    submission.write_shortlist(ranked, path)
+    rows = submission.read_rows(spark, f"file:{path}")
+    errors = validate.report(rows).select(F.lit(-1).alias("row_ix"), F.col("message").alias("line"))
+    return rows.select("row_ix", F.array_join("cells", "|").alias("line")).unionByName(errors)
+
+
 _BEST = "row_number() OVER (ORDER BY level DESC, response_bp DESC, candidate_id)"
 
 _WANT = job.parse(JOB)
@@ -208,4 +230,9 @@ SQL = {
     "jd_vector_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT arg_min(e, vec_id) AS q FROM v), x AS (SELECT vec_id, round(list_dot_product(e, q) / sqrt(list_dot_product(e, e) * list_dot_product(q, q)), 6) AS similarity FROM v, q), r AS (SELECT *, CAST(row_number() OVER (ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM x) SELECT vec_id, similarity, rank FROM r WHERE rank <= 100",
     "hybrid_rank": f"WITH {s.CANDIDATES_SQL}, h AS (SELECT candidate_id, CAST((35 * least(n_core, 9) + CASE WHEN title = '{s.AI_SEGMENT}' THEN 225 ELSE 0 END + CASE WHEN days BETWEEN {s.BAND_DAYS[0]} AND {s.BAND_DAYS[1]} THEN 135 ELSE 0 END + CASE WHEN n_regionkey = 2 THEN 90 ELSE 0 END) * (8000 + least(greatest(response_bp, 0), 4000)) AS BIGINT) AS hybrid FROM candidates JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT *, CAST(row_number() OVER (ORDER BY hybrid DESC, candidate_id) AS INTEGER) AS rank FROM h) SELECT candidate_id, rank, hybrid FROM r WHERE rank <= 100",
 }
+_RANKED = SQL["rank_profiles"]
+SQL |= {
+    "io_candidates_jsonl": f"WITH {r.PEOPLE_SQL}, {r.CAREERS_SQL}, {r.SKILLS_SQL}, j AS (SELECT o_custkey, count(*) AS n_jobs, CAST(min(year(start_date)) AS INTEGER) AS since FROM jobs GROUP BY 1), k AS (SELECT s_custkey, count(*) AS n_skills FROM skill GROUP BY 1) SELECT candidate_id, title, years, n_jobs, n_skills, since FROM person LEFT JOIN spans ON c_custkey = spans.o_custkey LEFT JOIN j ON c_custkey = j.o_custkey LEFT JOIN k ON c_custkey = s_custkey",
+    "io_shortlist_csv": f"SELECT 0 AS row_ix, 'candidate_id|rank|score|reasoning' AS line UNION ALL SELECT rank, candidate_id || '|' || rank || '|' || printf('%.4f', score) || '|' || reasoning FROM ({_RANKED})",
+}
 QUERIES = {name: globals()[name] for name in SQL}
