@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shortlane.sources import scratch
+
 #: Words are runs of anything but these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch, for as long as the session has Spark's defaults.
@@ -15,17 +14,6 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset and Spark is local (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="shortlane-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lowers Spark's default limits of an Arrow batch, which hold too much of long texts at once; other values stay."""
     for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
@@ -39,7 +27,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: later steps restart from files, not from lineage."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch.new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -110,7 +110,8 @@ def layout(docs: DataFrame) -> DataFrame:
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("_tie"))
     sized = _spark.cut(sized, "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.count("*").alias("_rows"), F.sum("size").alias("source_size"))
+    # from a file, its size is known: a small one is broadcast, and rows are not shuffled by source
+    per_source = _spark.cut(sized.groupBy("source").agg(F.count("*").alias("_rows"), F.sum("size").alias("source_size")), "mix-totals")
     sized = sized.join(per_source, sized["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
     sized = sized.withColumn("_stretch", F.pmod(F.col("_tie"), F.ceil(F.col("_rows") / STRETCH_ROWS)))
     starts = sized.groupBy("source", "_stretch").agg(F.sum("size").alias("_words"))
@@ -196,7 +197,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     """
     spark = docs.sparkSession
     placed = _spark.cut(layout(docs), "mix-layout")
-    per_source = _spark.cut(placed.groupBy("source").agg(F.max("source_size").alias("size")), "mix-sources")
+    per_source = placed.groupBy("source").agg(F.max("source_size").alias("size"))
     if (n := per_source.count()) > MAX_SOURCES:
         raise ValueError(f"{n} values of source; a mix has at most {MAX_SOURCES}")
     rows = sorted(per_source.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))  # one row a source
