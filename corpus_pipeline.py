@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's documents.  All but the last return the columns
 of documents; the last returns what the mix takes of each document.
+
+Defined cases, in every stage: nulls in any column and empty texts are kept unless the stage's rule drops them (the classifier scores
+them, near duplicates and leaks they are not); rows that repeat an id are told apart by text; an empty table gives an
+empty one; further columns go through unchanged up to the last stage.
 """
 
 from __future__ import annotations

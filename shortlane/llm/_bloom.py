@@ -1,4 +1,9 @@
-"""Bloom filters of 64-bit hashes, built in tasks and merged bitmap by bitmap."""
+"""Bloom filters of 64-bit hashes, built in tasks and merged bitmap by bitmap.
+
+A filter never leaves out what it was built from; what it lets through besides costs rows, never results.
+
+Defined cases: a filter of nothing has nothing; null ids are hashed like others; repeated ids are one.
+"""
 
 from __future__ import annotations
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shortlane.llm import _bloom, _text, decontaminate, hamming, lines, mixing, ngram_join, pii, quality, secrets, substrings, toxicity
+from shortlane.llm.components import components
 from shortlane.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n string, tokens string, drop string, score string"
@@ -441,6 +442,29 @@ def test_pipeline_stages(spark):
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality classifier" and corpus_pipeline.drop_lines(spark, docs, sf).columns == columns
 
 
+def test_components(spark):
+    r = random.Random(5)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(70, 70), (5, None), (None, 6)] + [(k, k + 1) for k in range(100, 140)]
+    part = {x: x for pair in links if None not in pair for x in pair}
+    for _ in range(60):
+        for x, y in links:
+            if None not in (x, y):
+                part[x] = part[y] = min(part[x], part[y])
+    df = spark.createDataFrame(links + links[:10], "a long, b long")
+    assert {(x["id"], x["component"]) for x in components(df).collect()} == set(part.items())
+    assert components(df.where("false")).count() == 0
+
+
+def test_filters(spark):
+    ids = spark.createDataFrame([(k,) for k in range(0, 3000, 3)] + [(3,), (None,)], "k long")
+    made = _bloom.IdFilter(ids)
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(3000)] + [(None, "null")], "doc_id long, text string")
+    inside, outside = ({x["doc_id"] for x in _bloom.pick(docs, made, inside=x).collect()} for x in (True, False))
+    assert inside >= {*range(0, 3000, 3), None} and len(inside) < 1200 and not inside & outside and len(inside | outside) == 3001
+    assert {x["doc_id"] for x in docs.where(_bloom.may_have(made, F.col("doc_id"))).collect()} == inside
+    assert _bloom.pick(docs, _bloom.IdFilter(ids.where("false"))).count() == 0
+
+
 def test_many_ids_meet_in_a_join(spark, monkeypatch, texts):
     """With more ids than a filter is broadcast for, the same documents are picked."""
     monkeypatch.setattr(_bloom, "MAX_BITS", 4)
