@@ -69,15 +69,15 @@ def class_ids(sets: list[np.ndarray]) -> pa.Array:
 
 
 def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set and the id of its class."""
+    """doc_id, version (of the text), n_shingles, a 128-bit fingerprint of the set and the id of its class."""
 
     def run(batches):
         for b in batches:
             sets = [s for _, s in shingle_sets(b.column(1), n)]
             low, high, ids = (pa.array(_text.signed(x)) for x in fingerprints(sets))
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), low, high, ids], names=["doc_id", "n_shingles", "low", "high", "id"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), low, high, ids], names=["doc_id", "version", "n_shingles", "low", "high", "id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, low long, high long, id long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("version")).mapInArrow(run, "doc_id long, version long, n_shingles long, low long, high long, id long")
 
 
 def token_ranks(docs: DataFrame, n: int) -> np.ndarray:
@@ -185,7 +185,8 @@ def linked(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, n: int
     sets = _spark.cut(full_sets(docs, ends(kept), n), "join-sets")
     both = kept.join(side(sets, "a", "tokens"), "a").join(side(sets, "b", "tokens"), "b")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(common * (num + den) >= (F.size("a_tokens") + F.size("b_tokens")) * num).select("a", "b").distinct()
+    # a leader may have a large part of all pairs; the merges are left free to be split, so what is distinct is found after them
+    return _spark.cut(both.where(common * (num + den) >= (F.size("a_tokens") + F.size("b_tokens")) * num).select("a", "b"), "join-linked").distinct()
 
 
 def link_classes(docs: DataFrame, representatives: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -260,7 +261,7 @@ def link_counts(docs: DataFrame, members: DataFrame, n: int, num: int, den: int)
 
 
 def joined_classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Of each document doc_id, n_shingles, low and high; of each class these, id, class_id, part and component_id (nulls without links)."""
+    """Of each document doc_id, version, n_shingles, low and high; of each class these, id, class_id, part and component_id (nulls without links)."""
     sizes = _spark.cut(set_sizes(docs, n), "join-sizes")
     classes = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "low", "high").agg(F.min("id").alias("id"), F.min("doc_id").alias("class_id"))
     classes = _spark.cut(classes, "join-classes")
@@ -273,8 +274,8 @@ def joined_classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
     return sizes.drop("id"), placed.unionByName(known.where("part IS NULL").withColumn("component_id", F.lit(None).cast("long")))
 
 
-def ngram_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, count_links: bool = True) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set), n_links (other classes that its class links with; only if count_links), component_id."""
+def grouped(docs: DataFrame, n: int, num: int, den: int, count_links: bool) -> DataFrame:
+    """What ngram_join gives, and the version of each text."""
     sizes, known = joined_classes(docs, n, num, den)
     if count_links:
         degree = link_counts(docs, known.where("part IS NOT NULL").select("id", F.col("class_id").alias("doc_id"), "n_shingles", "part"), n, num, den)
@@ -282,15 +283,20 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, count_l
     # copies of one text may be a large part of all documents: from files, either side of the merge can be split
     out = sizes.join(_spark.cut(known, "join-found").hint("merge"), ["n_shingles", "low", "high"], "left")
     count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), *count, F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "version", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), *count, F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
+
+
+def ngram_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest id with the same set), n_links (other classes that its class links with), component_id."""
+    return grouped(docs, n, num, den, count_links=True).drop("version")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One document of each component, the one with the smallest id; documents without words stay; all columns."""
-    groups = ngram_join(docs, n, num, den, count_links=False)
-    kept = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out
+    """One document of each component, the one with the smallest id; documents without words or id stay; all columns."""
+    groups = grouped(docs, n, num, den, count_links=False)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), F.col("version").alias("_version")).distinct()
+    named = docs.join(_spark.cut(kept, "join-kept").hint("merge"), (F.col("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_version")), "left_semi")
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -109,6 +109,10 @@ def test_ngram_join(spark, texts, n, num, den):
     kept = {r["doc_id"] for r in ngram_join.keep_one(frame(spark, texts), n, num, den).collect()}
     assert kept == {p for _, _, p in brute_components(texts, n, num, den)}
     assert ngram_join.ngram_join(frame(spark, []), n, num, den).count() == 0
+    # of two texts under one id, the copy of another document goes and the other stays
+    odd = frame(spark, texts).unionByName(spark.createDataFrame([(14, texts[13], *[None] * 8), (None, texts[0], *[None] * 8)], SCHEMA))
+    left = ngram_join.keep_one(odd, n, num, den).collect()
+    assert [x["text"] for x in left if x["doc_id"] == 14] == [texts[14]] and len(left) == len(kept) + 1
 
 
 @pytest.mark.parametrize("block", [256, 2])
