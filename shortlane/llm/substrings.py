@@ -11,18 +11,19 @@ anywhere else, in the same document or another.
 2. Confirmation.  An anchor seen once has no repeated window and goes first.  If all its occurrences have
    the same stretch, all their windows repeat.  Otherwise the distinct stretches
    are read from one document each and their windows counted by hash.
-3. Automata.  Runs of confirmed windows become phrases, each read from one document.  Documents are
-   dealt by id with the phrases that their anchors call for; each shard (documents of SHARD_BYTES)
-   compiles its phrases into an Aho-Corasick automaton over words and streams its
-   documents through, which locates every occurrence.  The words covered are removed.
+3. Automata.  Runs of confirmed windows become phrases, each read from one document, its holder.  Phrases are
+   sharded by holder, so what one document repeats stays together, into shards of SHARD_BYTES; each
+   shard's phrases are compiled into an Aho-Corasick automaton over words, and every document that has an anchor of a shard
+   is streamed through it, which locates every occurrence.  A shard that more than DOC_BYTES of documents call is
+   salted: its phrases are compiled once for each such part.  The words covered are removed.
 
-Nothing is sent to the driver and nothing is capped.  A document's own list of
-phrases is bounded by its length.
+Nothing is sent to the driver and nothing is capped.  What one task holds at once is a shard and a part of its
+documents, or one document.
 
 Defined cases: a null or blank text has no words and keeps none; texts shorter than a
 window are kept whole; exact copies remove each other's windows entirely; repeated rows count as
-separate documents (results are per row id, and rows of one id are one occurrence each);
-an empty table gives an empty result; other columns are ignored.
+separate documents (results are per row id, and rows of one id are one occurrence each); null ids are
+documents like others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ from . import _bloom, _spark, _text
 
 WINDOW = 35
 GRAM = 6
-#: Text of one automaton's documents: bounds its size (a longer document is a shard alone).
-SHARD_BYTES = 1 << 20
+#: Text of the phrases of a shard, and of the documents that one automaton streams; a single holder or document may have more.
+SHARD_BYTES = 1 << 18
+DOC_BYTES = 1 << 21
 
 
 class Anchors(NamedTuple):
@@ -80,7 +82,7 @@ def anchors_of(chunk: _text.Words, hashes: np.ndarray, window: int, gram: int) -
 
 
 def anchor_rows(docs: DataFrame, window: int, gram: int, only: _bloom.IdFilter | None = None) -> DataFrame:
-    """anchor, stretch, doc_id: a row for each anchor of each document, or for those that may be in `only`."""
+    """anchor, stretch, doc_id and bytes (of the text): a row for each anchor of each document, or for those that may be in `only`."""
     shared, bits = (only.shared, only.bits) if only and only.shared else (None, 0)
 
     def run(batches):
@@ -89,17 +91,19 @@ def anchor_rows(docs: DataFrame, window: int, gram: int, only: _bloom.IdFilter |
                 x = anchors_of(c, c.hashes(), window, gram)
                 may = _bloom.has(shared.value, x.anchor, bits) if shared else np.ones(len(x.doc), bool)
                 if may.any():
-                    yield pa.record_batch([pa.array(_text.signed(x.anchor[may])), pa.array(_text.signed(x.stretch[may])), b.column(0).take(pa.array(c.first + x.doc[may]))], names=["anchor", "stretch", "doc_id"])
+                    at = pa.array(c.first + x.doc[may])
+                    size = pa.array(np.diff(c.text_bounds)[x.doc[may]])
+                    yield pa.record_batch([pa.array(_text.signed(x.anchor[may])), pa.array(_text.signed(x.stretch[may])), b.column(0).take(at), size], names=["anchor", "stretch", "doc_id", "bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, stretch long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, stretch long, doc_id long, bytes long")
 
 
 def read_stretches(wanted: DataFrame, docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Adds to anchor, stretch, n, many the stretch's words (one space between) and, where `many`, its windows' hashes."""
+    """Adds to anchor, stretch, n, many, holder the stretch's words (one space between) and, where `many`, its windows' hashes."""
 
     def run(batches):
         for b in batches:
-            out = {k: [] for k in ("anchor", "stretch", "n", "many", "phrase", "windows")}
+            out = {k: [] for k in ("anchor", "stretch", "n", "many", "holder", "phrase", "windows")}
             lists = b.column(1)
             for c in _text.word_chunks(b.column(0)):
                 hashes = c.hashes()
@@ -114,13 +118,13 @@ def read_stretches(wanted: DataFrame, docs: DataFrame, window: int, gram: int) -
                     hi += window - 1
                     out["phrase"].append(b" ".join(raw[c.start[lo] : c.end[hi - 1]].split()).decode())
                     out["windows"].append(_text.signed(_text.windows(hashes[lo:hi], window)) if w["many"] else None)
-                    for name in ("anchor", "stretch", "n", "many"):
+                    for name in ("anchor", "stretch", "n", "many", "holder"):
                         out[name].append(w[name])
-            yield pa.record_batch([pa.array(out["anchor"], pa.int64()), pa.array(out["stretch"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["many"], pa.bool_()), pa.array(out["phrase"], pa.string()), pa.array(out["windows"], pa.list_(pa.int64()))], names=list(out))
+            yield pa.record_batch([*(pa.array(out[k], pa.int64()) for k in ("anchor", "stretch", "n")), pa.array(out["many"], pa.bool_()), pa.array(out["holder"], pa.int64()), pa.array(out["phrase"], pa.string()), pa.array(out["windows"], pa.list_(pa.int64()))], names=list(out))
 
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "stretch", "n", "many")).alias("wanted"))
-    met = docs.select("doc_id", "text").join(per_doc, "doc_id").select("text", "wanted")
-    return met.mapInArrow(run, "anchor long, stretch long, n long, many boolean, phrase string, windows array<long>")
+    per_doc = wanted.groupBy("holder").agg(F.collect_list(F.struct("anchor", "stretch", "n", "many", "holder")).alias("wanted"))
+    met = docs.select("doc_id", "text").join(per_doc, F.col("doc_id") == F.col("holder")).select("text", "wanted")
+    return met.mapInArrow(run, "anchor long, stretch long, n long, many boolean, holder long, phrase string, windows array<long>")
 
 
 def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -135,80 +139,111 @@ def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def phrases(occurrences: DataFrame, docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, stretch, phrases: the recurring passages, as maximal runs of confirmed windows of each distinct stretch."""
-    distinct = occurrences.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    """anchor, stretch, holder, phrases: the recurring passages, as maximal runs of confirmed windows of each distinct stretch."""
+    distinct = occurrences.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min("doc_id").alias("holder"))
     # an anchor seen once repeats nothing
     stretches = distinct.groupBy("anchor").agg(F.count("*").alias("_k"), F.sum("n").alias("_all")).where("_all > 1").drop("_all")
-    wanted = _spark.cut(distinct.join(stretches, "anchor").select("anchor", "stretch", "n", (F.col("_k") > 1).alias("many"), "doc_id"), "sub-wanted")
-    holders = _bloom.pick(docs, _bloom.IdFilter(wanted.select("doc_id").distinct()))
+    wanted = _spark.cut(distinct.join(stretches, "anchor").select("anchor", "stretch", "n", (F.col("_k") > 1).alias("many"), "holder"), "sub-wanted")
+    holders = _bloom.pick(docs, _bloom.IdFilter(wanted.select("holder").distinct()))
     read = _spark.cut(read_stretches(wanted, holders, window, gram), "sub-stretches")
-    whole = read.where("NOT many").select("anchor", "stretch", F.array("phrase").alias("phrases"))
+    whole = read.where("NOT many").select("anchor", "stretch", "holder", F.array("phrase").alias("phrases"))
     each = read.where("many").select("anchor", "stretch", "n", F.posexplode("windows").alias("k", "window"))
     # a window inside a stretch that itself occurs twice repeats there already; n counts for the others
     seen = each.groupBy("window").agg(F.sum("n").alias("_seen")).where("_seen > 1")
     confirmed = each.join(seen, "window").groupBy("anchor", "stretch").agg(F.sort_array(F.collect_set("k")).alias("ks"))
-    joined = read.where("many").select("anchor", "stretch", "phrase").join(confirmed, ["anchor", "stretch"])
+    joined = read.where("many").select("anchor", "stretch", "holder", "phrase").join(confirmed, ["anchor", "stretch"])
 
     def runs(batches):
         for b in batches:
             out = []
-            for text, ks in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, ks in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 words, ks = text.split(" "), np.array(ks)
                 cuts = np.flatnonzero(np.diff(ks) > 1) + 1
                 out.append([" ".join(words[r[0] : r[-1] + window]) for r in np.split(ks, cuts)])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["anchor", "stretch", "phrases"])
+            yield pa.record_batch([*(b.column(k) for k in range(3)), pa.array(out, pa.list_(pa.string()))], names=["anchor", "stretch", "holder", "phrases"])
 
-    return whole.unionByName(joined.mapInArrow(runs, "anchor long, stretch long, phrases array<string>"))
+    return whole.unionByName(joined.select("anchor", "stretch", "holder", "phrase", "ks").mapInArrow(runs, "anchor long, stretch long, holder long, phrases array<string>"))
 
 
-def locate(documents: list[list[bytes]], lists: list[list[str]]) -> list[np.ndarray]:
-    """For each document (its words) a mask of the words that occurrences of the shard's phrases cover.
+def locate(key: tuple, documents: pa.Table, shard: pa.Table) -> pa.Table:
+    """doc_id, starts and ends of the runs of words that occurrences of the shard's phrases cover in each document.
 
     The automaton's letters are words, numbered within the shard.
     """
     number: dict[bytes, int] = {}
-    spelt = lambda words: tuple([number.setdefault(w, len(number) + 1) for w in words])
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for phrase in {p for ps in lists for p in ps}:
-        letters = spelt(phrase.encode().split(b" "))
+    for phrase in set(shard.column("phrase").to_pylist()):
+        letters = tuple([number.setdefault(w, len(number) + 1) for w in phrase.encode().split(b" ")])
         automaton.add_word(letters, len(letters))
     if len(automaton):
         automaton.make_automaton()
-    covered = []
-    for words, own in zip(documents, lists, strict=True):
-        mask = np.zeros(len(words) + 1, dtype=np.int64)
-        if own and words and (hits := list(automaton.iter(spelt(words)))):
+    ids, starts, ends = [], [], []
+    for doc_id, text in zip(documents.column("doc_id").to_pylist(), documents.column("text").to_pylist(), strict=True):
+        words = tuple([number.get(w, 0) for w in text.encode().split()])
+        hits = list(automaton.iter(words)) if words and len(automaton) else []
+        if hits:
             last, size = np.array(hits).T
-            np.add.at(mask, last + 1 - size, 1)
-            np.add.at(mask, last + 1, -1)
-        covered.append(np.cumsum(mask)[:-1] > 0)
-    return covered
+            mask = np.zeros(len(words) + 2, dtype=np.int64)
+            np.add.at(mask, last + 2 - size, 1)
+            np.add.at(mask, last + 2, -1)
+            edges = np.flatnonzero(np.diff(np.cumsum(mask) > 0))
+            ids.append(doc_id)
+            starts.append(edges[::2])
+            ends.append(edges[1::2])
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(ends, pa.list_(pa.int32()))})
+
+
+def covered(texts: DataFrame, occurrences: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, starts and ends of the words covered by recurring passages, from all shards that a document calls."""
+    size = found.agg(F.sum(F.aggregate("phrases", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0] or 0
+    found = found.withColumn("shard", F.pmod(F.xxhash64("holder"), F.lit(size // SHARD_BYTES + 1)))
+    calls = occurrences.join(found.select("anchor", "stretch", "shard").hint("merge"), ["anchor", "stretch"]).select("doc_id", "bytes", "shard").distinct()
+    calls = _spark.cut(calls, "sub-calls")
+    salts = _spark.cut(calls.groupBy("shard").agg(F.ceil(F.sum("bytes") / DOC_BYTES).cast("int").alias("salts")), "sub-salts")
+    dealt = calls.join(salts.hint("merge"), "shard").select("doc_id", F.struct("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt")).alias("part"))
+    per_doc = _spark.cut(dealt.groupBy("doc_id").agg(F.collect_list("part").alias("parts")), "sub-dealt")  # as many as a document has anchors, at most
+    sent = _bloom.pick(texts, _bloom.IdFilter(per_doc.select("doc_id"))).join(per_doc.hint("merge"), "doc_id").select("doc_id", "text", F.explode("parts").alias("part")).select("doc_id", "text", "part.*")
+    compiled = found.select("shard", F.explode("phrases").alias("phrase")).distinct().join(salts.hint("merge"), "shard").select("shard", "phrase", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    located = sent.groupBy("shard", "salt").cogroup(compiled.groupBy("shard", "salt")).applyInArrow(locate, "doc_id long, starts array<int>, ends array<int>")
+    merged = located.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("runs"))
+    return merged.select("doc_id", F.flatten("runs.starts").alias("starts"), F.flatten("runs.ends").alias("ends"))
+
+
+def without_runs(batches):
+    """own, n_words, n_removed and kept of own, text, starts, ends."""
+    for b in batches:
+        data, offsets = _text.buffers(b.column(1))
+        counts, removed, kept = [], [], []
+        for k, (starts, ends) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+            words = data[offsets[k] : offsets[k + 1]].tobytes().split()
+            if starts:
+                mask = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(mask, starts, 1)
+                np.add.at(mask, ends, -1)
+                stay = np.cumsum(mask)[:-1] <= 0
+                kept.append(b" ".join(w for w, s in zip(words, stay.tolist(), strict=True) if s).decode())
+                removed.append(int((~stay).sum()))
+            else:
+                kept.append(b" ".join(words).decode())
+                removed.append(0)
+            counts.append(len(words))
+        yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed and `kept`, the words that stay, joined by one space."""
-    occurrences = _spark.cut(recurring_anchors(docs, window, gram), "sub-anchors")
-    found = _spark.cut(phrases(occurrences, docs, window, gram), "sub-phrases")
-    calls = occurrences.join(found, ["anchor", "stretch"]).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("phrases"))).alias("phrases"))
-    called = _bloom.IdFilter(occurrences.select("doc_id").distinct())
-    dealt = _bloom.pick(docs, called).join(calls, "doc_id", "left")
-
-    def run(batches):
-        for b in batches:
-            data, offsets = _text.buffers(b.column(1))
-            first = 0
-            while first < b.num_rows:  # a shard: documents of SHARD_BYTES, or one longer one
-                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SHARD_BYTES, side="right")) - 1)
-                documents = [data[offsets[k] : offsets[k + 1]].tobytes().split() for k in range(first, last)]
-                lists = [x or [] for x in b.column(2).slice(first, last - first).to_pylist()]
-                masks = locate(documents, lists)
-                kept = [b" ".join(w for w, m in zip(words, mask.tolist(), strict=True) if not m) if mask.any() else b" ".join(words) for words, mask in zip(documents, masks, strict=True)]
-                yield pa.record_batch([b.column(0).slice(first, last - first), pa.array([len(w) for w in documents], pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array([k.decode() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-                first = last
-
+    # inside, a row is named by a hash of id and text: rows that share it are copies, and have the same words covered
+    rows = docs.select(F.col("doc_id").alias("own"), F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    texts = rows.select("doc_id", "text")
+    occurrences = _spark.cut(recurring_anchors(texts, window, gram), "sub-anchors")
+    found = _spark.cut(phrases(occurrences, texts, window, gram), "sub-phrases")
+    runs = _spark.cut(covered(texts, occurrences, found), "sub-covered")
+    losing = _bloom.may_have(_bloom.IdFilter(runs.select("doc_id")), F.col("doc_id"))
+    cut = rows.where(losing).join(runs.hint("merge"), "doc_id", "left").select("own", "text", "starts", "ends")
+    none = F.lit(None).cast("array<int>")
+    rest = rows.where(~losing).select("own", "text", none.alias("starts"), none.alias("ends"))
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    empty = lambda batches: (pa.record_batch([*b.columns, pa.nulls(b.num_rows, pa.list_(pa.string()))], names=["doc_id", "text", "phrases"]) for b in batches)
-    return dealt.mapInArrow(run, schema).unionByName(_bloom.pick(docs, called, lambda batches: run(empty(batches)), schema, inside=False))
+    return cut.mapInArrow(without_runs, schema).unionByName(rest.mapInArrow(without_runs, schema))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -130,14 +130,29 @@ def test_all_links_of_a_group_count(spark, monkeypatch, block):
     assert max(links.values()) > 2 and links[texts[-1]] == 1
 
 
-def test_substrings(spark, texts):
+def brute_substrings(texts, window=35):
     docs = [(t or "").encode().split() for t in texts]
-    seen = Counter(tuple(w[k : k + 35]) for w in docs for k in range(len(w) - 34))
-    got = {r["doc_id"]: r for r in substrings.dedup_substrings(frame(spark, texts)).collect()}
-    for i, w in enumerate(docs):
-        gone = {k + j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(35)}
-        assert (got[i]["n_words"], got[i]["n_removed"]) == (len(w), len(gone))
-        assert got[i]["kept"] == b" ".join(x for k, x in enumerate(w) if k not in gone).decode()
+    seen = Counter(tuple(w[k : k + window]) for w in docs for k in range(len(w) - window + 1))
+    out = []
+    for w in docs:
+        gone = {k + j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(window)}
+        out.append((len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_substrings(spark, texts, small, monkeypatch):
+    if small:  # many shards, and a salted one
+        monkeypatch.setattr(substrings, "SHARD_BYTES", 300)
+        monkeypatch.setattr(substrings, "DOC_BYTES", 2000)
+    more = [*texts, *(prose(30, 50 + k) + " " + prose(60, 40 + k % 2) + " " + prose(20, 70 + k) for k in range(12)), prose(80, 5) + " " + prose(80, 5)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup_substrings(frame(spark, more)).collect()}
+    assert [got[k] for k in range(len(more))] == brute_substrings(more)
+    assert sum(x[1] > 0 for x in got.values()) > 15
+    again = [prose(90, 8), "short", None]  # repeated ids, other texts under one, and null ids
+    docs = spark.createDataFrame([(1, again[0]), (1, again[1]), (None, again[0]), (None, again[2]), (2, prose(90, 9)), (2, prose(90, 9))], "doc_id long, text string")
+    rows = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.dedup_substrings(docs).collect())
+    assert rows == [(0, 0, 0), (0, 90, 90), (1, 1, 0), (1, 90, 90), (2, 90, 90), (2, 90, 90)]
     assert substrings.dedup_substrings(frame(spark, [])).count() == 0
 
 
@@ -472,7 +487,7 @@ def test_filters(spark):
 def test_many_ids_meet_in_a_join(spark, monkeypatch, texts):
     """With more ids than a filter is broadcast for, the same documents are picked."""
     monkeypatch.setattr(_bloom, "MAX_BITS", 4)
-    test_substrings(spark, texts)
+    assert [x[1] for x in brute_substrings(texts)] == [r["n_removed"] for r in substrings.dedup_substrings(frame(spark, texts)).orderBy("doc_id").collect()]
     test_exact_lines(spark)
     test_ngram_join(spark, texts, 3, 90, 100)
 
