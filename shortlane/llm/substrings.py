@@ -140,10 +140,11 @@ def recurring_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def phrases(occurrences: DataFrame, docs: DataFrame, window: int, gram: int) -> DataFrame:
     """anchor, stretch, holder, phrases: the recurring passages, as maximal runs of confirmed windows of each distinct stretch."""
-    distinct = occurrences.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min("doc_id").alias("holder"))
+    distinct = _spark.cut(occurrences.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min("doc_id").alias("holder")), "sub-distinct")
     # an anchor seen once repeats nothing
     stretches = distinct.groupBy("anchor").agg(F.count("*").alias("_k"), F.sum("n").alias("_all")).where("_all > 1").drop("_all")
-    wanted = _spark.cut(distinct.join(stretches, "anchor").select("anchor", "stretch", "n", (F.col("_k") > 1).alias("many"), "holder"), "sub-wanted")
+    stretches = _spark.cut(stretches, "sub-many")  # an anchor may have many stretches: from files, either side can be split
+    wanted = _spark.cut(distinct.join(stretches.hint("merge"), "anchor").select("anchor", "stretch", "n", (F.col("_k") > 1).alias("many"), "holder"), "sub-wanted")
     holders = _bloom.pick(docs, _bloom.IdFilter(wanted.select("holder").distinct()))
     read = _spark.cut(read_stretches(wanted, holders, window, gram), "sub-stretches")
     whole = read.where("NOT many").select("anchor", "stretch", "holder", F.array("phrase").alias("phrases"))
