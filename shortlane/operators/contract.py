@@ -86,19 +86,27 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _broken(value: Column, f: Field) -> Column:
     """The first thing wrong with a value: missing, null, type, range, enum, pattern, items or format; NULL if nothing."""
-    return _let(value, lambda v: _let(F.coalesce(F.schema_of_variant(v), F.lit("")), lambda kind: _problem(v, kind, f)))
+    return _let(value, lambda v: _problem(v, f))
 
 
-def _problem(v: Column, json_type: Column, f: Field) -> Column:
-    number = json_type.startswith("DECIMAL") | json_type.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+def _typed(v: Column, kind: str) -> Column:
+    """Whether a value has the JSON type; the type of an object or array is tested without spelling out what is in it."""
+    if kind in ("object", "map"):
+        return _is_object(v)
+    if kind == "array":
+        return _get(v, "$", "array<variant>").isNotNull()
+    json_type = F.schema_of_variant(v)
+    if kind in ("number", "integer"):
+        whole = (_get(v, "$", "double") == F.floor(_get(v, "$", "double"))) if kind == "integer" else F.lit(True)
+        return _let(json_type, lambda t: t.startswith("DECIMAL") | t.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")) & whole
+    return json_type == ("BOOLEAN" if kind == "boolean" else "STRING")
+
+
+def _problem(v: Column, f: Field) -> Column:
     value = _get(v, "$", "double")
-    typed = {
-        "string": json_type == "STRING", "date": json_type == "STRING", "boolean": json_type == "BOOLEAN", "number": number, "integer": number & (value == F.floor(value)),
-        "object": json_type.startswith("OBJECT"), "map": json_type.startswith("OBJECT"), "array": json_type.startswith("ARRAY"),
-    }[f.kind]
     out = F.when(v.isNull(), F.lit("missing") if f.required else F.lit(None).cast("string"))
     out = out.when(F.is_variant_null(v), F.lit(None).cast("string") if f.nullable else F.lit("null"))
-    out = out.when(~typed, F.lit("type"))
+    out = out.when(~_typed(v, f.kind), F.lit("type"))
     text, bounds = _get(v, "$", "string"), lambda x: ((x < f.low) if f.low is not None else F.lit(False)) | ((x > f.high) if f.high is not None else F.lit(False))
     if f.kind in ("number", "integer"):
         out = out.when(bounds(value), F.lit("range"))
@@ -117,7 +125,7 @@ def _problem(v: Column, json_type: Column, f: Field) -> Column:
 
 
 def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return _get(v, "$", "struct<_: variant>").isNotNull()
 
 
 def _children(raw: Column, parent: str) -> Column:
@@ -141,5 +149,5 @@ def violations(lines: DataFrame, strict: bool = False, keep: str = "line") -> Da
     parents = dict.fromkeys(f.path.rpartition(".")[0] for f in FIELDS)
     broken = _let(F.col("raw"), lambda raw: F.flatten(F.array_compact(F.array(*(_children(raw, p) for p in parents)))))
     severity = F.when((F.col("problem") == "format") & F.lit(not strict), "warn").otherwise("error")
-    objects = lines.where(F.coalesce(F.schema_of_variant("raw"), F.lit("")).startswith("OBJECT"))
+    objects = lines.where(_is_object(F.col("raw")))
     return objects.select(keep, F.explode(broken).alias("x")).select(keep, "x.*").withColumn("severity", severity)

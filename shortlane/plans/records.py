@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from shortlane.operators.contract import FIELDS, SIZES, SKILL_LEVELS, TIERS, Field
 from shortlane.operators.job import COUNTRIES, SKILLS
 from shortlane.plans.surrogate import candidate_id, table
+from shortlane.sources import candidates, scratch
 from shortlane.sources.candidates import SIGNALS
 
 # Fixed values of the surrogate: titles by market segment, the as-of day, and the jobs of one profile.
@@ -173,7 +174,7 @@ PERIOD = len(FAULTS) + 1
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """record (the order's key) and raw (VARIANT): one JSON record an order; fault number o_orderkey % PERIOD is in it."""
+    """record (the order's key), line and raw (VARIANT), read back from JSON Lines: one record an order; fault number o_orderkey % PERIOD is in it."""
     fault = F.col("o_orderkey") % PERIOD
     parts = {f.path: k for k, f in enumerate(FIELDS)}
 
@@ -218,10 +219,12 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
     top = children("")
     text = joined(top)
-    extra = F.concat(F.lit('{"unknown key": [1, {"a": null}], '), F.substring(text, F.lit(2), F.length(text)))
+    extra = F.concat(F.lit('{"unknown key": [1, {"a": null}], "record": '), F.col("o_orderkey").cast("string"), F.lit(", "), F.substring(text, F.lit(2), F.length(text)))
     # two JSON texts are no records
     line = F.when(F.col("o_orderkey") % 401 == 0, F.lit("{broken")).when(F.col("o_orderkey") % 409 == 0, F.lit("[1]")).otherwise(extra)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("record"), F.try_parse_json(line).alias("raw"), line.alias("line"))
+    path = scratch.new_path(spark, "records")
+    table(spark, d, "orders").select(line).write.text(path)
+    return candidates.read_lines(spark, path).withColumn("record", F.try_variant_get("raw", "$.record", "bigint"))
 
 
 def _quoted(x: str) -> str:
