@@ -41,7 +41,7 @@ BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 KINDS = ("email", "ip", "card", "phone", "context")
 
 # Characters of private use that stand for the first character of a seed and for blanks inside it, so that a seed is one word.
-SEED, BLANK = "", ""
+SEED, BLANK = "\ue000", "\ue001"
 _WORD_START = r"(?<![^\x20\x09-\x0D])"
 _WORD_END = r"(?![^\x20\x09-\x0D])"
 _NUMBER = "[0-9][0-9().+/-]*+"
@@ -140,7 +140,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, version (of the text), seeds, and `places`: every candidate with its patterns."""
     text = F.coalesce("text", F.lit(""))
     plain = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("version"))
-    seen = mask(plain.withColumn("seeds", base_spans(F.col("text"))), "text")
+    own = F.contains("text", F.lit(SEED)) | F.contains("text", F.lit(BLANK))  # a text's own are no seeds
+    free = F.when(own, F.translate("text", SEED + BLANK, "\ufffd\ufffd")).otherwise(F.col("text"))
+    seen = mask(plain.withColumn("seeds", base_spans(F.col("text"))).withColumn("text", free), "text")
     return seen.select("doc_id", "version", "seeds", places(F.col("text")).alias("places"))
 
 

@@ -190,7 +190,7 @@ def test_personal_data_matches_re(spark):
 def test_contexts_find_unseen_identifiers(spark):
     seeds = [f"please call office at 10.0.0.{k} today thanks" for k in range(20)]
     unseen = ["A-5551234-Z", "(743) 555 3824", "@jane_doe", "AB12"]
-    texts = [*seeds, *(f"é please call office at {x}, today" for x in unseen), "room 123456 is free", "call 7 of 2024", "please call office at noon today"]
+    texts = [*seeds, *(f"é please call office at {x}, today" for x in unseen), "room 123456 is free", "call 7 of 2024", "please call office at noon\ue000 today"]
     # known only from a context that a discovered value taught: three of them stand after "our desk"
     texts += [f"please call office at Q{k}7Z today" for k in range(3)] + [f"visit our desk Q{k}7Z again" for k in range(3)] + ["visit our desk R99X again"]
     docs = frame(spark, [*texts, texts[20]]).unionByName(frame(spark, texts).where("doc_id = 7"))
