@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Elements of a running sum that share one pass; the cost of an element is of this order, however many there are.
 STEP = 128
+#: A character of private use that stands around matches; a text's own are replaced first, no pattern matches one.
+MARK = "\ue002"
 SPAN = "array<struct<kind: string, start: int, end: int, found: string>>"
 
 
@@ -34,18 +36,34 @@ def sums_before(numbers: Column) -> Column:
     return F.when(F.size(numbers) > STEP, let(steps, stepped)).otherwise(_before(numbers))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """An array of (gap, found, start, next): each match with its offset and the text between it and its neighbours.
+def matches(text: Column, pattern: str, found: str = "$0") -> Column:
+    """An array of (gap, found, start, end, next): each match with its offsets and the text between it and its neighbours.
 
-    Gaps and matches alternate, so an offset is the sum of the lengths in front.
+    The pattern is searched once: marks are put around matches and the text is split at them, so gaps and
+    matches alternate and an offset is the sum of the lengths in front.  With `found` "$1 $2" the pattern's first group is a gap
+    and its second the match.
     """
-    def placed(gaps: Column, found: Column) -> Column:
-        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-        ends = let(lengths, lambda n: F.zip_with(sums_before(n), n, lambda a, b: a + b))
-        return F.transform(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("found"), ends.alias("end"), F.slice(gaps, F.lit(2), F.size(found)).alias("next")), lambda x: F.struct(
-            x["gap"].alias("gap"), x["found"].alias("found"), (x["end"] - F.length(x["found"])).alias("start"), x["end"].alias("end"), x["next"].alias("next")))
+    free = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\ufffd")).otherwise(text)
+    front, _, match = found.rpartition(" ")
+    parts = F.split(F.regexp_replace(free, pattern, f"{front}{MARK}{match}{MARK}"), MARK, -1)
 
-    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), lambda s: placed(s["gaps"], s["found"]))
+    def placed(s: Column) -> Column:
+        at = lambda k: s["parts"][k]
+        one = lambda i: F.struct(at(2 * i).alias("gap"), at(2 * i + 1).alias("found"), s["sums"][2 * i + 1].alias("start"), (s["sums"][2 * i + 1] + F.length(at(2 * i + 1))).alias("end"), at(2 * i + 2).alias("next"))
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(s["parts"]) / 2).cast("int") - 1), one)
+
+    def summed(p: Column) -> Column:
+        both = F.struct(p.alias("parts"), sums_before(F.transform(p, lambda x: F.length(x))).alias("sums"))
+        return F.when(F.size(p) > 1, let(both, placed)).otherwise(F.array().cast("array<struct<gap: string, found: string, start: int, end: int, next: string>>"))
+
+    return let(parts, summed)
+
+
+def replaced(text: Column, pattern: str, put) -> Column:
+    """The text with `put` of each match in its place."""
+    free = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\ufffd")).otherwise(text)
+    parts = F.split(F.regexp_replace(free, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, put(x)).otherwise(x)), "")
 
 
 def spans(text: Column, kind: str, pattern: str, good=None, guard: Column | None = None) -> Column:

@@ -42,10 +42,11 @@ KINDS = ("email", "ip", "card", "phone", "context")
 
 # Characters of private use that stand for the first character of a seed and for blanks inside it, so that a seed is one word.
 SEED, BLANK = "\ue000", "\ue001"
-_WORD_START = r"(?<![^\x20\x09-\x0D])"
-_WORD_END = r"(?![^\x20\x09-\x0D])"
 _NUMBER = "[0-9][0-9().+/-]*+"
-CANDIDATE = rf"{_WORD_START}(?:[(+]?{_NUMBER}(?:\x20[(]?{_NUMBER})*+[\"',;:!?\]}}>]*+{_WORD_END}|[^0-9@_#{SEED}\x20\x09-\x0D]*+[0-9@_#{SEED}][^\x20\x09-\x0D]*+)"
+_BLANK, _SOLID = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+_TELLING, _PLAIN = f"[0-9@_#{SEED}]", rf"[^0-9@_#{SEED}\x20\x09-\x0D]"
+#: Words without a telling character, and blanks; then a candidate.  It goes on where the last match ended, so no place is tried twice.
+CANDIDATE = rf"\G((?:{_PLAIN}++(?!{_SOLID})|{_BLANK}++)*+)([(+]?{_NUMBER}(?:\x20[(]?{_NUMBER})*+[\"',;:!?\]}}>]*+(?!{_SOLID})|{_PLAIN}*+{_TELLING}{_SOLID}*+)"
 #: Not part of a value at its ends.
 OPENING, CLOSING = "\"'([{<", "\"'.,;:!?)]}>"
 
@@ -98,28 +99,28 @@ def mask(texts: DataFrame, name: str) -> DataFrame:
     """Hides the seeds in a text column, kind after kind; of overlapping seeds the first kind listed stays."""
     for k in range(len(KINDS) - 1):
         _, pattern, good, guard = kinds(F.col(name))[k]
-        gaps, found = F.split(F.col(name), pattern, -1), F.regexp_extract_all(F.col(name), F.lit(pattern), F.lit(0))
-        put = F.transform(found, _hider(good))
-        whole = F.array_join(F.zip_with(gaps, put, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")  # one gap more than matches
+        whole = _spans.replaced(F.col(name), pattern, _hider(good))
         texts = texts.withColumn(name, F.when(guard, whole).otherwise(F.col(name)))
     return texts
 
 
-def _last_word(text: Column) -> tuple[Column, Column]:
-    """The last word of a text whose blanks are all 0x20, and what is in front of it."""
-    whole = F.rtrim(text)
-    word = F.substring_index(whole, " ", -1)
-    return word, F.substring(whole, F.lit(1), F.length(whole) - F.length(word))
+BLANKS = " \t\n\x0b\x0c\r"
+#: Characters next to a place that are looked at first; where they do not hold whole words, all are.
+NEAR = 120
 
 
 def lexical_patterns(gap: Column, following: Column) -> Column:
     """Patterns of a place from the text up to the candidate before it and up to the one after it: the two words before it, and the words on both sides, in lower case."""
-    blanks = lambda t: F.lower(F.translate(t, "\t\n\x0b\x0c\r", "     "))
-    last, front = _last_word(blanks(gap))
-    before, _ = _last_word(front)
-    after = F.substring_index(F.ltrim(blanks(following)), " ", 1)
-    either = F.when((last != "") & (after != ""), F.concat(F.lit("B "), last, F.lit(" _ "), after))
-    return F.array_compact(F.array(F.when((last != "") & (before != ""), F.concat(F.lit("L "), before, F.lit(" "), last)), either))
+    end, begin = F.substring(gap, -NEAR, NEAR), F.substring(following, 1, NEAR)
+    front = F.when(end.rlike(f"{_BLANK}{_SOLID}+{_BLANK}+{_SOLID}"), end).otherwise(gap)  # the last two words begin in it
+    back = F.when(begin.rlike(f"{_SOLID}{_BLANK}"), begin).otherwise(following)  # the first word ends in it
+    words = lambda t, n: F.split(F.lower(F.trim(t, F.lit(BLANKS))), f"{_BLANK}+", n)
+
+    def patterns(w: Column) -> Column:
+        last, before, after = F.element_at(w["front"], -1), F.try_element_at(w["front"], F.lit(-2)), w["back"][0]
+        return F.array_compact(F.array(F.when((last != "") & (before != ""), F.concat(F.lit("L "), before, F.lit(" "), last)), F.when((last != "") & (after != ""), F.concat(F.lit("B "), last, F.lit(" _ "), after))))
+
+    return _spans.let(F.struct(words(front, -1).alias("front"), words(back, 2).alias("back")), patterns)
 
 
 def places(text: Column) -> Column:
@@ -132,7 +133,7 @@ def places(text: Column) -> Column:
         start = (x["start"] + F.length(whole) - F.length(value)).cast("int")
         return F.struct(F.contains(x["found"], F.lit(SEED)).alias("seed"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), lexical_patterns(x["gap"], x["next"]).alias("patterns"))
 
-    found = F.filter(F.transform(_spans.matches(text, CANDIDATE), place), lambda p: (F.size(p["patterns"]) > 0) & (p["value"] != ""))
+    found = F.filter(F.transform(_spans.matches(text, CANDIDATE, "$1 $2"), place), lambda p: (F.size(p["patterns"]) > 0) & (p["value"] != ""))
     return F.when(any_, found).otherwise(F.slice(found, 1, 0))
 
 
