@@ -211,7 +211,8 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     begin = F.floor(F.col("offset") / block_words)
     pieces = placed.where("size > 0").select("doc_id", "source", "source_no", "offset", "size", F.explode(F.sequence(begin, F.floor((F.col("offset") + F.col("size") - 1) / block_words))).alias("block"))
     # A block belongs to one source and one place, so neither side of this join has a hot key.
-    met = pieces.join(taken, ["source_no", "block"])
+    # Spark takes what tasks make of a few shard numbers for small, and would broadcast all slots
+    met = pieces.join(taken.hint("merge"), ["source_no", "block"])
     start = F.greatest(F.col("offset"), F.col("block") * block_words)
     end = F.least(F.col("offset") + F.col("size"), F.col("block") * block_words + F.col("limit"))
     segments = met.where(end > start).select("shard", "slot", "source", "source_no", "block", "doc_id", "offset", (start - F.col("offset")).alias("first_word"), (end - start).alias("n_words"))
