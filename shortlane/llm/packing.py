@@ -14,8 +14,8 @@ histogram, and tasks read each piece's place off the plan by the piece's number
 Equal sequences are one entry of the plan with a count, so work and plan follow `capacity`, not the number of
 documents.  Pieces of one length are numbered in stretches, so a length that a third of all pieces have is split.
 
-Word ids are looked up in a cache of each worker (CACHED_WORDS at most in each of two generations); words that it lacks are
-encoded in one batch.  The tokenizer parts texts at white space first, so a text's ids are those of its words.
+Word ids are looked up in a cache of each worker process (CACHED_WORDS or a text's more in each of two generations); words that it
+lacks are encoded in one batch.  The tokenizer parts texts at white space first, so a text's ids are those of its words.
 
 Defined cases: a null text is empty, and an empty one is its end id alone; a null id stays null; repeated rows are pieces of
 their own; an empty table gives no rows; other columns are ignored by `tokenised` and kept by `pack`; equal lengths are in no
@@ -25,6 +25,7 @@ promised order.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -42,7 +43,9 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words of one generation of a worker's cache.
-CACHED_WORDS = 1 << 17
+CACHED_WORDS = 1 << 19
+#: Between a letter and punctuation up to the word's end the tokenizer parts as well (not at an apostrophe, which may go on with letters).
+TAIL = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~]+(?:\s|\Z))")
 #: Pieces of one length that one window numbers, about.
 STRETCH_ROWS = 4096
 #: Bytes of ids in one batch of pieces, about.
@@ -58,30 +61,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-class WordIds(dict):
+class WordIds:
     """The ids of words, as little-endian bytes of unsigned 32-bit numbers, encoded at most once a generation."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.encode, self.older = Tokenizer.from_file(path).encode_batch_fast, {}
+        self.encode, self.known, self.older = Tokenizer.from_file(path).encode_batch_fast, {}, {}
 
     def text(self, text: bytes) -> bytes:
         """The ids of a text.  Special tokens are written in lower case: a text that may have some keeps its case."""
-        words = (text if b"<|" in text else text.lower()).split()
-        lacking = set(words).difference(self)
+        words = (text if b"<|" in text else TAIL.sub(b" ", text.lower())).split()
+        if len(self.known) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        lacking = [w for w in set(words) if w not in known]
         if lacking:
-            if len(self) > CACHED_WORDS:
-                self.older = dict(self)
-                self.clear()
-                lacking = set(words)
-            known, older = self.older, lacking.intersection(self.older)
-            self.update((w, known[w]) for w in older)
-            new = list(lacking.difference(older))
+            known.update((w, older[w]) for w in lacking if w in older)
+            new = [w for w in lacking if w not in older]
             for w, found in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self[w] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        return b"".join(map(self.__getitem__, words))
+                known[w] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        return b"".join(map(known.__getitem__, words))
+
+
+_workers: dict[str, WordIds] = {}
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -90,7 +94,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     types = [None, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = _workers.get(path) or _workers.setdefault(path, WordIds(path))
         for b in batches:
             types[0], rows, held = b.schema.field(0).type, [], 0
             for doc_id, text in zip(b.column(0), b.column(1), strict=True):
