@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from shortlane.plans import ranking, validation
+from shortlane.plans import lookup, ranking, validation
 
 
 def queries() -> dict:
-    return ranking.QUERIES | validation.QUERIES
+    return ranking.QUERIES | validation.QUERIES | lookup.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return ranking.SQL | validation.SQL
+    return ranking.SQL | validation.SQL | lookup.SQL

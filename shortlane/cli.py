@@ -13,14 +13,18 @@ from pyspark.sql import SparkSession
 
 from shortlane.operators import validate
 from shortlane.operators.shortlist import rank_profiles
-from shortlane.sources import candidates, submission
+from shortlane.sources import candidates, csv_parallel, submission
+
+#: Files of more bytes are read in many tasks.
+LARGE_FILE = 16 << 20
 
 
 def validate_file(spark: SparkSession, path: str) -> list[str]:
     """The report of one file, in order; empty if the file is valid."""
     errors = [] if PurePath(path).suffix.lower() == ".csv" else [validate.MESSAGES["extension"]]
     try:
-        rows = submission.read_rows(spark, path)
+        large = spark.read.format("binaryFile").load(path).where(f"length > {LARGE_FILE}").select("length").first()
+        rows = (csv_parallel if large else submission).read_rows(spark, path)
         first = {r["row_ix"]: r for r in rows.where("row_ix < 1").collect()}  # the header and the end of a file that is not UTF-8
         if -1 in first:
             header = [r["message"] for r in validate.header_errors(rows).collect()]

@@ -7,7 +7,7 @@ from shortlane import catalog
 from shortlane.streaming import counters
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings benchmark conversations".split()
 TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
 
 
@@ -32,7 +32,7 @@ def test_oracle(spark, duck, name):
 
 def test_csv_dialect(spark):
     rows = catalog.queries()["val_csv_dialect"](spark, SF).where("r_regionkey = 0").orderBy("row_ix").collect()
-    assert [r["n"] for r in rows] == [2, 4, 0, 1] or len(rows) == 4
+    assert [r["n"] for r in rows] == [2, 3, 0, 1]
     assert rows[0]["cells"].startswith("﻿a|b \"q\" \n c")
 
 
