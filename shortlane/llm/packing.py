@@ -30,6 +30,7 @@ import struct
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,11 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words of one generation of a worker's cache.
 CACHED_WORDS = 1 << 19
-#: Between a letter and punctuation up to the word's end the tokenizer parts as well (not at an apostrophe, which may go on with letters).
-TAIL = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~]+(?:\s|\Z))")
+#: Between a letter and punctuation up to the word's end the tokenizer parts as well (not at an apostrophe, which may go on with letters).  A word that is lacking is made of
+#: its stem and its end.
+TAIL = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~]+\Z)")
+#: Small letters of Latin-1: they compose with nothing and are the same in lower case.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: Pieces of one length that one window numbers, about.
 STRETCH_ROWS = 4096
 #: Bytes of ids in one batch of pieces, about.
@@ -68,21 +72,33 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.encode, self.known, self.older = Tokenizer.from_file(path).encode_batch_fast, {}, {}
-
-    def text(self, text: bytes) -> bytes:
-        """The ids of a text.  Special tokens are written in lower case: a text that may have some keeps its case."""
-        words = (text if b"<|" in text else TAIL.sub(b" ", text.lower())).split()
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model, self.known, self.older = tokenizer.encode_batch_fast, tokenizer.model, {}, {}
+        # letters as the tokenizer hands them to its model
+        self.letters = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+
+    def encoded(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each word.  One of small Latin letters is a single part to the tokenizer: its model takes it as it is."""
+        texts = [w.decode() for w in words]
+        whole = iter(self.encode([t for t in texts if not LETTERS.fullmatch(t)], add_special_tokens=False))
+        for t in texts:
+            ids = [x.id for x in self.model.tokenize(t.translate(self.letters))] if LETTERS.fullmatch(t) else next(whole).ids
+            yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text.  Special tokens are written in lower case: a text that may have some keeps its case."""
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        lacking = [w for w in set(words) if w not in known]
+        lacking = set(chain.from_iterable(words)).difference(known)
         if lacking:
             known.update((w, older[w]) for w in lacking if w in older)
-            new = [w for w in lacking if w not in older]
-            for w, found in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(found.ids)}I", *found.ids)
-        return b"".join(map(known.__getitem__, words))
+            parts = {w: TAIL.split(w, 1) if b"<|" not in w else [w] for w in lacking if w not in known}
+            new = list({p for pair in parts.values() for p in pair if p not in known})
+            known.update(zip(new, self.encoded(new), strict=True))
+            known.update((w, known[pair[0]] + known[pair[1]]) for w, pair in parts.items() if len(pair) == 2)
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
 _workers: dict[str, WordIds] = {}
@@ -97,8 +113,9 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         words = _workers.get(path) or _workers.setdefault(path, WordIds(path))
         for b in batches:
             types[0], rows, held = b.schema.field(0).type, [], 0
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                ids = words.text((text.as_py() or "").encode()) + end
+            texts = b.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+            for doc_id, ids in zip(b.column(0), words.texts(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id.as_py(), piece, at // 4, len(part) // 4, part))

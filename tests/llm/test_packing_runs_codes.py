@@ -135,10 +135,11 @@ def test_packing_one_length(spark):
 def test_word_cache_generations(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 3)
     ids = packing.WordIds(packing.tokenizer_path())
-    texts = [b"a b c d", b"d e f", b"a f g h i", b"a b c d", b"x"]
-    fresh = [packing.WordIds(packing.tokenizer_path()).text(t) for t in texts]
-    assert [ids.text(t) for t in texts] == fresh
-    assert len(ids.known) + len(ids.older) <= 8
+    texts = [b"a b c. d!!", b"d e f", b"a f g h i", b"a b c d", b"x.", b"x <|endoftext|>. X.", b"it's. a\xc3\xa9. .. b'."]
+    fresh = [packing.WordIds(packing.tokenizer_path()).texts([t])[0] for t in texts]
+    assert [ids.texts([t])[0] for t in texts] == fresh
+    assert ids.texts(texts) == fresh
+    assert len(ids.known) + len(ids.older) <= 20
 
 
 # ---- runs
