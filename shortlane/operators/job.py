@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shortlane.sources import scratch
+
 # Dictionaries for reading job descriptions.
 SKILLS = (
     "python", "sql", "spark", "pyspark", "java", "scala", "pytorch", "tensorflow", "machine learning", "deep learning", "nlp", "llm", "rag", "embeddings", "vector search",
@@ -60,8 +62,12 @@ def relevance(texts: DataFrame, wanted: list[str], tokens: Column, name: str = "
     """
     if not wanted:
         return texts.withColumn(name, F.lit(0.0))
-    counts = F.transform(F.array(*map(F.lit, wanted)), lambda t: F.size(F.filter(F.col("_tokens"), lambda w: w == t)))
-    counted = texts.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>"))).withColumn("_tf", counts).withColumn("_len", F.size("_tokens")).drop("_tokens")
+    counted = texts.withColumn("_tokens", F.coalesce(tokens, F.array().cast("array<string>"))).withColumn("_len", F.size("_tokens"))
+    # the wanted words of a row, of which there are few, are counted; and the rows are worked out once, for the statistics and the scores
+    held = F.filter("_tokens", lambda w: w.isin(*wanted))
+    counts = F.transform(F.array(*map(F.lit, wanted)), lambda t: F.size(F.filter(F.col("_held"), lambda w: w == t)))
+    counted = counted.withColumn("_held", held).drop("_tokens").withColumn("_tf", counts).drop("_held")
+    counted = scratch.cut(counted, "relevance")
     held = [F.sum((F.col("_tf")[k] > 0).cast("long")).alias(f"d{k}") for k in range(len(wanted))]
     row = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("mean"), *held).first()
     n, mean = row["n"], row["mean"] or 1.0

@@ -69,12 +69,6 @@ def build(texts: DataFrame, id_: str, text: str, range_rows: int = RANGE_ROWS, s
     return Index(spark.read.schema(blocks.schema).parquet(path), rows, mean)
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    path = scratch.new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Found(NamedTuple):
     best: DataFrame  # query, id, score, rank
     matching: int  # postings of the descriptions' terms, over all descriptions
@@ -87,7 +81,7 @@ def _open(index: Index, wanted: DataFrame, name: str) -> tuple[DataFrame, int]:
     blocks = index.blocks.select("shard", "range", "term", "postings").join(wanted, ["shard", "range", "term"])
     hits = blocks.select("query", "shard", "range", "weight", F.explode("postings").alias("hit"))
     parts = hits.groupBy("query", "shard", "range", F.col("hit.id").alias("id")).agg(F.sum(F.col("weight") * F.col("hit.impact")).alias("part"), F.count("*").alias("n"))
-    parts = _cut(parts, name)
+    parts = scratch.cut(parts, name)
     return parts, int(parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
@@ -104,44 +98,44 @@ def _reaches(bound: Column, least: Column) -> Column:
 
 def search(index: Index, queries: DataFrame, id_: str, text: str, k: int = 100, first: int = FIRST_RANGES) -> Found:
     """The k best rows of the index for each description, with how much was read for them."""
-    asked = _cut(queries.select(F.col(id_).alias("query"), F.explode(F.array_distinct(job.words(F.col(text)))).alias("term")).distinct(), "search-terms")
+    asked = scratch.cut(queries.select(F.col(id_).alias("query"), F.explode(F.array_distinct(job.words(F.col(text)))).alias("term")).distinct(), "search-terms")
     # the postings stay unread here: only these columns of the files are
-    maxima = _cut(index.blocks.select("shard", "range", "term", "n", "top").join(asked.select("term").distinct(), "term"), "search-maxima")
+    maxima = scratch.cut(index.blocks.select("shard", "range", "term", "n", "top").join(asked.select("term").distinct(), "term"), "search-maxima")
     of_term = maxima.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("most"))
     weight = F.log(1 + (index.rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = _cut(asked.join(of_term, "term").select("query", "term", weight.alias("weight"), (weight * F.col("most")).alias("most")), "search-weights")
+    weights = scratch.cut(asked.join(of_term, "term").select("query", "term", weight.alias("weight"), (weight * F.col("most")).alias("most")), "search-weights")
     bounds = maxima.join(weights, "term").groupBy("query", "shard", "range").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), F.sum("n").alias("n"))
-    bounds = _cut(bounds, "search-bounds")
+    bounds = scratch.cut(bounds, "search-bounds")
     matching = int(bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     # 1: the ranges with the best bounds, whole: a first k-th score
-    chosen = _cut(shortlist.top_per(bounds, ["query"], [F.desc("bound"), F.asc("range")], first).select("query", "shard", "range"), "search-first")
+    chosen = scratch.cut(shortlist.top_per(bounds, ["query"], [F.desc("bound"), F.asc("range")], first).select("query", "shard", "range"), "search-first")
     parts, opened = _open(index, chosen.join(weights, "query").drop("most"), "search-first-parts")
-    least = _cut(_kth(parts, k), "search-least")
+    least = scratch.cut(_kth(parts, k), "search-least")
 
     # 2: terms that together cannot reach it are left out; the others give partial scores, in ranges that can
     below = Window.partitionBy("query").orderBy("most", "term")  # the words of one description
     split = weights.join(least, "query", "left").withColumn("light", F.sum("most").over(below) + 2 * 10.0**-DIGITS < F.coalesce("least", F.lit(0.0)))
-    split = _cut(split.select("query", "term", "weight", "light"), "search-split")
+    split = scratch.cut(split.select("query", "term", "weight", "light"), "search-split")
     live = bounds.join(least, "query", "left").where(_reaches(F.col("bound"), F.col("least"))).select("query", "shard", "range")
     heavy, more = _open(index, live.join(split.where("NOT light").drop("light"), "query"), "search-heavy")
     scored = opened + more
     opened += more
     better = _kth(heavy, k).withColumnRenamed("least", "_better")
-    least = _cut(least.join(better, "query", "full").select("query", F.greatest("least", "_better").alias("least")), "search-better")
+    least = scratch.cut(least.join(better, "query", "full").select("query", F.greatest("least", "_better").alias("least")), "search-better")
 
     # 3: what the light terms can add in a range decides which rows are looked up in their postings
     light = split.where("light").drop("light")
     rest = maxima.join(light, "term").groupBy("query", "range").agg(F.sum(F.col("weight") * F.col("top")).alias("rest"))
     open_ = heavy.join(rest, ["query", "range"], "left").join(least, "query", "left")
     open_ = open_.where(_reaches(F.col("part") + F.coalesce("rest", F.lit(0.0)), F.col("least")))
-    open_ = _cut(open_.select("query", "shard", "range", "id", "part"), "search-open")
+    open_ = scratch.cut(open_.select("query", "shard", "range", "id", "part"), "search-open")
     added, more = _open(index, open_.select("query", "shard", "range").distinct().join(light, "query"), "search-light")
     opened += more
     # a null id is a row like others
     added = added.select(F.col("query").alias("_q"), F.col("range").alias("_r"), F.col("id").alias("_i"), F.col("part").alias("_more"), F.col("n").alias("_hits"))
     same = (F.col("query") == F.col("_q")) & (F.col("range") == F.col("_r")) & F.col("id").eqNullSafe(F.col("_i"))
-    whole = _cut(open_.join(added, same, "left").select("query", "id", (F.col("part") + F.coalesce("_more", F.lit(0.0))).alias("score"), "_hits"), "search-whole")
+    whole = scratch.cut(open_.join(added, same, "left").select("query", "id", (F.col("part") + F.coalesce("_more", F.lit(0.0))).alias("score"), "_hits"), "search-whole")
     scored += int(whole.agg(F.coalesce(F.sum("_hits"), F.lit(0))).first()[0])
     best = shortlist.top_per(whole.select("query", "id", F.round("score", DIGITS).alias("score")), ["query"], [F.desc("score"), F.asc("id")], k)
     return Found(best.select("query", "id", "score", "rank"), matching, opened, scored)

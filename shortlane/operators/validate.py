@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from shortlane.functions import ordering
 from shortlane.functions.pyparity import equal, int_order, is_canonical_int, less, strip, to_float
+from shortlane.sources import scratch
 from shortlane.sources.submission import HEADER, ROWS
 
 # The id pattern and the report's texts.
@@ -54,15 +55,19 @@ def fields(numbered: DataFrame) -> DataFrame:
 
 
 def parsed(named: DataFrame) -> DataFrame:
-    """Adds id_ok, rank_ok, in_range, score, and whether an earlier row has the same id or rank."""
+    """Adds id_ok, rank_ok, in_range, score, and whether an earlier row has the same id or rank.
+
+    Numbered rows are written first: the first rows of ids and of ranks are read from there.
+    """
+    named = scratch.cut(named, "report-fields")
     out = named.withColumns({
         "id_ok": F.col("cid").rlike(ID_PATTERN), "rank_ok": is_canonical_int(F.col("rank_s")), "score_ok": to_float(F.col("score_s")).isNotNull(), "score": to_float(F.col("score_s")),
     })
     out = out.withColumn("in_range", F.col("rank_ok") & F.coalesce(F.when(F.length("rank_s") <= 3, F.col("rank_s").try_cast("int")).between(1, ROWS), F.lit(False)))
-    # the first row of each id and rank: counted map-side, so a hot key is one row a task
-    for key, ok, name in (("cid", "id_ok", "_first_id"), ("rank_s", "in_range", "_first_rank")):
-        first = out.where(ok).groupBy(key).agg(F.min("row_num").alias(name))
-        out = out.join(first, key, "left")
+    # the first row of each id and rank: found map-side, so a hot key is one row a task; ranks in range are ROWS at most
+    first_rank = out.where("in_range").groupBy("rank_s").agg(F.min("row_num").alias("_first_rank"))
+    first_id = out.where("id_ok").groupBy("cid").agg(F.min("row_num").alias("_first_id"))
+    out = out.join(F.broadcast(first_rank), "rank_s", "left").join(first_id, "cid", "left")
     again = {"id_again": F.col("id_ok") & (F.col("row_num") > F.col("_first_id")), "rank_again": F.col("in_range") & (F.col("row_num") > F.col("_first_rank"))}
     return out.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in again.items()}).drop("_first_id", "_first_rank")
 
@@ -123,17 +128,17 @@ def report(rows: DataFrame) -> DataFrame:
     out = lambda df, phase, row, field, message: df.select(F.lit(phase).alias("phase"), row.cast("long").alias("row_num"), field.cast("int").alias("field"), message.alias("message"))
     zero = F.lit(0)
     header = out(header_errors(rows), 1, zero, zero, F.col("message"))
-    numbered = data_rows(rows)
+    numbered = scratch.cut(data_rows(rows), "report-rows")
     arity = numbered.where(F.size("cells") != len(HEADER))
     arity = out(arity, 3, F.col("row_num"), zero, F.format_string(f"Row %d: expected {len(HEADER)} columns ({NAMES}), got %d.", "row_num", F.size("cells")))
     count = numbered.agg(F.count("*").alias("n")).where(F.col("n") != ROWS)
     count = out(count, 2, zero, zero, F.format_string(f"After the header (row 1), there must be exactly {ROWS} data rows (rows 2–{ROWS + 1}); found %d.", "n"))
-    rows = parsed(fields(numbered))
+    rows = scratch.cut(parsed(fields(numbered)), "report-parsed")
     text = F.coalesce(*(F.when(F.col("rule") == k, F.format_string(m, "row_num", *{"id_duplicate": ["cid"], "rank_duplicate": ["rank_s"]}.get(k, []))) for k, m in MESSAGES.items() if "%d" in m))
     errors = out(field_errors(rows), 3, F.col("row_num"), F.col("field"), text)
     missing = missing_ranks(rows).agg(F.array_sort(F.collect_list("rank")).alias("m")).where(F.size("m") > 0)
     missing = out(missing, 4, zero, zero, F.concat(F.lit(f"Each rank 1–{ROWS} must appear exactly once; missing: ["), F.array_join("m", ", "), F.lit("]")))
-    place = ordering.numbered(in_rank_order(rows), F.struct("by", "part"), [F.col("row_num")], "place", chunk=F.col("_bucket.by"))
+    place = ordering.numbered(scratch.cut(in_rank_order(rows), "report-order"), F.struct("by", "part"), [F.col("row_num")], "place", chunk=F.col("_bucket.by"))
     # both order rules in one pass: a pair of neighbours breaks at most one of them
     up = F.concat(F.lit("score must be non-increasing by rank: rank "), F.col("rank_s"), F.lit(" ("), python_repr("score"), F.lit(") < rank "), F.col("next_rank_s"), F.lit(" ("), python_repr("next_score"), F.lit(")."))
     tie = F.concat(F.lit("Equal scores at ranks "), F.col("rank_s"), F.lit(" and "), F.col("next_rank_s"), F.lit(": tie-break requires candidate_id ascending ("), python_repr("cid"), F.lit(" > "), python_repr("next_cid"), F.lit(")."))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,11 +145,9 @@ def io_candidates_jsonl(spark, d) -> DataFrame:
 
 def io_shortlist_csv(spark, d) -> DataFrame:
     """The ranker's shortlist as its file has it: every cell of every row, and no error in its report."""
-    path = scratch.new_path(spark, "shortlist").removeprefix("file:")
-    ranked = rank_profiles(spark, d)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    submission.write_shortlist(ranked, path)
-    rows = submission.read_rows(spark, f"file:{path}")
+    path = scratch.new_path(spark, "shortlist")
+    submission.save_shortlist(scratch.cut(rank_profiles(spark, d), "ranked"), path)
+    rows = submission.read_rows(spark, path)
     errors = validate.report(rows).select(F.lit(-1).alias("row_ix"), F.col("message").alias("line"))
     return rows.select("row_ix", F.array_join("cells", "|").alias("line")).unionByName(errors)
 

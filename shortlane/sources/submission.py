@@ -6,7 +6,7 @@ import csv
 import io
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,20 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return files.lateralJoin(CsvRows(F.col("content").outer())).select("row_ix", "cells")
 
 
+def save_shortlist(ranked: DataFrame, folder: str) -> None:
+    """Writes the ranked rows as the one CSV file of a folder, through Spark, so that any file system will do."""
+    n = ranked.count()
+    if n != ROWS:
+        raise ValueError(f"a shortlist has exactly {ROWS} rows; there are {n}")
+
+    def cell(c: str) -> Column:
+        return F.when(F.col(c).rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+
+    lines = ranked.select("rank", F.concat_ws(",", cell("candidate_id"), F.col("rank").cast("string"), F.format_string("%.4f", "score"), cell("reasoning")).alias("line"))
+    header = ranked.sparkSession.createDataFrame([(0, ",".join(HEADER))], "rank int, line string")
+    header.unionByName(lines).coalesce(1).sortWithinPartitions("rank").select("line").write.option("lineSep", "\r\n").text(folder)
+
+
 def write_shortlist(ranked: DataFrame, path: str) -> None:
     """Writes the ranked rows (at most ROWS, by contract) as one CSV file with CRLF line ends."""
     rows = ranked.orderBy("rank").limit(ROWS + 1).collect()
