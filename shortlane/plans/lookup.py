@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlane.operators import job, linking, search
+from shortlane.operators import intervals, job, linking, search, semantics
 from shortlane.plans.surrogate import table
 from shortlane.sources import csv_parallel, scratch
 
+#: The day at which open jobs are cut.
+UNTIL = "1999-12-31"
 #: Words that are linked have so many letters at least.
 LINKED_LETTERS = 6
 
@@ -43,6 +45,36 @@ def val_csv_parallel(spark, d) -> DataFrame:
     return rows.select(cells[0].cast("long").alias("doc_id"), F.size(cells).cast("long").alias("n_cells"), cells[1].alias("lang"), F.length(cells[2]).cast("long").alias("n_chars"), F.md5(cells[2].cast("binary")).alias("text_md5"))
 
 
+def sem_ppmi(spark, d) -> DataFrame:
+    """Which words of the documents stand together more often than by chance."""
+    return semantics.ppmi(table(spark, d, "documents"), "text").select("a", "b", "n", F.round("ppmi", 6).alias("ppmi"))
+
+
+def jd_semantic_topk(spark, d) -> DataFrame:
+    """The ten documents nearest to each description (benchmark) by the vectors of their words, learnt from the documents."""
+    docs = table(spark, d, "documents")
+    vectors = scratch.cut(semantics.word_vectors(docs, "text"), "word-vectors")
+    held = semantics.text_vectors(docs, "doc_id", "text", vectors)
+    asked = semantics.text_vectors(table(spark, d, "benchmark"), "item_id", "text", vectors)
+    return semantics.nearest(held, asked, 10).select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "similarity", "rank")
+
+
+def career_coverage(spark, d) -> DataFrame:
+    """Days covered, gaps and overlaps of every career: each order is a job of some days, some of which are still open."""
+    days = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 400 - 20).cast("int"))
+    jobs = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("begun"), F.when(F.col("o_orderkey") % 50 != 0, days).alias("ended"))
+    found = intervals.coverage(intervals.tidy(jobs, "o_custkey", "o_orderkey", "begun", "ended", F.to_date(F.lit(UNTIL))))
+    return found.select(F.col("key").alias("o_custkey"), *(F.col(c).cast("long").alias(c) for c in found.columns if c != "key"))
+
+
+def signals_as_of(spark, d) -> DataFrame:
+    """For each purchase, the last view of the same user at or before it."""
+    events = table(spark, d, "events")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = events.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return intervals.as_of(bought, seen, "user_id", "ts", "view_id", ["view_id", "view_value"]).select("event_id", "view_id", "view_value")
+
+
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _LINKED = f"list_filter({_WORDS}, lambda x: regexp_full_match(x, '[a-z]{{6,}}'))"
 SQL = {
@@ -58,4 +90,22 @@ SQL = {
       SELECT held, asked, CAST(levenshtein(held, asked) AS INTEGER) AS distance FROM h JOIN a ON abs(length(held) - length(asked)) <= 2 WHERE levenshtein(held, asked) <= 2""",
     "val_csv_parallel": "SELECT doc_id, CAST(4 AS BIGINT) AS n_cells, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+SQL["sem_ppmi"] = f"""WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents), t AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS pos FROM d),
+  known AS (SELECT w FROM t GROUP BY w HAVING count(DISTINCT doc_id) >= 20),
+  near AS (SELECT x.w AS a, y.w AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.pos BETWEEN x.pos + 1 AND x.pos + 4 WHERE x.w IN (FROM known) AND y.w IN (FROM known)),
+  pairs AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY ALL),
+  sums AS (SELECT a, sum(n) AS s FROM pairs GROUP BY a), total AS (SELECT sum(n) AS total FROM pairs),
+  scored AS (SELECT pairs.a, pairs.b, n, ln(n * total::DOUBLE / (x.s::DOUBLE * y.s::DOUBLE)) AS ppmi FROM pairs JOIN sums x ON pairs.a = x.a JOIN sums y ON pairs.b = y.a, total)
+  SELECT a, b, n, round(ppmi, 6) AS ppmi FROM scored WHERE ppmi > 0"""
+SQL["career_coverage"] = f"""WITH j AS (
+    SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 50 = 0 THEN DATE '{UNTIL}' ELSE CAST(CAST(o_orderdate AS DATE) + INTERVAL (o_orderkey % 400 - 20) DAY AS DATE) END AS e FROM orders
+  ), k AS (SELECT * FROM j WHERE s < e),
+  pairs AS (SELECT a.o_custkey, count(*) AS n, sum(date_diff('day', greatest(a.s, b.s), least(a.e, b.e))) AS d FROM k a JOIN k b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.s < b.e AND b.s < a.e GROUP BY 1),
+  days AS (SELECT o_custkey, count(DISTINCT day) AS covered FROM (SELECT o_custkey, unnest(generate_series(s, e - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM k) GROUP BY 1),
+  starts AS (SELECT o_custkey, count(DISTINCT s) AS n FROM k x WHERE NOT EXISTS (SELECT 1 FROM k y WHERE y.o_custkey = x.o_custkey AND y.s < x.s AND y.e >= x.s) GROUP BY 1),
+  spans AS (SELECT o_custkey, date_diff('day', min(s), max(e)) AS span FROM k GROUP BY 1)
+  SELECT o_custkey, covered AS covered_days, starts.n - 1 AS n_gaps, span - covered AS gap_days, coalesce(pairs.n, 0) AS n_overlaps, CAST(coalesce(d, 0) AS BIGINT) AS overlap_days
+  FROM days JOIN starts USING (o_custkey) JOIN spans USING (o_custkey) LEFT JOIN pairs USING (o_custkey)"""
+SQL["signals_as_of"] = """SELECT p.event_id, v.event_id AS view_id, v.value AS view_value
+  FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+QUERIES = {name: globals()[name] for name in [*SQL, "jd_semantic_topk"]}
