@@ -107,10 +107,14 @@ def mask(texts: DataFrame, name: str) -> DataFrame:
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters next to a place that are looked at first; where they do not hold whole words, all are.
 NEAR = 120
+LETTER = r"\p{L}"
 
 
 def lexical_patterns(gap: Column, following: Column) -> Column:
-    """Patterns of a place from the text up to the candidate before it and up to the one after it: the two words before it, and the words on both sides, in lower case."""
+    """Patterns of a place from the text up to the candidate before it and up to the one after it: the two words before it, and the words on both sides, in lower case.
+
+    Words without a letter (bars and dashes of a table) say nothing about what stands there: a pattern has a letter.
+    """
     end, begin = F.substring(gap, -NEAR, NEAR), F.substring(following, 1, NEAR)
     front = F.when(end.rlike(f"{_BLANK}{_SOLID}+{_BLANK}+{_SOLID}"), end).otherwise(gap)  # the last two words begin in it
     back = F.when(begin.rlike(f"{_SOLID}{_BLANK}"), begin).otherwise(following)  # the first word ends in it
@@ -118,7 +122,9 @@ def lexical_patterns(gap: Column, following: Column) -> Column:
 
     def patterns(w: Column) -> Column:
         last, before, after = F.element_at(w["front"], -1), F.try_element_at(w["front"], F.lit(-2)), w["back"][0]
-        return F.array_compact(F.array(F.when((last != "") & (before != ""), F.concat(F.lit("L "), before, F.lit(" "), last)), F.when((last != "") & (after != ""), F.concat(F.lit("B "), last, F.lit(" _ "), after))))
+        worded = lambda x, y: (x != "") & (y != "") & F.concat(x, y).rlike(LETTER)
+        left, both = F.concat(F.lit("L "), before, F.lit(" "), last), F.concat(F.lit("B "), last, F.lit(" _ "), after)
+        return F.array_compact(F.array(F.when(worded(before, last), left), F.when(worded(last, after), both)))
 
     return _spans.let(F.struct(words(front, -1).alias("front"), words(back, 2).alias("back")), patterns)
 
@@ -154,10 +160,13 @@ def discover(scanned: DataFrame) -> DataFrame:
     edges = _spark.cut(edges, "pii-edges")
     held = _spark.cut(place.groupBy("value").agg(F.count("*").alias("places"), F.max("seed").alias("seed")), "pii-values")
     known = held.where("seed").select("value", F.lit(1.0).alias("score"))
+    # how much stands in a pattern stays the same: summed once, in each task first
+    totals = _spark.cut(edges.groupBy("pattern").agg(F.sum("n").alias("all")), "pii-totals")
     while True:
         # patterns in which enough different values are known, then all that stands in these
         taught = edges.join(known, "value").groupBy("pattern").agg(F.count("*").alias("known"), F.sum(F.col("n") * F.col("score")).alias("sum"), F.sum("n").alias("of")).where(F.col("known") >= MIN_SUPPORT)
-        sure = edges.join(taught, "pattern").groupBy("pattern").agg((F.max("sum") / (F.max("sum") + UNKNOWN * (F.sum("n") - F.max("of")))).alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
+        confidence = F.col("sum") / (F.col("sum") + UNKNOWN * (F.col("all") - F.col("of")))
+        sure = taught.join(totals, "pattern").select("pattern", confidence.alias("confidence")).where(F.col("confidence") >= MIN_CONFIDENCE)
         met = edges.where("NOT seed").join(sure, "pattern")
         # a place has up to two patterns, so a value's places in sure ones are at least those of its most frequent one
         rated = met.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("any"), F.max("n").alias("sure"))
