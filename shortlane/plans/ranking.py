@@ -41,7 +41,7 @@ def score_rank_transform(spark, d) -> DataFrame:
 
 
 def reasoning_text(spark, d) -> DataFrame:
-    """The reason of every candidate; years and rates are whole tenths and hundredths."""
+    """The reason of every candidate; years and rates are whole tenths and hundredths, and years cover all orders."""
     p = r.profiles(spark, d, "careers", "skills", "signals")
     core = F.size(F.filter(F.coalesce("skills", F.array()), lambda k: k["name"].isin(*job.CORE)))
     why = features.reasoning(F.col("profile.current_title"), F.coalesce("profile.years_of_experience", F.lit(0.0)), core, F.coalesce(f"{SIGNALS}.recruiter_response_rate", F.lit(0.0)))
@@ -80,12 +80,13 @@ def feat_trailing_30d(spark, d) -> DataFrame:
 
 
 def honeypot_flags(spark, d) -> DataFrame:
+    """The contradictions of every candidate. A career is a customer's first ten orders (the contract's limit)."""
     p = r.profiles(spark, d, "careers", "skills", "signals")
     return p.select("candidate_id", F.array_join(honeypot.flags(), ",").alias("flags"))
 
 
 def jd_skill_overlap(spark, d) -> DataFrame:
-    """How many of a job description's skills the words of a candidate's jobs name."""
+    """How many of a job description's skills the words of a candidate's jobs name. A career is a customer's first ten orders (the contract's limit)."""
     wanted = F.array(*map(F.lit, [w for w in job.parse(JOB)["must_skills"] if " " not in w]))
     text = F.array_join(F.transform("career_history", lambda j: j["description"]), " ")
     return r.careers(spark, d).select("o_custkey", job.overlap(text, wanted).cast("long").alias("n_overlap"))
@@ -104,14 +105,14 @@ def feat_text_similarity(spark, d) -> DataFrame:
 
 
 def feat_tenure(spark, d) -> DataFrame:
-    """Months in all jobs and the largest company of a career."""
+    """Months in all jobs and the largest company of a career. A career is a customer's first ten orders (the contract's limit)."""
     jobs = F.col("career_history")
     size = F.array_max(F.transform(jobs, lambda j: features.company_size_rank(j["company_size"])))
     return r.careers(spark, d).select("o_custkey", F.round(features.tenure_months(jobs, F.to_date(F.lit(r.DAY))), 4).alias("months"), size.alias("largest"))
 
 
 def rank_profiles(spark, d) -> DataFrame:
-    """The ranker itself over typed profiles: score, order and reason of the best 100."""
+    """The ranker itself over typed profiles: score, order and reason of the best 100. A career is a customer's first ten orders (the contract's limit)."""
     return shortlist.rank_profiles(r.profiles(spark, d, "careers", "skills", "signals"), JOB, r.DAY)
 
 
@@ -136,7 +137,7 @@ def hybrid_rank(spark, d) -> DataFrame:
 
 
 def io_candidates_jsonl(spark, d) -> DataFrame:
-    """Profiles written as JSON Lines, converted to Parquet once, and read back typed."""
+    """Profiles written as JSON Lines, converted to Parquet once, and read back typed. A career is a customer's first ten orders (the contract's limit)."""
     path = scratch.new_path(spark, "candidates")
     r.profiles(spark, d, "careers", "skills", "signals").select(F.to_json(F.struct("*"))).write.text(path)
     back = candidates.profiles(spark, path, f"{path}-parquet")
@@ -144,7 +145,7 @@ def io_candidates_jsonl(spark, d) -> DataFrame:
 
 
 def io_shortlist_csv(spark, d) -> DataFrame:
-    """The ranker's shortlist as its file has it: every cell of every row, and no error in its report."""
+    """The ranker's shortlist as its file has it: every cell of every row, and no error in its report. A career is a customer's first ten orders (the contract's limit)."""
     path = scratch.new_path(spark, "shortlist")
     submission.save_shortlist(scratch.cut(rank_profiles(spark, d), "ranked"), path)
     rows = submission.read_rows(spark, path)

@@ -50,7 +50,10 @@ def people(spark: SparkSession, d: str) -> DataFrame:
 
 
 def careers(spark: SparkSession, d: str) -> DataFrame:
-    """o_custkey, years, career_history: the first JOBS orders of a customer."""
+    """o_custkey, years (over all orders), career_history.
+
+    The contract allows 1 to JOBS jobs, so a career is a step of its own: the first JOBS orders of a customer, by key.
+    """
     key, start = F.col("o_orderkey"), F.to_date("o_orderdate")
     open_ = F.col("o_orderstatus") == "O"
     orders = table(spark, d, "orders").select("o_custkey", key, start.alias("start"), open_.alias("open"), "o_orderpriority")
