@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shortlane.operators import intervals, job, linking, search, semantics
 from shortlane.plans.surrogate import table
 from shortlane.sources import csv_parallel, scratch
+from shortlane.streaming import responses
 
 #: The day at which open jobs are cut.
 UNTIL = "1999-12-31"
@@ -75,6 +76,27 @@ def signals_as_of(spark, d) -> DataFrame:
     return intervals.as_of(bought, seen, "user_id", "ts", "view_id", ["view_id", "view_value"]).select("event_id", "view_id", "view_value")
 
 
+def response_times(spark, d) -> DataFrame:
+    """Hours until each contact (click) was answered (purchase), null without an answer in time; of all contacts whose wait is over."""
+    return responses.batch(table(spark, d, "events")).select("user_id", "event_id", F.round("hours", 4).alias("hours"))
+
+
+def response_times_stream(spark, d) -> DataFrame:
+    """The same by the stream: events arrive in files of a folder and contacts are closed by timers."""
+    source, sink, check = (scratch.new_path(spark, f"responses-{n}") for n in ("in", "out", "state"))
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    events.write.parquet(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, responses.STORE)
+    try:
+        found = responses.stream(spark.readStream.schema(events.schema).parquet(source))
+        found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(responses.OUT).parquet(sink).select("user_id", "event_id", F.round("hours", 4).alias("hours"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _LINKED = f"list_filter({_WORDS}, lambda x: regexp_full_match(x, '[a-z]{{6,}}'))"
 SQL = {
@@ -108,4 +130,9 @@ SQL["career_coverage"] = f"""WITH j AS (
   FROM days JOIN starts USING (o_custkey) JOIN spans USING (o_custkey) LEFT JOIN pairs USING (o_custkey)"""
 SQL["signals_as_of"] = """SELECT p.event_id, v.event_id AS view_id, v.value AS view_value
   FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+SQL["response_times"] = """WITH a AS (SELECT * FROM events WHERE event_type IN ('click', 'purchase')), newest AS (SELECT max(ts) AS m FROM a),
+  c AS (SELECT user_id, event_id, ts FROM a, newest WHERE event_type = 'click' AND ts + INTERVAL 72 HOUR + INTERVAL 1 MILLISECOND <= m)
+  SELECT c.user_id, c.event_id, round((epoch_us(min(p.ts)) - epoch_us(c.ts)) / 3.6e9::DOUBLE, 4) AS hours
+  FROM c LEFT JOIN a p ON p.user_id = c.user_id AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 24 HOUR GROUP BY c.user_id, c.event_id, c.ts"""
+SQL["response_times_stream"] = SQL["response_times"]
 QUERIES = {name: globals()[name] for name in [*SQL, "jd_semantic_topk"]}
