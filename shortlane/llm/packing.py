@@ -45,9 +45,9 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words of one generation of a worker's cache.
 CACHED_WORDS = 1 << 19
-#: Between a letter and punctuation up to the word's end the tokenizer parts as well (not at an apostrophe, which may go on with letters).  A word that is lacking is made of
-#: its stem and its end.
-TAIL = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~]+\Z)")
+#: Between a letter and punctuation up to the word's end the tokenizer parts as well (not at an apostrophe, which may go on with letters).
+#: A word that is lacking is made of its stem and its end.
+STOPS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Small letters of Latin-1: they compose with nothing and are the same in lower case.
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
 #: Pieces of one length that one window numbers, about.
@@ -65,6 +65,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def cut_end(word: bytes) -> tuple[bytes, ...]:
+    """A word's stem and the punctuation at its end, where the tokenizer parts them in any case; else the word."""
+    stem = word.rstrip(STOPS)
+    if len(stem) == len(word) or not b"a" <= stem[-1:] <= b"z" or b"<|" in word:
+        return (word,)
+    return stem, word[len(stem) :]
+
+
 class WordIds:
     """The ids of words, as little-endian bytes of unsigned 32-bit numbers, encoded at most once a generation."""
 
@@ -80,9 +88,10 @@ class WordIds:
     def encoded(self, words: list[bytes]) -> Iterator[bytes]:
         """The ids of each word.  One of small Latin letters is a single part to the tokenizer: its model takes it as it is."""
         texts = [w.decode() for w in words]
-        whole = iter(self.encode([t for t in texts if not LETTERS.fullmatch(t)], add_special_tokens=False))
-        for t in texts:
-            ids = [x.id for x in self.model.tokenize(t.translate(self.letters))] if LETTERS.fullmatch(t) else next(whole).ids
+        single = [LETTERS.fullmatch(t) is not None for t in texts]
+        others = iter(self.encode([t for t, one in zip(texts, single, strict=True) if not one], add_special_tokens=False))
+        for t, one in zip(texts, single, strict=True):
+            ids = [x.id for x in self.model.tokenize(t.translate(self.letters))] if one else next(others).ids
             yield struct.pack(f"<{len(ids)}I", *ids)
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
@@ -94,7 +103,7 @@ class WordIds:
         lacking = set(chain.from_iterable(words)).difference(known)
         if lacking:
             known.update((w, older[w]) for w in lacking if w in older)
-            parts = {w: TAIL.split(w, 1) if b"<|" not in w else [w] for w in lacking if w not in known}
+            parts = {w: cut_end(w) for w in lacking if w not in known}
             new = list({p for pair in parts.values() for p in pair if p not in known})
             known.update(zip(new, self.encoded(new), strict=True))
             known.update((w, known[pair[0]] + known[pair[1]]) for w, pair in parts.items() if len(pair) == 2)
