@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlane.operators import intervals, job, linking, search, semantics
+from shortlane.operators import intervals, isolation, job, linking, search, semantics
 from shortlane.plans.surrogate import table
 from shortlane.sources import csv_parallel, scratch
 from shortlane.streaming import responses
@@ -97,6 +97,17 @@ def response_times_stream(spark, d) -> DataFrame:
     return spark.read.schema(responses.OUT).parquet(sink).select("user_id", "event_id", F.round("hours", 4).alias("hours"))
 
 
+def honeypot_isolation(spark, d) -> DataFrame:
+    """How odd each candidate is, by an isolation forest over its orders: number, span, sums, and how these fit together."""
+    day, price = F.unix_date(F.to_date("o_orderdate")), F.col("o_totalprice").cast("double")
+    orders = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("jobs"), (F.max(day) - F.min(day)).alias("days"), F.sum(price.cast("decimal(18,2)")).cast("double").alias("total"), F.max(price).alias("most"))
+    people = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("balance"))
+    rows = people.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").withColumns({"per_job": F.col("total") / F.col("jobs"), "pace": F.col("days") / F.col("jobs")})
+    rows = scratch.cut(rows, "isolation-rows")
+    forest = isolation.fit(rows, "c_custkey", ["balance", "jobs", "days", "total", "most", "per_job", "pace"])
+    return rows.select("c_custkey", F.round(isolation.score(forest), 6).alias("score"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _LINKED = f"list_filter({_WORDS}, lambda x: regexp_full_match(x, '[a-z]{{6,}}'))"
 SQL = {
@@ -135,4 +146,4 @@ SQL["response_times"] = """WITH a AS (SELECT * FROM events WHERE event_type IN (
   SELECT c.user_id, c.event_id, round((epoch_us(min(p.ts)) - epoch_us(c.ts)) / 3.6e9::DOUBLE, 4) AS hours
   FROM c LEFT JOIN a p ON p.user_id = c.user_id AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 24 HOUR GROUP BY c.user_id, c.event_id, c.ts"""
 SQL["response_times_stream"] = SQL["response_times"]
-QUERIES = {name: globals()[name] for name in [*SQL, "jd_semantic_topk"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "jd_semantic_topk", "honeypot_isolation"]}
