@@ -7,20 +7,23 @@ shard are one Parquet folder, so a join on the shard prunes folders at run time.
 Search (block-max pruning with aligned ranges, for all descriptions together).  The largest impacts alone, times the weights of a
 description's terms, bound every score in a range.  The ranges with the best bounds give a first k-th score.  The terms
 that cannot reach it together (frequent ones, with most of the postings) are light: a row that has no other term is not among the
-best.  The other terms give partial scores in the ranges whose bound reaches the k-th score, and only rows that
-what the light terms can add in their range may lift to it are looked up there.  The result is that of scoring everything.
+best.  Then the blocks of each range whose bound reaches the k-th score of some description meet in a task, once for all
+descriptions: the other terms give partial scores, and light terms are added only for rows that they may lift to the k-th score.
+The result is that of scoring everything.
 
 Weights are those of `job.relevance`: idf = ln(1 + (n - df + 0.5) / (df + 0.5)) and tf / (tf + K1 * (1 - B + B * length / mean)), each
 different word of a description once.
 
 Defined cases: a null text has no words but counts as a row; a description without known words has no result; equal scores,
-rounded to DIGITS, go by id; rows that share an id add their hits up; a null id is kept like others.
+rounded to DIGITS, go by id; ids are unique (rows of one range that share an id count as one); a null id is kept like others.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,70 +75,127 @@ def build(texts: DataFrame, id_: str, text: str, range_rows: int = RANGE_ROWS, s
 class Found(NamedTuple):
     best: DataFrame  # query, id, score, rank
     matching: int  # postings of the descriptions' terms, over all descriptions
-    read: int  # postings in the blocks that were opened
-    scored: int  # postings that entered a score
+    scored: int  # of these, the postings that entered a score
 
 
-def _open(index: Index, wanted: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """query, shard, range, id, part of a score for each posting in the wanted blocks (query, shard, range, term, weight), and how many."""
-    blocks = index.blocks.select("shard", "range", "term", "postings").join(wanted, ["shard", "range", "term"])
-    hits = blocks.select("query", "shard", "range", "weight", F.explode("postings").alias("hit"))
-    parts = hits.groupBy("query", "shard", "range", F.col("hit.id").alias("id")).agg(F.sum(F.col("weight") * F.col("hit.impact")).alias("part"), F.count("*").alias("n"))
-    parts = scratch.cut(parts, name)
-    return parts, int(parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+#: Descriptions that are searched at once: their weights go along with the tasks.
+BLOCK = 512
 
 
-def _kth(scores: DataFrame, k: int) -> DataFrame:
-    """query, least: the k-th best score of each description that has k of them."""
-    best = shortlist.top_per(scores, ["query"], [F.desc("part")], k)
-    return best.groupBy("query").agg(F.count("*").alias("_n"), F.min("part").alias("least")).where(F.col("_n") == k).drop("_n")
+class Weights(NamedTuple):
+    """A block of descriptions in a task: for each term, which of them ask for it, how much it weighs there, and whether it is light."""
 
+    queries: list
+    least: np.ndarray  # a k-th score of each, or 0
+    of: dict[str, list[tuple[int, float, bool]]]
 
-def _reaches(bound: Column, least: Column) -> Column:
+
+def scored_range(rows: pa.Table, held: Weights) -> tuple[list[tuple[int, int, float]], int]:
+    """(description, row, score) of the rows of one range that may be among the best, by their places, and how many postings that took.
+
+    Light terms are only added for rows that they may lift to the k-th score, given the others and what is largest in the range.
+    """
+    terms, tops, postings = rows["term"].to_pylist(), rows["top"].to_numpy(), rows["postings"].combine_chunks()
+    hits, bounds = postings.flatten(), postings.offsets.to_numpy() - postings.offsets[0].as_py()
+    at, impact = rows_of(hits.field("id")), hits.field("impact").to_numpy(zero_copy_only=False)
+    heavy, light = np.zeros((2, len(held.queries), len(terms)))
+    impacts, counts = np.zeros((len(terms), at.max() + 1)), np.zeros((len(terms), at.max() + 1))
+    for t, term in enumerate(terms):
+        for q, weight, is_light in held.of[term]:
+            (light if is_light else heavy)[q, t] = weight
+        part = slice(bounds[t], bounds[t + 1])
+        np.add.at(impacts[t], at[part], impact[part])
+        counts[t, at[part]] = 1
+    live = np.flatnonzero(_reaches((heavy + light) @ tops, held.least))
+    heavy, light, least = heavy[live], light[live], held.least[live, None]
+    part = heavy @ impacts
+    open_ = (part > 0) & _reaches(part + (light @ tops)[:, None], least)
+    scored = int(((heavy > 0) @ counts).sum() + ((light > 0) @ counts)[open_].sum())
+    score = part + light @ impacts
+    q, d = np.nonzero(open_ & _reaches(score, least))
+    return list(zip(live[q].tolist(), d.tolist(), score[q, d].tolist(), strict=True)), scored
+
+
+def rows_of(ids: pa.Array) -> np.ndarray:
+    """The place of each id among the different ones (a null id is one like others)."""
+    return ids.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def _reaches(bound, least):
     """Whether a score of at most `bound` can be among the best; sums in another order and rounding differ by less than the slack."""
-    return bound + 2 * 10.0**-DIGITS >= F.coalesce(least, F.lit(0.0))
+    return bound + 2 * 10.0**-DIGITS >= least
 
 
-def search(index: Index, queries: DataFrame, id_: str, text: str, k: int = 100, first: int = FIRST_RANGES) -> Found:
-    """The k best rows of the index for each description, with how much was read for them."""
-    asked = scratch.cut(queries.select(F.col(id_).alias("query"), F.explode(F.array_distinct(job.words(F.col(text)))).alias("term")).distinct(), "search-terms")
+def _first_scores(index: Index, bounds: DataFrame, weights: DataFrame, k: int, first: int) -> DataFrame:
+    """query, least: a k-th score from the ranges with the best bounds of each description that has k rows there."""
+    chosen = shortlist.top_per(bounds, ["query"], [F.desc("bound"), F.asc("range")], first).select("query", "shard", "range")
+    wanted = chosen.join(weights.select("query", "term", "weight"), "query")
+    hits = index.blocks.select("shard", "range", "term", "postings").join(wanted, ["shard", "range", "term"]).select("query", "weight", F.explode("postings").alias("hit"))
+    scores = hits.groupBy("query", F.col("hit.id").alias("id")).agg(F.sum(F.col("weight") * F.col("hit.impact")).alias("score"))
+    best = shortlist.top_per(scores, ["query"], [F.desc("score")], k)
+    return best.groupBy("query").agg(F.count("*").alias("_n"), F.min("score").alias("least")).where(F.col("_n") == k).drop("_n")
+
+
+def _search(index: Index, asked: DataFrame, k: int, first: int) -> tuple[DataFrame, int, int]:
+    """The best rows (query, id, score) of one block of descriptions (query, term), and how many postings match and were scored."""
+    spark, id_type = asked.sparkSession, index.blocks.schema["postings"].dataType.elementType["id"].dataType.simpleString()
     # the postings stay unread here: only these columns of the files are
     maxima = scratch.cut(index.blocks.select("shard", "range", "term", "n", "top").join(asked.select("term").distinct(), "term"), "search-maxima")
     of_term = maxima.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("most"))
     weight = F.log(1 + (index.rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = scratch.cut(asked.join(of_term, "term").select("query", "term", weight.alias("weight"), (weight * F.col("most")).alias("most")), "search-weights")
-    bounds = maxima.join(weights, "term").groupBy("query", "shard", "range").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), F.sum("n").alias("n"))
+    weights = scratch.cut(asked.join(of_term, "term").select("query", "term", "df", weight.alias("weight"), (weight * F.col("most")).alias("most")), "search-weights")
+    bounds = maxima.join(weights.select("query", "term", "weight"), "term").groupBy("query", "shard", "range").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"))
     bounds = scratch.cut(bounds, "search-bounds")
-    matching = int(bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    least = scratch.cut(_first_scores(index, bounds, weights, k, first), "search-least")
+    # terms that together cannot reach the k-th score are light
+    below = Window.partitionBy("query").orderBy("most", "term")  # the words of one description
+    split = weights.join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    split = split.withColumn("light", F.sum("most").over(below) + 2 * 10.0**-DIGITS < F.col("least"))
+    known: dict = {}
+    of: dict[str, list[tuple[int, float, bool]]] = {}
+    matching = 0
+    for r in split.collect():  # the words of at most BLOCK descriptions
+        q = known.setdefault(r["query"], (len(known), r["least"]))[0]
+        of.setdefault(r["term"], []).append((q, r["weight"], r["light"]))
+        matching += r["df"]
+    held = Weights(list(known), np.array([x for _, x in known.values()], dtype=float), of)
+    schema = f"q int, id {id_type}, score double, scored long"
+
+    def score(key: tuple, rows: pa.Table) -> pa.Table:
+        found, scored = scored_range(rows, held)
+        ids = rows["postings"].combine_chunks().flatten().field("id").dictionary_encode(null_encoding="encode").dictionary
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        id_ = ids.take(pa.array(columns[1], pa.int64()))
+        n = len(found)
+        return pa.table({
+            "q": pa.array([*columns[0], None], pa.int32()), "id": pa.concat_arrays([id_, pa.nulls(1, id_.type)]),
+            "score": pa.array([*columns[2], None], pa.float64()), "scored": pa.array([None] * n + [scored], pa.int64()),
+        })
+
+    live = bounds.join(least, "query", "left").where(_reaches(F.col("bound"), F.coalesce("least", F.lit(0.0)))).select("shard", "range").distinct()
+    blocks = index.blocks.select("shard", "range", "term", "top", "postings").join(live, ["shard", "range"], "left_semi")
+    blocks = blocks.join(weights.select("term").distinct(), "term", "left_semi").select("range", "term", "top", "postings")
+    found = scratch.cut(blocks.groupBy("range").applyInArrow(score, schema), "search-found")
+    scored = found.agg(F.coalesce(F.sum("scored"), F.lit(0))).first()[0]
+    names = spark.createDataFrame(list(enumerate(held.queries)), f"q int, query {asked.schema['query'].dataType.simpleString()}")
+    hits = found.where("q IS NOT NULL").join(F.broadcast(names), "q")  # a row for each of the block's descriptions
+    # rows that share an id may stand in several ranges
+    return hits.groupBy("query", "id").agg(F.sum("score").alias("score")), matching, int(scored)
 
-    # 1: the ranges with the best bounds, whole: a first k-th score
-    chosen = scratch.cut(shortlist.top_per(bounds, ["query"], [F.desc("bound"), F.asc("range")], first).select("query", "shard", "range"), "search-first")
-    parts, opened = _open(index, chosen.join(weights, "query").drop("most"), "search-first-parts")
-    least = scratch.cut(_kth(parts, k), "search-least")
 
-    # 2: terms that together cannot reach it are left out; the others give partial scores, in ranges that can
-    below = Window.partitionBy("query").orderBy("most", "term")  # the words of one description
-    split = weights.join(least, "query", "left").withColumn("light", F.sum("most").over(below) + 2 * 10.0**-DIGITS < F.coalesce("least", F.lit(0.0)))
-    split = scratch.cut(split.select("query", "term", "weight", "light"), "search-split")
-    live = bounds.join(least, "query", "left").where(_reaches(F.col("bound"), F.col("least"))).select("query", "shard", "range")
-    heavy, more = _open(index, live.join(split.where("NOT light").drop("light"), "query"), "search-heavy")
-    scored = opened + more
-    opened += more
-    better = _kth(heavy, k).withColumnRenamed("least", "_better")
-    least = scratch.cut(least.join(better, "query", "full").select("query", F.greatest("least", "_better").alias("least")), "search-better")
-
-    # 3: what the light terms can add in a range decides which rows are looked up in their postings
-    light = split.where("light").drop("light")
-    rest = maxima.join(light, "term").groupBy("query", "range").agg(F.sum(F.col("weight") * F.col("top")).alias("rest"))
-    open_ = heavy.join(rest, ["query", "range"], "left").join(least, "query", "left")
-    open_ = open_.where(_reaches(F.col("part") + F.coalesce("rest", F.lit(0.0)), F.col("least")))
-    open_ = scratch.cut(open_.select("query", "shard", "range", "id", "part"), "search-open")
-    added, more = _open(index, open_.select("query", "shard", "range").distinct().join(light, "query"), "search-light")
-    opened += more
-    # a null id is a row like others
-    added = added.select(F.col("query").alias("_q"), F.col("range").alias("_r"), F.col("id").alias("_i"), F.col("part").alias("_more"), F.col("n").alias("_hits"))
-    same = (F.col("query") == F.col("_q")) & (F.col("range") == F.col("_r")) & F.col("id").eqNullSafe(F.col("_i"))
-    whole = scratch.cut(open_.join(added, same, "left").select("query", "id", (F.col("part") + F.coalesce("_more", F.lit(0.0))).alias("score"), "_hits"), "search-whole")
-    scored += int(whole.agg(F.coalesce(F.sum("_hits"), F.lit(0))).first()[0])
-    best = shortlist.top_per(whole.select("query", "id", F.round("score", DIGITS).alias("score")), ["query"], [F.desc("score"), F.asc("id")], k)
-    return Found(best.select("query", "id", "score", "rank"), matching, opened, scored)
+def search(index: Index, queries: DataFrame, id_: str, text: str, k: int = 100, first: int = FIRST_RANGES) -> Found:
+    """The k best rows of the index for each description, with how much was scored for them."""
+    asked = queries.select(F.col(id_).alias("query"), F.explode(F.array_distinct(job.words(F.col(text)))).alias("term")).distinct()
+    asked = scratch.cut(asked, "search-terms")
+    blocks = -(-asked.select("query").distinct().count() // BLOCK)
+    found, matching, scored = None, 0, 0
+    for no in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == no)
+        best, m, n = _search(index, part, k, first)
+        found = best if found is None else found.unionByName(best)
+        matching, scored = matching + m, scored + n
+    if found is None:
+        id_type = index.blocks.schema["postings"].dataType.elementType["id"].dataType
+        found = asked.select("query", F.lit(None).cast(id_type).alias("id"), F.lit(0.0).alias("score"))
+    best = shortlist.top_per(found.withColumn("score", F.round("score", DIGITS)), ["query"], [F.desc("score"), F.asc("id")], k)
+    return Found(best.select("query", "id", "score", "rank"), matching, scored)
