@@ -9,7 +9,7 @@ size of `dims` squared.  The small projected matrix is solved there, and vectors
 
 Signs are fixed and the seed too; sums in another order differ in the last digits only.
 
-Defined cases: null texts have no words; words of fewer than `min_docs` texts are left out; a matrix of fewer words than dimensions
+Defined cases: null texts have no words; words of fewer than `min_docs` texts are left out, but keep their places; a matrix of fewer words than dimensions
 gives as many dimensions as its rank and zeros beyond; no words give no rows.
 """
 
@@ -19,13 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortlane.operators import job, shortlist
 from shortlane.sources import scratch
 
-WINDOW, MIN_DOCS = 4, 20
+WINDOW, MIN_DOCS, VOCABULARY = 4, 20, 1 << 16
+#: Different pairs that a task holds before it hands them on.
+HELD_PAIRS = 1 << 21
 DIMS, EXTRA, POWERS, SEED = 32, 8, 2, 5
 #: Triangles of tasks meet in so many tasks first.
 MERGES = 32
@@ -33,27 +36,55 @@ MERGES = 32
 TINY = 1e-10
 
 
-def ppmi(texts: DataFrame, text: str, window: int = WINDOW, min_docs: int = MIN_DOCS) -> DataFrame:
+def _pairs(words: DataFrame, vocabulary: list[str], window: int) -> DataFrame:
+    """x <= y (numbers in the vocabulary), n: how often two of its words stand up to `window` places apart, counted in each task first."""
+    size = max(len(vocabulary), 1)
+
+    def table(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(codes // size), pa.array(codes % size), pa.array(n)], names=["x", "y", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, codes, counts = pa.array(vocabulary, pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            column = b.column(0)
+            at = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(column)), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+            near = [codes]
+            for k in range(1, window + 1):
+                one, two = at[:-k], at[k:]
+                met = (of[:-k] == of[k:]) & (one >= 0) & (two >= 0)
+                near.append(np.minimum(one, two)[met] * size + np.maximum(one, two)[met])
+            weights = np.concatenate([counts, np.ones(sum(map(len, near[1:])), np.int64)])
+            codes, where = np.unique(np.concatenate(near), return_inverse=True)
+            counts = np.bincount(where, weights=weights, minlength=len(codes)).astype(np.int64)
+            if len(codes) > HELD_PAIRS:
+                yield table(codes, counts)
+                codes, counts = codes[:0], counts[:0]
+        yield table(codes, counts)
+
+    return words.mapInArrow(run, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+
+def ppmi(texts: DataFrame, text: str, window: int = WINDOW, min_docs: int = MIN_DOCS, vocabulary: int = VOCABULARY) -> DataFrame:
     """a, b, n, ppmi: how often two words stand up to `window` places apart (in both orders), where that is more than chance.
 
-    Counts are combined in each task before they are shuffled; hot pairs are one row a task.
+    The words are those of `min_docs` texts and more; of these, the `vocabulary` most frequent (ties by word).  That number is the size of the
+    model, so that tasks can hold the words, and count pairs before anything is shuffled.
     """
-    words = scratch.cut(texts.select(job.words(F.col(text)).alias("words")).where(F.size("words") > 0), "ppmi-words")
-    known = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("word")
-    known = scratch.cut(known, "ppmi-known")
-    apart = [F.arrays_zip(F.slice("words", 1, F.size("words") - k).alias("x"), F.slice("words", k + 1, F.size("words")).alias("y")) for k in range(1, window + 1)]
-    apart = [F.when(F.size("words") > k, z) for k, z in enumerate(apart, 1)]
-    pairs = words.select(F.explode(F.flatten(F.array_compact(F.array(*apart)))).alias("p")).select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
-    counts = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    counts = counts.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(known.withColumnRenamed("word", "b"), "b", "left_semi")
-    counts = scratch.cut(counts, "ppmi-counts")
-    both = counts.select("a", "b", "n").unionByName(counts.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    both = both.groupBy("a", "b").agg(F.sum("n").alias("n"))  # a pair of one word with itself counts twice, like others
-    sums = scratch.cut(both.groupBy("a").agg(F.sum("n").alias("of")), "ppmi-sums")
+    spark = texts.sparkSession
+    words = texts.select(job.words(F.col(text)).alias("words")).where(F.size("words") > 0)
+    docs = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    known = [r["word"] for r in docs.orderBy(F.desc("docs"), "word").limit(vocabulary).collect()]
+    counts = scratch.cut(_pairs(words, known, window), "ppmi-counts")
+    both = counts.unionByName(counts.select(F.col("y").alias("x"), F.col("x").alias("y"), "n"))
+    both = both.groupBy("x", "y").agg(F.sum("n").alias("n"))  # a pair of one word with itself counts twice, like others
+    sums = scratch.cut(both.groupBy("x").agg(F.sum("n").alias("of")), "ppmi-sums")  # a row a word
     total = sums.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
+    names = scratch.cut(spark.createDataFrame(list(enumerate(known)), "x long, word string").join(sums, "x"), "ppmi-names")
+    a, b = names.select("x", F.col("word").alias("a"), F.col("of").alias("of_a")), names.select(F.col("x").alias("y"), F.col("word").alias("b"), F.col("of").alias("of_b"))
     value = F.log(F.col("n") * F.lit(float(total)) / (F.col("of_a") * F.col("of_b")))
-    met = both.join(sums.select("a", F.col("of").alias("of_a")), "a").join(sums.select(F.col("a").alias("b"), F.col("of").alias("of_b")), "b")
-    return met.withColumn("ppmi", value).where("ppmi > 0").select("a", "b", "n", "ppmi")
+    # both have a row for each word of the vocabulary
+    return both.join(F.broadcast(a), "x").join(F.broadcast(b), "y").withColumn("ppmi", value).where("ppmi > 0").select("a", "b", "n", "ppmi")
 
 
 def _columns(n: int) -> list[str]:

@@ -124,7 +124,7 @@ SQL = {
     "val_csv_parallel": "SELECT doc_id, CAST(4 AS BIGINT) AS n_cells, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
 }
 SQL["sem_ppmi"] = f"""WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents), t AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS pos FROM d),
-  known AS (SELECT w FROM t GROUP BY w HAVING count(DISTINCT doc_id) >= 20),
+  known AS (SELECT w FROM t GROUP BY w HAVING count(DISTINCT doc_id) >= 20 ORDER BY count(DISTINCT doc_id) DESC, w LIMIT 65536),
   near AS (SELECT x.w AS a, y.w AS b FROM t x JOIN t y ON x.doc_id = y.doc_id AND y.pos BETWEEN x.pos + 1 AND x.pos + 4 WHERE x.w IN (FROM known) AND y.w IN (FROM known)),
   pairs AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY ALL),
   sums AS (SELECT a, sum(n) AS s FROM pairs GROUP BY a), total AS (SELECT sum(n) AS total FROM pairs),
