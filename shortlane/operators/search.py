@@ -15,15 +15,17 @@ Weights are those of `job.relevance`: idf = ln(1 + (n - df + 0.5) / (df + 0.5))
 different word of a description once.
 
 Defined cases: a null text has no words but counts as a row; a description without known words has no result; equal scores,
-rounded to DIGITS, go by id; ids are unique (rows of one range that share an id count as one); a null id is kept like others.
+rounded to DIGITS, go by id; ids are unique (rows that share an id have results of their own, added up); a null id is kept like others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,42 @@ def _step(length: Column) -> Column:
     return F.floor(F.log2(length + 1) * LENGTH_STEPS)
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each range (they come in order)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        keys = b.column(1).to_numpy()
+        ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for start, end in zip([0, *ends], ends, strict=False):
+            part = b.slice(start, end - start)
+            if held and part.num_rows and held[0].column(1)[0] != part.column(1)[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """shard, range, term, n, top, postings of each term of each range of rows (shard, range, id, words)."""
+    for rows in _ranges(batches):
+        words = rows["words"].combine_chunks()
+        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        terms = words.flatten().dictionary_encode()
+        code = terms.indices.to_numpy().astype(np.int64) * len(rows) + np.repeat(np.arange(len(rows)), lengths)
+        pair, tf = np.unique(code, return_counts=True)  # by term, then row
+        term, row = pair // len(rows), pair % len(rows)
+        impact = tf / (tf + job.K1 * (1 - job.B + job.B * lengths[row] / mean))
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        n = np.diff(np.r_[first, len(term)])
+        ids = rows["id"].combine_chunks().take(pa.array(row))
+        hits = pa.StructArray.from_arrays([ids, pa.array(impact)], names=["id", "impact"])
+        postings = pa.ListArray.from_arrays(pa.array(np.r_[first, len(term)].astype(np.int32)), hits)
+        columns = [pa.repeat(rows["shard"][0], len(n)), pa.repeat(rows["range"][0], len(n)), terms.dictionary.take(pa.array(term[first])), pa.array(n), pa.array(np.maximum.reduceat(impact, first)), postings]
+        yield pa.record_batch(columns, names=["shard", "range", "term", "n", "top", "postings"])
+
+
 def build(texts: DataFrame, id_: str, text: str, range_rows: int = RANGE_ROWS, shard_rows: int = SHARD_ROWS) -> Index:
     """Writes the index of a table's texts to the shared folder."""
     spark = texts.sparkSession
@@ -60,13 +98,13 @@ def build(texts: DataFrame, id_: str, text: str, range_rows: int = RANGE_ROWS, s
     # a range is a step of lengths and a slot of it; copies of a text have ids of their own and so spread
     dealt = sized.where("length > 0").withColumn("range", _step(F.col("length")) * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), ranges))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("range"), F.lit(shards))).repartition("shard")
-    impact = F.col("tf") / (F.col("tf") + job.K1 * (1 - job.B + job.B * F.col("length") / mean))
-    # both aggregates work inside the shards: no further exchange
-    hits = dealt.select("shard", "range", "id", "length", F.explode(job.words(F.col("text"))).alias("term")).groupBy("shard", "range", "term", "id", "length").agg(F.count("*").alias("tf"))
-    hits = hits.select("shard", "range", "term", F.struct("id", impact.alias("impact")).alias("hit"))
-    blocks = hits.groupBy("shard", "range", "term").agg(F.count("*").alias("n"), F.max("hit.impact").alias("top"), F.collect_list("hit").alias("postings"))
+    # blocks are made inside the shards, range by range: no further exchange
+    dealt = dealt.sortWithinPartitions("shard", "range").select("shard", "range", "id", job.words(F.col("text")).alias("words"))
+    id_type = texts.schema[id_].dataType.simpleString()
+    schema = f"shard long, range long, term string, n long, top double, postings array<struct<id: {id_type}, impact: double>>"
+    blocks = dealt.mapInArrow(lambda batches: _blocks(batches, mean), schema)
     path = scratch.new_path(spark, "index")
-    blocks.sortWithinPartitions("shard", "term", "range").write.partitionBy("shard").parquet(path)
+    blocks.write.partitionBy("shard").parquet(path)
     if not rows or not words:
         return Index(blocks.limit(0), rows, mean)
     return Index(spark.read.schema(blocks.schema).parquet(path), rows, mean)
