@@ -28,7 +28,7 @@ from shortlane.sources import scratch
 
 WINDOW, MIN_DOCS, VOCABULARY = 4, 20, 1 << 16
 #: Different pairs that a task holds before it hands them on.
-HELD_PAIRS = 1 << 21
+HELD_PAIRS = 1 << 22
 DIMS, EXTRA, POWERS, SEED = 32, 8, 2, 5
 #: Triangles of tasks meet in so many tasks first.
 MERGES = 32
@@ -76,8 +76,9 @@ def ppmi(texts: DataFrame, text: str, window: int = WINDOW, min_docs: int = MIN_
     docs = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     known = [r["word"] for r in docs.orderBy(F.desc("docs"), "word").limit(vocabulary).collect()]
     counts = scratch.cut(_pairs(words, known, window), "ppmi-counts")
-    both = counts.unionByName(counts.select(F.col("y").alias("x"), F.col("x").alias("y"), "n"))
-    both = both.groupBy("x", "y").agg(F.sum("n").alias("n"))  # a pair of one word with itself counts twice, like others
+    # both orders of a pair; one of a word with itself counts twice, like others: no exchange
+    apart = counts.where("x < y")
+    both = apart.unionByName(apart.select(F.col("y").alias("x"), F.col("x").alias("y"), "n")).unionByName(counts.where("x = y").withColumn("n", F.col("n") * 2))
     sums = scratch.cut(both.groupBy("x").agg(F.sum("n").alias("of")), "ppmi-sums")  # a row a word
     total = sums.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
     names = scratch.cut(spark.createDataFrame(list(enumerate(known)), "x long, word string").join(sums, "x"), "ppmi-names")
