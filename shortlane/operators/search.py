@@ -33,7 +33,7 @@ from shortlane.operators import job, shortlist
 from shortlane.sources import scratch
 
 RANGE_ROWS, SHARD_ROWS = 32, 8192
-#: Steps of row lengths for each doubling: ranges hold rows of one step.
+#: Steps of row lengths (in characters) for each doubling: ranges hold rows of one step.
 LENGTH_STEPS = 4
 #: Ranges that are scored whole for each description, for a first k-th score.
 FIRST_RANGES = 16
@@ -74,6 +74,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.Recor
         lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         terms = words.flatten().dictionary_encode()
         code = terms.indices.to_numpy().astype(np.int64) * len(rows) + np.repeat(np.arange(len(rows)), lengths)
+        if not len(code):
+            continue
         pair, tf = np.unique(code, return_counts=True)  # by term, then row
         term, row = pair // len(rows), pair % len(rows)
         impact = tf / (tf + job.K1 * (1 - job.B + job.B * lengths[row] / mean))
@@ -89,14 +91,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.Recor
 def build(texts: DataFrame, id_: str, text: str, range_rows: int = RANGE_ROWS, shard_rows: int = SHARD_ROWS) -> Index:
     """Writes the index of a table's texts to the shared folder."""
     spark = texts.sparkSession
-    sized = texts.select(F.col(id_).alias("id"), F.col(text).alias("text"), F.coalesce(F.size(job.words(F.col(text))), F.lit(0)).alias("length"))
-    steps = sized.groupBy(_step(F.col("length")).alias("step")).agg(F.count("*").alias("rows"), F.sum("length").alias("words"))
+    sized = texts.select(F.col(id_).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    step = _step(F.length("text"))
+    steps = sized.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.sum(F.size(job.words(F.col("text")))).alias("words"))
     counts = {int(r["step"]): (int(r["rows"]), int(r["words"])) for r in steps.collect()}  # a row for each step of lengths
     rows, words = (sum(c[k] for c in counts.values()) for k in (0, 1))
     mean, shards = words / rows if rows and words else 1.0, -(-rows // shard_rows) or 1
-    ranges = F.create_map(*(F.lit(x) for s, (n, _) in counts.items() for x in (s, -(-n // range_rows))))[_step(F.col("length"))] if counts else F.lit(1)
+    ranges = F.create_map(*(F.lit(x) for s, (n, _) in counts.items() for x in (s, -(-n // range_rows))))[step] if counts else F.lit(1)
     # a range is a step of lengths and a slot of it; copies of a text have ids of their own and so spread
-    dealt = sized.where("length > 0").withColumn("range", _step(F.col("length")) * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), ranges))
+    dealt = sized.where("text <> ''").withColumn("range", step * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), ranges))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("range"), F.lit(shards))).repartition("shard")
     # blocks are made inside the shards, range by range: no further exchange
     dealt = dealt.sortWithinPartitions("shard", "range").select("shard", "range", "id", job.words(F.col("text")).alias("words"))
