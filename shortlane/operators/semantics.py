@@ -28,7 +28,9 @@ from shortlane.sources import scratch
 
 WINDOW, MIN_DOCS, VOCABULARY = 4, 20, 1 << 16
 #: Different pairs that a task holds before it hands them on.
-HELD_PAIRS = 1 << 22
+HELD_PAIRS = 1 << 21
+#: Texts whose pairs are made at once.
+SLICE_ROWS = 256
 DIMS, EXTRA, POWERS, SEED = 32, 8, 2, 5
 #: Triangles of tasks meet in so many tasks first.
 MERGES = 32
@@ -43,24 +45,26 @@ def _pairs(words: DataFrame, vocabulary: list[str], window: int) -> DataFrame:
     def table(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(codes // size), pa.array(codes % size), pa.array(n)], names=["x", "y", "n"])
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(where, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, codes, counts = pa.array(vocabulary, pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
-        for b in batches:
-            column = b.column(0)
+        known, held = pa.array(vocabulary, pa.string()), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for column in (b.column(0).slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             at = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             of = np.repeat(np.arange(len(column)), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
-            near = [codes]
             for k in range(1, window + 1):
                 one, two = at[:-k], at[k:]
                 met = (of[:-k] == of[k:]) & (one >= 0) & (two >= 0)
-                near.append(np.minimum(one, two)[met] * size + np.maximum(one, two)[met])
-            weights = np.concatenate([counts, np.ones(sum(map(len, near[1:])), np.int64)])
-            codes, where = np.unique(np.concatenate(near), return_inverse=True)
-            counts = np.bincount(where, weights=weights, minlength=len(codes)).astype(np.int64)
-            if len(codes) > HELD_PAIRS:
-                yield table(codes, counts)
-                codes, counts = codes[:0], counts[:0]
-        yield table(codes, counts)
+                codes = np.minimum(one, two)[met] * size + np.maximum(one, two)[met]
+                held.append((codes, np.ones(len(codes), np.int64)))
+            if sum(len(c) for c, _ in held) > HELD_PAIRS:
+                held = [merged(held)]
+                if len(held[0][0]) > HELD_PAIRS // 2:
+                    yield table(*held[0])
+                    held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        yield table(*merged(held))
 
     return words.mapInArrow(run, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
 
