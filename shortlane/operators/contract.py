@@ -75,79 +75,138 @@ FIELDS = [
 ]
 
 
+#: JSON types of numbers, besides decimals.
+NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+
+
 def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+def _leaf(f: Field) -> str:
+    return f.path.rpartition(".")[2]
 
 
-def _broken(value: Column, f: Field) -> Column:
-    """The first thing wrong with a value: missing, null, type, range, enum, pattern, items or format; NULL if nothing."""
-    return _let(value, lambda v: _problem(v, f))
+def can_break(f: Field) -> set[str]:
+    """Everything that can be wrong with a field."""
+    out = {"type"} | ({"missing"} if f.required else set()) | (set() if f.nullable else {"null"})
+    out |= {"range"} if f.kind == "map" or f.kind in ("number", "integer") and (f.low is not None or f.high is not None) else set()
+    out |= {"items"} if f.kind == "array" and f.low is not None else set()
+    return out | ({"enum"} if f.values else set()) | ({"pattern"} if f.pattern else set()) | ({"format"} if f.kind == "date" else set())
 
 
-def _typed(v: Column, kind: str) -> Column:
-    """Whether a value has the JSON type; the type of an object or array is tested without spelling out what is in it."""
-    if kind in ("object", "map"):
-        return _is_object(v)
-    if kind == "array":
-        return _get(v, "$", "array<variant>").isNotNull()
-    json_type = F.schema_of_variant(v)
-    if kind in ("number", "integer"):
-        whole = (_get(v, "$", "double") == F.floor(_get(v, "$", "double"))) if kind == "integer" else F.lit(True)
-        return _let(json_type, lambda t: t.startswith("DECIMAL") | t.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")) & whole
-    return json_type == ("BOOLEAN" if kind == "boolean" else "STRING")
+def _shape(fields: list[Field], parent: str = "") -> str:
+    """The type that takes the fields of a parent, and what is below them, out of a record at once; scalars stay VARIANT."""
+    own: dict[str, str] = {}
+    for f in (g for g in FIELDS if g.path.rpartition(".")[0] == parent):
+        below = [g for g in fields if g.path.startswith((f.path + ".", f.path + "[]."))]
+        if f not in fields and not below:
+            continue
+        inner = _shape(fields, f.path + ("[]" if f.kind == "array" else "")) if below else "struct<_: variant>"
+        own[_leaf(f)] = {"object": inner, "array": f"array<{inner}>", "map": "map<string, variant>"}.get(f.kind, "variant")
+    return "struct<" + ", ".join(f"{name}: {kind}" for name, kind in own.items()) + ">"
 
 
-def _problem(v: Column, f: Field) -> Column:
-    value = _get(v, "$", "double")
-    out = F.when(v.isNull(), F.lit("missing") if f.required else F.lit(None).cast("string"))
-    out = out.when(F.is_variant_null(v), F.lit(None).cast("string") if f.nullable else F.lit("null"))
-    out = out.when(~_typed(v, f.kind), F.lit("type"))
-    text, bounds = _get(v, "$", "string"), lambda x: ((x < f.low) if f.low is not None else F.lit(False)) | ((x > f.high) if f.high is not None else F.lit(False))
-    if f.kind in ("number", "integer"):
-        out = out.when(bounds(value), F.lit("range"))
-    if f.kind == "array" and f.low is not None:
-        out = out.when(bounds(F.size(_get(v, "$", "array<variant>"))), F.lit("items"))
-    if f.kind == "map":
-        scores = F.map_values(_get(v, "$", "map<string,variant>"))
-        out = out.when(F.exists(scores, lambda x: _get(x, "$", "double").isNull() | (F.schema_of_variant(x) == "STRING") | bounds(_get(x, "$", "double"))), F.lit("range"))
-    if f.values:
-        out = out.when(~text.isin(*f.values), F.lit("enum"))
-    if f.pattern:
-        out = out.when(~text.rlike(f.pattern), F.lit("pattern"))
-    if f.kind == "date":
-        out = out.when(~text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") | F.try_to_date(text, "yyyy-MM-dd").isNull(), F.lit("format"))
-    return out
+def _needs_value(f: Field, problems: set[str]) -> bool:
+    """Whether a scalar's value, besides its type, decides about one of these problems."""
+    return bool(can_break(f) & problems & ({"range", "enum", "pattern", "format"} | ({"type"} if f.kind == "integer" else set())))
+
+
+def _facts(at: Column, asked: tuple[list[Field], set[str]]) -> Column:
+    """JSON type, and value where a problem needs it, of the scalars of one object: each is worked out once."""
+    facts, (fields, problems) = [], asked
+    for f in fields:
+        v = at[_leaf(f)]
+        facts.append(F.schema_of_variant(v).alias(f"{_leaf(f)}_type"))
+        if _needs_value(f, problems):
+            facts.append(_get(v, "$", "double" if f.kind in ("number", "integer") else "string").alias(f"{_leaf(f)}_value"))
+    return F.struct(*facts)
 
 
-def _is_object(v: Column) -> Column:
-    return _get(v, "$", "struct<_: variant>").isNotNull()
+def _each(items: Column, of: Callable[..., Column], arg: object) -> Column:
+    return F.transform(items, lambda x: of(x, arg))
 
 
-def _children(raw: Column, parent: str) -> Column:
-    """The broken fields (rule, path, problem) of one object, or of any item of an array; none if the parent is no object."""
-    own = [(k, f) for k, f in enumerate(FIELDS, 1) if f.path.rpartition(".")[0] == parent]
+def _outside(x: Column, f: Field) -> Column:
+    return ((x < f.low) if f.low is not None else F.lit(False)) | ((x > f.high) if f.high is not None else F.lit(False))
 
-    def listed(problem: Callable[[str, Field], Column]) -> Column:
-        return F.filter(F.array(*(F.struct(F.lit(f"D{k:02d}").alias("rule"), F.lit(f.path).alias("path"), problem(f.path.rpartition(".")[2], f).alias("problem")) for k, f in own)), lambda x: x["problem"].isNotNull())
 
-    if parent.endswith("[]"):
-        items = F.filter(F.coalesce(_get(raw, f"$.{parent[:-2]}", "array<variant>"), F.array().cast("array<variant>")), _is_object)
-        first = lambda xs, leaf, f: F.try_element_at(F.filter(F.transform(xs, lambda x: _broken(_get(x, f"$.{leaf}", "variant"), f)), lambda p: p.isNotNull()), F.lit(1))
-        return _let(items, lambda xs: listed(lambda leaf, f: first(xs, leaf, f)))
-    if not parent:
-        return listed(lambda leaf, f: _broken(_get(raw, f"$.{leaf}", "variant"), f))
-    return _let(_get(raw, f"$.{parent}", "variant"), lambda v: F.when(_is_object(v), listed(lambda leaf, f: _broken(_get(v, f"$.{leaf}", "variant"), f))))
+def _scalar(facts: Column, asked: tuple[Field, set[str]]) -> Column:
+    """The first thing wrong with a scalar: missing, null, type, range, enum, pattern or format; NULL if nothing."""
+    f, problems = asked
+    kind, none = facts[f"{_leaf(f)}_type"], F.lit(None).cast("string")
+    out = F.when(kind.isNull(), F.lit("missing") if f.required else none).when(kind == "VOID", none if f.nullable else F.lit("null"))
+    number = f.kind in ("number", "integer")
+    out = out.when(~(kind.isin(*NUMBERS) | kind.startswith("DECIMAL")) if number else kind != ("BOOLEAN" if f.kind == "boolean" else "STRING"), F.lit("type"))
+    if not _needs_value(f, problems):
+        return out
+    value = facts[f"{_leaf(f)}_value"]
+    if f.kind == "integer":
+        out = out.when(value != F.floor(value), F.lit("type"))
+    if number:
+        out = out.when(_outside(value, f), F.lit("range"))
+    if f.values:
+        out = out.when(~value.isin(*f.values), F.lit("enum"))
+    if f.pattern:
+        out = out.when(~value.rlike(f.pattern), F.lit("pattern"))
+    if f.kind == "date":
+        out = out.when(~value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") | F.try_to_date(value, "yyyy-MM-dd").isNull(), F.lit("format"))
+    return out
+
+
+def _nested(raw: Column, held: Column, f: Field) -> Column:
+    """The first thing wrong with an object, array or map: `held` is NULL where it is none, and only then the record is asked why."""
+    v, none = _get(raw, f"$.{f.path}", "variant"), F.lit(None).cast("string")
+    why = F.when(v.isNull(), F.lit("missing") if f.required else none).when(F.is_variant_null(v), none if f.nullable else F.lit("null")).otherwise("type")
+    out = F.when(held.isNull(), why)
+    if f.kind == "array" and f.low is not None:
+        out = out.when(_outside(F.size(held), f), F.lit("items"))
+    if f.kind == "map":
+        wrong = lambda x: _get(x, "$", "double").isNull() | (F.schema_of_variant(x) == "STRING") | _outside(_get(x, "$", "double"), f)
+        out = out.when(F.exists(F.map_values(held), wrong), F.lit("range"))
+    return out
 
 
-def violations(lines: DataFrame, strict: bool = False, keep: str = "line") -> DataFrame:
-    """`keep`, rule (D01..D68), path, problem, severity of records (raw VARIANT) that are objects."""
-    parents = dict.fromkeys(f.path.rpartition(".")[0] for f in FIELDS)
-    broken = _let(F.col("raw"), lambda raw: F.flatten(F.array_compact(F.array(*(_children(raw, p) for p in parents)))))
+def violations(lines: DataFrame, strict: bool = False, keep: str = "line", problems: tuple[str, ...] = ()) -> DataFrame:
+    """`keep`, rule (D01..D68), path, problem, severity of records (raw VARIANT) that are objects.
+
+    A record is taken apart once, then the facts of each scalar once, then the rules: steps of their own, which are not merged.
+    With `problems`, only these are looked for, in the fields that can have them.  A field of what is no object is not looked for,
+    so a record that is no object breaks no rule (and is not filtered, which would parse it twice).
+    """
+    wanted = set(problems) or set().union(*map(can_break, FIELDS))
+    asked = [f for f in FIELDS if not problems or can_break(f) & set(problems)]
+    nested = lambda f: f.kind in ("object", "array", "map")
+    scalars: dict[str, list[Field]] = {}
+    for f in asked:
+        if not nested(f):
+            scalars.setdefault(f.path.rpartition(".")[0], []).append(f)
+
+    def at(path: str) -> Column:
+        """What the record holds at a path, without the mark of items."""
+        out = F.col("_held")
+        for step in path.removesuffix("[]").split(".") if path else []:
+            out = out[step]
+        return out
+
+    facts, broken = [], {}
+    for k, (parent, own) in enumerate(scalars.items()):
+        name = f"_facts{k}"
+        if parent.endswith("[]"):
+            items = F.filter(at(parent), lambda x: x.isNotNull())
+            facts.append(_each(items, _facts, (own, wanted)).alias(name))
+            broken |= {f: F.try_element_at(F.array_compact(_each(F.col(name), _scalar, (f, wanted))), F.lit(1)) for f in own}
+        else:
+            facts.append(F.when(at(parent).isNotNull(), _facts(at(parent), (own, wanted))).alias(name))
+            broken |= {f: F.when(F.col(name).isNotNull(), _scalar(F.col(name), (f, wanted))) for f in own}
+    for f in filter(nested, asked):
+        parent = f.path.rpartition(".")[0]
+        broken[f] = F.when(at(parent).isNotNull(), _nested(F.col("raw"), at(f.path), f))
+    held = lines.select(keep, "raw", _get(F.col("raw"), "$", _shape(asked)).alias("_held")).select(keep, "raw", "_held", *facts)
+    # outer, as Spark would filter by the array's size before, and so do all the work twice; the array is never empty
+    found = held.select(keep, F.array(*(broken[f] for f in asked)).alias("_broken")).select(keep, F.posexplode_outer("_broken").alias("_k", "problem")).where("problem IS NOT NULL")
+    if problems:
+        found = found.where(F.col("problem").isin(*problems))
+    said = F.element_at(F.array(*(F.struct(F.lit(f"D{FIELDS.index(f) + 1:02d}").alias("rule"), F.lit(f.path).alias("path")) for f in asked)), F.col("_k") + 1)
     severity = F.when((F.col("problem") == "format") & F.lit(not strict), "warn").otherwise("error")
-    objects = lines.where(_is_object(F.col("raw")))
-    return objects.select(keep, F.explode(broken).alias("x")).select(keep, "x.*").withColumn("severity", severity)
+    return found.select(keep, said["rule"].alias("rule"), said["path"].alias("path"), "problem", severity.alias("severity"))

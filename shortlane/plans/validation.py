@@ -112,8 +112,7 @@ def val_csv_dialect(spark, d) -> DataFrame:
 
 
 def _violations(spark, d, *problems: str) -> DataFrame:
-    found = contract.violations(r.records(spark, d), keep="record")
-    return found.where(F.col("problem").isin(*problems)) if problems else found
+    return contract.violations(r.records(spark, d), keep="record", problems=problems)
 
 
 def contract_violations(spark, d) -> DataFrame:

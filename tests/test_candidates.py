@@ -167,3 +167,25 @@ def test_fields_are_the_declared_ones():
         held = (None if f.low is None else float(f.low), None if f.high is None else float(f.high))
         assert declared == held or (f.kind == "array" and held == (None, None) and declared == (0.0, None)), path
         assert bool(f.pattern) == ("pattern" in constraint)
+
+
+def test_asked_problems_alone_are_looked_for(spark, tmp_path):
+    """One problem's check takes apart the fields that can have it, and parses a record once."""
+    bad = profile(3)
+    bad["career_history"], bad["candidate_id"], bad["education"] = [], "x", None
+    read = candidates.read_lines(spark, lines(spark, tmp_path, [bad, profile(4), "[1]", "{broken"]))
+    every = contract.violations(read)
+    for problem in ("items", "pattern", "null"):
+        found = contract.violations(read, problems=(problem,))
+        assert found.collect() == every.where(F.col("problem") == problem).collect() and found.count() == 1
+    plan = contract.violations(read, problems=("items",))._jdf.queryExecution().executedPlan().toString()
+    assert "anonymized_name" not in plan and plan.count("parseJson") == 1
+
+
+def test_written_records_are_small(spark):
+    from shortlane.plans import records
+
+    read = records.records(spark, "/root/testdata/sf0.01")
+    files = [Path(f.removeprefix("file:")) for f in read.inputFiles()]
+    assert sum(f.stat().st_size for f in files) * 5 < read.agg(F.sum(F.length("line"))).first()[0]
+    assert read.where("raw IS NOT NULL").count() == read.where("line <> '{broken'").count() > 0
