@@ -42,10 +42,14 @@ def python_repr(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else repr(x))
 
 
+def kept_rows(rows: DataFrame) -> DataFrame:
+    """Rows after the header with a cell that is not blank."""
+    return rows.where((F.col("row_ix") > 0) & F.exists("cells", lambda c: strip(c) != ""))
+
+
 def data_rows(rows: DataFrame) -> DataFrame:
-    """Rows after the header with a cell that is not blank, numbered from 2 (`row_num`)."""
-    kept = rows.where((F.col("row_ix") > 0) & F.exists("cells", lambda c: strip(c) != ""))
-    return ordering.numbered(kept, F.floor(F.col("row_ix") / ordering.BUCKET_ROWS), [F.col("row_ix")], "row_num", start=2)
+    """The kept rows, numbered from 2 (`row_num`)."""
+    return ordering.numbered(kept_rows(rows), F.floor(F.col("row_ix") / ordering.BUCKET_ROWS), [F.col("row_ix")], "row_num", start=2)
 
 
 def fields(numbered: DataFrame) -> DataFrame:

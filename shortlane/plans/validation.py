@@ -35,7 +35,8 @@ def val_header_equality(spark, d) -> DataFrame:
 
 
 def val_row_count(spark, d) -> DataFrame:
-    return v.data_rows(s.submission_rows(spark, d)).agg(F.count("*").alias("n")).select("n", (F.col("n") != 100).alias("wrong"))
+    # rows are counted, not numbered: an exchange of nothing but bucket numbers shrinks so much that it ends in one task
+    return v.kept_rows(s.submission_rows(spark, d)).agg(F.count("*").alias("n")).select("n", (F.col("n") != 100).alias("wrong"))
 
 
 def val_row_number(spark, d) -> DataFrame:

@@ -113,3 +113,10 @@ def test_numbering_over_many_buckets(spark, monkeypatch):
     near = ordering.with_next(df.withColumn("part", F.floor(F.col("k") / 3)), ["g", "part"], [F.col("k")], ["k"]).collect()
     order = sorted((k % 7, k) for k in keys)
     assert {x["k"]: x["next_k"] for x in near} == {a[1]: b[1] if b else None for a, b in zip(order, [*order[1:], None], strict=True)}
+
+
+def test_rows_are_counted_without_numbers(spark):
+    from shortlane.plans import validation
+
+    plan = validation.val_row_count(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
