@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,44 +32,64 @@ def _asked(events: DataFrame) -> DataFrame:
 
 
 class Responses(StatefulProcessor):
-    """Open contacts and recent answers of one user, in milliseconds."""
+    """Open contacts and recent answers of one user, in microseconds.
+
+    What came together is one value of the state, and a user has one timer for what is due next, which closes everything that the
+    watermark has passed: the calls to the state store go with users and batches, not with events.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.contacts = handle.getMapState("contacts", "event_id long", "at long")
-        self.answers = handle.getMapState("answers", "at long", "n long")
+        # int64 of (event id, time) of contacts, and of times of answers
+        self.held = handle.getListState("held", "contacts binary, answers binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = []
         for frame in rows:
-            times = frame["at"].astype("datetime64[us]").astype("int64")
-            for event_id, kind, micros in zip(frame["event_id"], frame["event_type"], times, strict=True):
-                if kind == CONTACT:
-                    self.contacts.updateValue((int(event_id),), (int(micros),))
-                    # just after the wait, so that an answer at its very end counts
-                    self.handle.registerTimer(int(micros) // 1000 + WAIT_HOURS * _HOUR + 1)
-                else:
-                    self.answers.updateValue((int(micros),), (1,))
-                    self.handle.registerTimer(int(micros) // 1000 + (LATE_HOURS + WAIT_HOURS) * _HOUR)
-        yield pd.DataFrame({"user_id": [], "event_id": [], "at": pd.to_datetime([]), "hours": []})
+            times = frame["at"].astype("datetime64[us]").astype("int64").to_numpy()
+            asks = (frame["event_type"] == CONTACT).to_numpy()
+            contacts, answers = np.stack([frame["event_id"].to_numpy(np.int64)[asks], times[asks]], axis=1), times[~asks]
+            self.held.appendValue((contacts.tobytes(), answers.tobytes()))
+            due.append(self._due(contacts, answers))
+        self.handle.registerTimer(min(due))
+        return iter(())
+
+    @staticmethod
+    def _ends(contacts: np.ndarray) -> np.ndarray:
+        """Just after the wait, in milliseconds, so that an answer at its very end counts."""
+        return contacts[:, 1] // 1000 + WAIT_HOURS * _HOUR + 1
+
+    @staticmethod
+    def _leaves(answers: np.ndarray) -> np.ndarray:
+        return answers // 1000 + (LATE_HOURS + WAIT_HOURS) * _HOUR
+
+    def _due(self, contacts: np.ndarray, answers: np.ndarray) -> int:
+        return int(np.concatenate([self._ends(contacts), self._leaves(answers)]).min())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        wait = WAIT_HOURS * _HOUR * 1000
-        contacts = [(k[0], v[0]) for k, v in self.contacts.iterator()]
-        answers = sorted(k[0] for k, _ in self.answers.iterator())
-        out = []
-        for event_id, at in contacts:
-            if at // 1000 * 1000 + wait + 1000 <= now:
-                first = next((a for a in answers if a >= at), None)
-                hours = (first - at) / 3.6e9 if first is not None and first <= at + wait else None
-                out.append((key[0], event_id, pd.Timestamp(at, unit="us"), hours))
-                self.contacts.removeKey((event_id,))
-        kept = min((at for _, at in contacts if at // 1000 * 1000 + wait + 1000 > now), default=now)
-        for a in answers:
-            if a < kept and a // 1000 * 1000 + (LATE_HOURS + WAIT_HOURS) * _HOUR * 1000 <= now:
-                self.answers.removeKey((a,))
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "at", "hours"]).astype({"hours": "float64"})
+        now = timerValues.getCurrentWatermarkInMs()
+        parts = list(self.held.get())
+        contacts = np.frombuffer(b"".join(p[0] for p in parts), np.int64).reshape(-1, 2)
+        answers = np.unique(np.frombuffer(b"".join(p[1] for p in parts), np.int64))
+        # an open contact that comes again is that contact, with its newest time
+        last = len(contacts) - 1 - np.unique(contacts[::-1, 0], return_index=True)[1]
+        contacts = contacts[np.sort(last)]
+        over = self._ends(contacts) <= now
+        closed, open_ = contacts[over], contacts[~over]
+        # answers leave when no open contact can need them
+        kept = answers[(answers >= (open_[:, 1].min() if len(open_) else now * 1000)) | (self._leaves(answers) > now)]
+        if len(open_) or len(kept):
+            self.held.put([(open_.tobytes(), kept.tobytes())])
+            # what only waits for an open contact goes with it
+            self.handle.registerTimer(self._due(open_, kept[self._leaves(kept) > now]))
+        else:
+            self.held.clear()
+        if not len(closed):
+            return iter(())
+        first = np.append(answers, np.iinfo(np.int64).max)[np.searchsorted(answers, closed[:, 1])]
+        waited = first - closed[:, 1]
+        hours = np.where(waited <= WAIT_HOURS * _HOUR * 1000, waited / 3.6e9, np.nan)
+        return iter([pd.DataFrame({"user_id": key[0], "event_id": closed[:, 0], "at": pd.to_datetime(closed[:, 1], unit="us"), "hours": hours})])
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from shortlane.streaming import responses
 
@@ -65,3 +66,33 @@ def test_stream_is_the_batch_after_a_restart(spark, store, tmp_path):
     got = listed(spark.read.schema(responses.OUT).parquet(sink))
     assert got == brute(rows)
     assert any(r[3] is not None for r in got) and any(r[3] is None for r in got)
+
+
+def test_a_user_is_called_once_for_all_that_is_due():
+    """Calls to the state go with users, not with their events."""
+    calls = []
+
+    class State:
+        values = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "getListState":
+                    return self
+                if name in ("appendValue", "put"):
+                    self.values = [*self.values, args[0]] if name == "appendValue" else args[0]
+                return iter(self.values)
+
+            return call
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10**15
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), "click" if i % 2 else "purchase") for i in range(500)]
+    user = responses.Responses()
+    user.init(State())
+    assert list(user.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["event_id", "at", "event_type"])]), Now())) == []
+    closed = pd.concat(user.handleExpiredTimer((1,), Now(), None))
+    assert len(closed) == 250 and closed["hours"].isna().sum() == 1 and len(calls) < 10
