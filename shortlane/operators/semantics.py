@@ -161,14 +161,15 @@ def _random(words: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def _product(matrix: DataFrame, rows: DataFrame, n: int) -> DataFrame:
-    met = matrix.join(rows.withColumnRenamed("word", "b"), "b")
+    # the rows are a model of fixed size (`vocabulary`), so the matrix is not shuffled, and its rows of one word are summed in a task
+    met = matrix.join(F.broadcast(rows.withColumnRenamed("word", "b")), "b")
     return met.groupBy("a").agg(*(F.sum(F.col("ppmi") * F.col(c)).alias(c) for c in _columns(n))).withColumnRenamed("a", "word")
 
 
 def factors(matrix: DataFrame, dims: int = DIMS, extra: int = EXTRA, powers: int = POWERS, seed: int = SEED) -> tuple[DataFrame, np.ndarray]:
     """(vectors, values) of a symmetric matrix (a, b, ppmi): word and orthonormal columns, by falling size of their eigenvalue."""
     n = dims + extra
-    matrix = scratch.cut(matrix.select("a", "b", "ppmi"), "svd-matrix")
+    matrix = scratch.cut(matrix.select("a", "b", "ppmi").repartition("a"), "svd-matrix")
     q = _random(matrix.select(F.col("a").alias("word")).distinct(), n, seed)
     for k in range(powers + 1):
         q = orthonormal(scratch.cut(_product(matrix, q, n), f"svd-product-{k}"), n, f"svd-basis-{k}")
@@ -206,9 +207,10 @@ def word_vectors(texts: DataFrame, text: str, dims: int = DIMS, **options) -> Da
 
 def text_vectors(texts: DataFrame, id_: str, text: str, vectors: DataFrame, dims: int = DIMS) -> DataFrame:
     """id, vector: the mean vector of the known words of each text (each as often as it stands there); texts without any are left out."""
-    hits = texts.select(F.col(id_).alias("id"), F.explode(job.words(F.col(text))).alias("word")).groupBy("id", "word").agg(F.count("*").alias("n"))
-    met = hits.join(vectors, "word")
-    return met.groupBy("id").agg(F.array(*(F.sum(F.col("n") * F.col("vector")[k]) / F.sum("n") for k in range(dims))).alias("vector"))
+    # vectors are a model of fixed size, and the words of a text stand in one task: a row for each text is shuffled
+    words = texts.select(F.col(id_).alias("id"), F.explode(job.words(F.col(text))).alias("word"))
+    met = words.join(F.broadcast(vectors), "word")
+    return met.groupBy("id").agg(F.array(*(F.avg(F.col("vector")[k]) for k in range(dims))).alias("vector"))
 
 
 #: Vectors that rows are compared with at once, in a task.

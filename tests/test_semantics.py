@@ -121,3 +121,20 @@ def test_nearest_is_brute_force(spark, monkeypatch):
         want = sorted(cos, key=lambda i: (-cos[i], i))[:7]
         assert sorted(got[q]) == [(n, i, cos[i]) for n, i in enumerate(want, 1)]
     assert semantics.nearest(held, asked.limit(0), 7).count() == 0
+
+
+def test_words_do_not_meet_their_vectors_by_a_shuffle(spark):
+    """What is shuffled for text vectors, and for a product, goes with texts and words, not with pairs of both."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "z")], "id long, text string")
+        vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 4.0])], "word string, vector array<double>")
+        found = semantics.text_vectors(texts, "id", "text", vectors, 2)
+        product = semantics._product(spark.createDataFrame([("a", "b", 2.0)], "a string, b string, ppmi double"), rows_of(spark, np.eye(2)), 2)
+        for df in (found, product):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+        assert {r["id"]: [round(x, 9) for x in r["vector"]] for r in found.collect()} == {1: [0.666666667, 1.333333333], 2: [0.0, 4.0]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
