@@ -9,31 +9,19 @@ from shortlane.sources import scratch
 
 #: Words are runs of anything but these characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows and bytes of an Arrow batch, for as long as the session has Spark's defaults.
-BATCH_ROWS = 1000
-BATCH_BYTES = 2 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default limits of an Arrow batch, which hold too much of long texts at once; other values stay."""
-    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        held = spark.conf.get(key, None)
-        if held == default or default is None and int(held or 0) in (0, 2**31 - 1, 2**63 - 1):
-            spark.conf.set(key, str(value))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: later steps restart from files, not from lineage."""
     spark = df.sparkSession
-    small_batches(spark)
+    scratch.small_batches(spark)
     path = scratch.new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    scratch.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

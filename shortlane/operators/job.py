@@ -32,7 +32,7 @@ def parse(text: str) -> dict:
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def overlap(text: Column, wanted: Column) -> Column:

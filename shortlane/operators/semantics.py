@@ -29,6 +29,8 @@ from shortlane.sources import scratch
 WINDOW, MIN_DOCS, VOCABULARY = 4, 20, 1 << 16
 #: Different pairs that a task holds before it hands them on.
 HELD_PAIRS = 1 << 21
+#: Different pairs that a group has when they meet, at most.
+SLOT_PAIRS = 1 << 20
 #: Texts whose pairs are made at once.
 SLICE_ROWS = 256
 DIMS, EXTRA, POWERS, SEED = 32, 8, 2, 5
@@ -38,35 +40,61 @@ MERGES = 32
 TINY = 1e-10
 
 
-def _pairs(words: DataFrame, vocabulary: list[str], window: int) -> DataFrame:
-    """x <= y (numbers in the vocabulary), n: how often two of its words stand up to `window` places apart, counted in each task first."""
-    size = max(len(vocabulary), 1)
+def _merged(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different codes in order, and the sum of each one's numbers (without any: how often it is there)."""
+    if n is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
+    sums = np.diff(np.r_[first, len(codes)]) if n is None else np.add.reduceat(n, first) if len(first) else n
+    return codes[first], sums.astype(np.int64)
 
-    def table(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(codes // size), pa.array(codes % size), pa.array(n)], names=["x", "y", "n"])
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        return codes, np.bincount(where, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
+def _pairs(words: DataFrame, vocabulary: list[str], window: int) -> DataFrame:
+    """x <= y (numbers in the vocabulary), n: how often two of its words stand up to `window` places apart.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = pa.array(vocabulary, pa.string()), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    Pairs are counted in each task first.  What it hands on is a row of arrays for each slot of pairs, and a slot has SLOT_PAIRS
+    different pairs at most, so its rows meet in one group of bounded size.
+    """
+    size = max(len(vocabulary), 1)
+    slots = -(-size * size // SLOT_PAIRS) | 1  # odd, so that the pairs of one word spread
+
+    def packed(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(codes % slots, kind="stable")
+        slot, codes, n = codes[order] % slots, codes[order] // slots, n[order]  # codes: less than SLOT_PAIRS
+        first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]][: len(slot)])
+        ends = pa.py_buffer((np.r_[first, len(slot)] * 4).astype(np.int32))
+        binary = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x.astype(np.uint32))])
+        return pa.record_batch([pa.array(slot[first]), binary(codes), binary(n)], names=["slot", "codes", "n"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, met, waiting = pa.array(vocabulary, pa.string()), (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
         for column in (b.column(0).slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             at = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             of = np.repeat(np.arange(len(column)), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
             for k in range(1, window + 1):
                 one, two = at[:-k], at[k:]
-                met = (of[:-k] == of[k:]) & (one >= 0) & (two >= 0)
-                codes = np.minimum(one, two)[met] * size + np.maximum(one, two)[met]
-                held.append((codes, np.ones(len(codes), np.int64)))
-            if sum(len(c) for c, _ in held) > HELD_PAIRS:
-                held = [merged(held)]
-                if len(held[0][0]) > HELD_PAIRS // 2:
-                    yield table(*held[0])
-                    held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        yield table(*merged(held))
-
-    return words.mapInArrow(run, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+                near = (of[:-k] == of[k:]) & (one >= 0) & (two >= 0)
+                met.append((np.minimum(one, two) * size + np.maximum(one, two))[near])
+                waiting += len(met[-1])
+            if waiting > HELD_PAIRS:
+                new = _merged(np.concatenate(met))
+                held, met, waiting = _merged(*map(np.concatenate, zip(held, new, strict=True))), [], 0
+                if len(held[0]) > HELD_PAIRS // 2:
+                    yield packed(*held)
+                    held = (np.empty(0, np.int64), np.empty(0, np.int64))
+        new = _merged(np.concatenate([np.empty(0, np.int64), *met]))
+        yield packed(*_merged(*map(np.concatenate, zip(held, new, strict=True))))
+
+    def summed(key: tuple, t: pa.Table) -> pa.Table:
+        codes, n = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint32).astype(np.int64) for c in ("codes", "n"))
+        codes, n = _merged(codes, n)
+        codes = codes * slots + key[0].as_py()
+        return pa.table({"x": codes // size, "y": codes % size, "n": n})
+
+    return words.mapInArrow(counted, "slot long, codes binary, n binary").groupBy("slot").applyInArrow(summed, "x long, y long, n long")
 
 
 def ppmi(texts: DataFrame, text: str, window: int = WINDOW, min_docs: int = MIN_DOCS, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -76,20 +104,33 @@ def ppmi(texts: DataFrame, text: str, window: int = WINDOW, min_docs: int = MIN_
     model, so that tasks can hold the words, and count pairs before anything is shuffled.
     """
     spark = texts.sparkSession
-    words = texts.select(job.words(F.col(text)).alias("words")).where(F.size("words") > 0)
-    docs = words.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    scratch.small_batches(spark)  # whole texts go to Python
+    # no filter on the words: a text would be cut into them once more for it
+    words = texts.select(job.words(F.col(text)).alias("words"))
+    docs = words.mapInArrow(_documents, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     known = [r["word"] for r in docs.orderBy(F.desc("docs"), "word").limit(vocabulary).collect()]
     counts = scratch.cut(_pairs(words, known, window), "ppmi-counts")
-    # both orders of a pair; one of a word with itself counts twice, like others: no exchange
-    apart = counts.where("x < y")
-    both = apart.unionByName(apart.select(F.col("y").alias("x"), F.col("x").alias("y"), "n")).unionByName(counts.where("x = y").withColumn("n", F.col("n") * 2))
-    sums = scratch.cut(both.groupBy("x").agg(F.sum("n").alias("of")), "ppmi-sums")  # a row a word
+    # each pair counts for both of its words, twice for one of a word with itself
+    sums = scratch.cut(counts.select(F.explode(F.array("x", "y")).alias("x"), "n").groupBy("x").agg(F.sum("n").alias("of")), "ppmi-sums")  # a row a word
     total = sums.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
     names = scratch.cut(spark.createDataFrame(list(enumerate(known)), "x long, word string").join(sums, "x"), "ppmi-names")
     a, b = names.select("x", F.col("word").alias("a"), F.col("of").alias("of_a")), names.select(F.col("x").alias("y"), F.col("word").alias("b"), F.col("of").alias("of_b"))
-    value = F.log(F.col("n") * F.lit(float(total)) / (F.col("of_a") * F.col("of_b")))
-    # both have a row for each word of the vocabulary
-    return both.join(F.broadcast(a), "x").join(F.broadcast(b), "y").withColumn("ppmi", value).where("ppmi > 0").select("a", "b", "n", "ppmi")
+    twice = counts.withColumn("n", F.when(F.col("x") == F.col("y"), F.col("n") * 2).otherwise(F.col("n")))
+    value = F.log(F.col("n") * F.lit(float(total)) / (F.col("of_a").cast("double") * F.col("of_b").cast("double")))
+    # both have a row for each word of the vocabulary; the value is that of both orders
+    valued = twice.join(F.broadcast(a), "x").join(F.broadcast(b), "y").withColumn("ppmi", value).where("ppmi > 0")
+    one, other = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    return valued.select(F.inline(F.when(F.col("x") == F.col("y"), F.array(one)).otherwise(F.array(one, other))), "n", "ppmi")
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, docs: in how many texts of a batch each word is."""
+    for column in (b.column(0).slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
+        found = column.flatten().dictionary_encode()
+        of = np.repeat(np.arange(len(column)), pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+        pairs, _ = _merged(of * len(found.dictionary) + found.indices.to_numpy(zero_copy_only=False))
+        docs = np.bincount(pairs % max(len(found.dictionary), 1), minlength=len(found.dictionary))
+        yield pa.record_batch([found.dictionary, pa.array(docs)], names=["word", "docs"])
 
 
 def _columns(n: int) -> list[str]:

@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the size of what tasks hand to Python."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch, for as long as the session has Spark's defaults.
+BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a new folder where that is unset and Spark is local (tests)."""
@@ -29,3 +33,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default limits of an Arrow batch, which hold too much of long texts at once; other values stay."""
+    for name, default, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key, None)
+        if held == default or default is None and int(held or 0) in (0, 2**31 - 1, 2**63 - 1):
+            spark.conf.set(key, str(value))

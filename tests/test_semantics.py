@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from shortlane.operators import semantics
 
 
@@ -85,6 +86,22 @@ def test_ppmi(spark):
     assert all(abs(r["ppmi"] - want[r["a"], r["b"]][1]) < 1e-9 for r in got)
 
 
+def test_pairs_meet_in_slots(spark, monkeypatch):
+    """What tasks hand on is rows of slots, not of pairs; with few pairs in a slot, and few held at once, the counts are the same."""
+    monkeypatch.setattr(semantics, "SLOT_PAIRS", 7)
+    monkeypatch.setattr(semantics, "HELD_PAIRS", 20)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefghijklm", k=rng.randint(0, 25))) for _ in range(600)] + [None, "", " . "]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = semantics._pairs(frame.select(semantics.job.words(F.col("text")).alias("words")), list("abcdefghijklm"), 3)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(slot" in plan and "hashpartitioning(x" not in plan
+    want = brute_ppmi(texts, 3, 1)
+    got = semantics.ppmi(frame, "text", 3, 1).collect()
+    assert {(r["a"], r["b"]): r["n"] for r in got} == {k: n for k, (n, _) in want.items()} and len(got) == len(want)
+    assert all(abs(r["ppmi"] - want[r["a"], r["b"]][1]) < 1e-9 for r in got)
+
+
 def test_words_of_one_topic_are_near(spark):
     rng = random.Random(5)
     topics = ["gpu tensor kernel cuda", "flour oven yeast dough", "goal striker keeper pitch"]
