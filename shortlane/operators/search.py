@@ -167,11 +167,22 @@ def _reaches(bound, least):
     return bound + 2 * 10.0**-DIGITS >= least
 
 
+def _of_terms(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+    """The index's blocks of the terms that a block of descriptions asks for; the others are left out before any exchange."""
+    return blocks.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi")
+
+
+def _live_blocks(index: Index, live: DataFrame, weights: DataFrame) -> DataFrame:
+    """The blocks of the terms that are asked for in live ranges (shard, range), to be dealt by shard and range once."""
+    return _of_terms(index.blocks, weights).join(live, ["shard", "range"], "left_semi").select("shard", "range", "term", "top", "postings")
+
+
 def _first_scores(index: Index, bounds: DataFrame, weights: DataFrame, k: int, first: int) -> DataFrame:
     """query, least: a k-th score from the ranges with the best bounds of each description that has k rows there."""
     chosen = shortlist.top_per(bounds, ["query"], [F.desc("bound"), F.asc("range")], first).select("query", "shard", "range")
-    wanted = chosen.join(weights.select("query", "term", "weight"), "query")
-    hits = index.blocks.select("shard", "range", "term", "postings").join(wanted, ["shard", "range", "term"]).select("query", "weight", F.explode("postings").alias("hit"))
+    # `first` ranges for each of a block of descriptions, and their words: sent to the postings, which stay where they are
+    met = _of_terms(index.blocks, weights).select("shard", "range", "term", "postings").join(F.broadcast(chosen), ["shard", "range"])
+    hits = met.join(F.broadcast(weights.select("query", "term", "weight")), ["query", "term"]).select("query", "weight", F.explode("postings").alias("hit"))
     scores = hits.groupBy("query", F.col("hit.id").alias("id")).agg(F.sum(F.col("weight") * F.col("hit.impact")).alias("score"))
     best = shortlist.top_per(scores, ["query"], [F.desc("score")], k)
     return best.groupBy("query").agg(F.count("*").alias("_n"), F.min("score").alias("least")).where(F.col("_n") == k).drop("_n")
@@ -214,9 +225,8 @@ def _search(index: Index, asked: DataFrame, k: int, first: int) -> tuple[DataFra
         })
 
     live = bounds.join(least, "query", "left").where(_reaches(F.col("bound"), F.coalesce("least", F.lit(0.0)))).select("shard", "range").distinct()
-    blocks = index.blocks.select("shard", "range", "term", "top", "postings").join(live, ["shard", "range"], "left_semi")
-    blocks = blocks.join(weights.select("term").distinct(), "term", "left_semi").select("range", "term", "top", "postings")
-    found = scratch.cut(blocks.groupBy("range").applyInArrow(score, schema), "search-found")
+    live = scratch.cut(live, "search-live")  # of known size: sent to the postings where it is small
+    found = scratch.cut(_live_blocks(index, live, weights).groupBy("shard", "range").applyInArrow(score, schema), "search-found")
     scored = found.agg(F.coalesce(F.sum("scored"), F.lit(0))).first()[0]
     names = spark.createDataFrame(list(enumerate(held.queries)), f"q int, query {asked.schema['query'].dataType.simpleString()}")
     hits = found.where("q IS NOT NULL").join(F.broadcast(names), "q")  # a row for each of the block's descriptions

@@ -78,6 +78,20 @@ def test_search_of_nothing(spark):
     assert found(spark, [(1, None, "x", 1)], [(1, "a", 1)], 5)[0] == []
 
 
+def test_postings_are_not_shuffled_to_be_chosen(spark):
+    """Joins that choose blocks send the small side, so only chosen postings are dealt, once."""
+    index = search.build(spark.createDataFrame([(i, f"a b w{i}") for i in range(50)], "id long, text string"), "id", "text", 4, 20)
+    bounds = spark.createDataFrame([(1, s, r, 1.0) for s in range(3) for r in range(4)], "query long, shard long, range long, bound double")
+    weights = spark.createDataFrame([(1, "a", 1.0)], "query long, term string, weight double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    first = plan(search._first_scores(index, bounds.repartition("query"), weights.repartition("term"), 2, 2))
+    assert "hashpartitioning(shard" not in first and "SortMergeJoin" not in first
+    live = scratch.cut(bounds.select("shard", "range").distinct(), "live")
+    blocks = search._live_blocks(index, live, weights.repartition("term")).groupBy("shard", "range").applyInArrow(lambda k, t: t.select(["term"]), "term string")
+    dealt = plan(blocks)
+    assert "SortMergeJoin" not in dealt and dealt.count("hashpartitioning(shard") == 1
+
+
 # ---- linking
 
 
