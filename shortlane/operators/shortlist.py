@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shortlane.functions import similarity
 from shortlane.operators import features, honeypot, job
+from shortlane.sources import scratch
 from shortlane.sources.candidates import SIGNALS
 from shortlane.sources.submission import ROWS
 
@@ -34,7 +35,7 @@ def score_profiles(profiles: DataFrame, job_text: str, as_of: str) -> DataFrame:
     titles = [*features.AI_TITLES, *want["title_words"]]
     parts = {
         "skills": F.least(features.skill_trust(F.col("skills"), wanted) / (2.0 * len(want["must_skills"])), F.lit(1.0)),
-        "title": F.greatest(features.is_ai_title(F.col("profile.current_title")).cast("double"), similarity.best_match(F.col("profile.current_title"), titles)),
+        "title": F.greatest(features.is_ai_title(F.col("profile.current_title")).cast("double"), F.col("_likeness")),
         "years": F.when(years.between(want["min_years"], want["max_years"]), 1.0).otherwise(0.4),
         "location": features.location_match(F.col("profile.country"), F.col("profile.location"), F.array(*map(F.lit, want["countries"])).cast("array<string>")),
         "education": features.education_score(F.col("education")),
@@ -43,7 +44,10 @@ def score_profiles(profiles: DataFrame, job_text: str, as_of: str) -> DataFrame:
         "core": F.size(F.filter(F.coalesce("skills", F.array()), lambda k: F.lower(k["name"]).isin(*want["must_skills"]))),
         "flags": F.size(honeypot.flags()),
     }
-    scored = job.relevance(profiles, job.terms(job_text), job.words(text), "text").select("candidate_id", "profile", SIGNALS, "text", *(c.alias(n) for n, c in parts.items()))
+    rated, title = job.relevance(profiles, job.terms(job_text), job.words(text), "text"), F.col("profile.current_title")
+    # a title is compared once, however many profiles have it
+    known = scratch.cut(rated.select(title.alias("_title")).distinct().withColumn("_likeness", similarity.best_match(F.col("_title"), titles)), "titles")
+    scored = rated.join(known, title.eqNullSafe(F.col("_title")), "left").select("candidate_id", "profile", SIGNALS, "text", *(c.alias(n) for n, c in parts.items()))
     base = 0.35 * F.col("skills") + 0.1 * F.col("text") + 0.25 * F.col("title") + 0.1 * F.col("years") + 0.05 * F.col("tenure") + 0.08 * F.col("location") + 0.07 * F.col("education")
     score = F.round(base * features.signal_modifier(F.col("signal")) / 1.2 * F.pow(F.lit(0.5), F.col("flags")), 4)
     return scored.withColumn("score", F.coalesce(score, F.lit(0.0)))

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from shortlane import catalog
+from shortlane.plans import records
+from shortlane.sources import scratch
 from shortlane.streaming import counters
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +32,18 @@ def test_oracle(spark, duck, name):
     assert sorted(map(repr, map(tuple, mine.select(*columns).collect()))) == sorted(map(repr, theirs))
 
 
+def test_ranking_compares_titles_once(spark, monkeypatch):
+    """Each title is compared once, not once a profile; skills go through joins and exchanges as numbers."""
+    written, cut = {}, scratch.cut
+    monkeypatch.setattr(scratch, "cut", lambda df, name: written.setdefault(name, cut(df, name)))
+    assert catalog.queries()["rank_profiles"](spark, SF).count() == 100
+    titles = written["titles"].select("_title")
+    assert titles.count() == titles.distinct().count() == written["relevance"].select("profile.current_title").distinct().count() < 10
+    skills = records.skills(spark, SF)
+    assert "hashpartitioning(s_custkey" in (plan := skills._jdf.queryExecution().executedPlan().toString()) and ", name#" not in plan.split("hashpartitioning(s_custkey")[1].split("\n")[0]
+    assert sum(len(r["skills"]) - len({k["name"] for k in r["skills"]}) for r in skills.collect()) == 0
+
+
 def test_csv_dialect(spark):
     rows = catalog.queries()["val_csv_dialect"](spark, SF).where("r_regionkey = 0").orderBy("row_ix").collect()
     assert [r["n"] for r in rows] == [2, 3, 0, 1]
