@@ -31,6 +31,8 @@ WINDOW, MIN_DOCS, VOCABULARY = 4, 20, 1 << 16
 HELD_PAIRS = 1 << 21
 #: Different pairs that a group has when they meet, at most.
 SLOT_PAIRS = 1 << 20
+#: How often a task counts one pair before it hands it on: numbers are handed on in four bytes.
+MOST_HELD = 1 << 31
 #: Texts whose pairs are made at once.
 SLICE_ROWS = 256
 DIMS, EXTRA, POWERS, SEED = 32, 8, 2, 5
@@ -82,7 +84,7 @@ def _pairs(words: DataFrame, vocabulary: list[str], window: int) -> DataFrame:
             if waiting > HELD_PAIRS:
                 new = _merged(np.concatenate(met))
                 held, met, waiting = _merged(*map(np.concatenate, zip(held, new, strict=True))), [], 0
-                if len(held[0]) > HELD_PAIRS // 2:
+                if len(held[0]) > HELD_PAIRS // 2 or held[1].max(initial=0) > MOST_HELD:
                     yield packed(*held)
                     held = (np.empty(0, np.int64), np.empty(0, np.int64))
         new = _merged(np.concatenate([np.empty(0, np.int64), *met]))

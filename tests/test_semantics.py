@@ -90,6 +90,7 @@ def test_pairs_meet_in_slots(spark, monkeypatch):
     """What tasks hand on is rows of slots, not of pairs; with few pairs in a slot, and few held at once, the counts are the same."""
     monkeypatch.setattr(semantics, "SLOT_PAIRS", 7)
     monkeypatch.setattr(semantics, "HELD_PAIRS", 20)
+    monkeypatch.setattr(semantics, "MOST_HELD", 5)
     rng = random.Random(8)
     texts = [" ".join(rng.choices("abcdefghijklm", k=rng.randint(0, 25))) for _ in range(600)] + [None, "", " . "]
     frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
